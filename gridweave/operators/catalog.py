@@ -23,20 +23,31 @@ def _not_hidden(name_col: str = "name"):
 
 def query_key(col) -> F.Column:
     """Directory key of a query path: canonical absolute form, no trailing slash."""
-    c = canonical_lfn(col)
-    return F.when(c == "/", c).otherwise(F.regexp_replace(c, r"/+$", ""))
+    return F.regexp_replace(canonical_lfn(col), r"(.)/+$", "$1")
 
 
-def match_query(catalog: DataFrame, queries: DataFrame, query_col: str = "query") -> DataFrame:
+# Query tables up to this many rows are broadcast to the catalog scan (counted first).
+BROADCAST_QUERIES = 200_000
+
+
+def match_query(catalog: DataFrame, queries: DataFrame, query_col: str = "query",
+                broadcast_queries: bool | None = None) -> DataFrame:
     """Catalog entries directly below each query path (hidden names excluded).
 
     ``queries`` may hold any other columns (task id, input name, ...); a path asked for twice gives
     its entries twice, as a concatenated list of query results does.  The match is an equality
-    join on the stored ``dir`` column.
+    join on the stored ``dir`` column.  The query table (one row per task input) is broadcast
+    after counting it (``broadcast_queries=None``) when it has at most ``BROADCAST_QUERIES`` rows,
+    so the catalog is scanned once and never shuffled for the match; beyond that the planner
+    picks a shuffle join.
     """
     q = queries.withColumn("_qdir", query_key(query_col))
+    if broadcast_queries is None:
+        broadcast_queries = q.count() <= BROADCAST_QUERIES
+    if broadcast_queries:
+        q = F.broadcast(q)
     cat = catalog.filter(_not_hidden())
-    return q.join(cat, q["_qdir"] == cat["dir"], "inner").drop("_qdir")
+    return cat.join(q, cat["dir"] == q["_qdir"], "inner").drop("_qdir")
 
 
 def glob_to_regex(pattern: str) -> str:

@@ -19,11 +19,13 @@ from gridweave.plans.inputs import (
     QUERY_ROOT,
     events_catalog,
     lineitem_catalog,
+    lineitem_dir,
     lineitem_lfn,
+    lineitem_name,
     lineitem_tasks,
 )
 from gridweave.plans.tables import table
-from gridweave.sources.catalog import catalog_from_lfns
+from gridweave.sources.catalog import catalog_from_parts
 
 EVENT_GROUP = 7
 ZIP_GROUP = 5
@@ -67,7 +69,7 @@ def find_files_lineitem(spark, sf):
     wanted = li.select(F.when(F.col("l_returnflag") == "A", F.concat(F.lit("lfn:"), path))
                         .when(F.col("l_returnflag") == "N", F.concat(F.lit("LFN:"), path))
                         .otherwise(path).alias("lfn"))
-    catalog = catalog_from_lfns(li.filter(F.col("l_linestatus") == "F").select(path.alias("lfn")))
+    catalog = catalog_from_parts(li.filter(F.col("l_linestatus") == "F"), lineitem_dir(), lineitem_name())
     return find_files(catalog, wanted).select("lfn", "status", "message")
 
 

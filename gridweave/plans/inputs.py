@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.plans.tables import table
-from gridweave.sources.catalog import catalog_from_lfns
+from gridweave.sources.catalog import catalog_from_lfns, catalog_from_parts
 
 # Fixed values of the stand-ins: query root, file suffix, group sizes.
 QUERY_ROOT = "/grid/data"
@@ -18,16 +18,24 @@ SUFFIX = ".sim"
 FLAGSHIP_GROUP = 5
 
 
-def lineitem_lfn(prefix: str = QUERY_ROOT + "/"):
-    """``<root>/<returnflag>/<linestatus>/<ship year>/<orderkey>_<linenumber>_<partkey>_<suppkey>.sim``."""
-    return F.concat(F.lit(prefix), F.col("l_returnflag"), F.lit("/"), F.col("l_linestatus"), F.lit("/"),
-                    F.year("l_shipdate").cast("string"), F.lit("/"),
-                    F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), F.lit(SUFFIX))
+def lineitem_dir(prefix: str = QUERY_ROOT):
+    """``<root>/<returnflag>/<linestatus>/<ship year>``."""
+    return F.concat(F.lit(prefix + "/"), F.col("l_returnflag"), F.lit("/"), F.col("l_linestatus"), F.lit("/"),
+                    F.year("l_shipdate").cast("string"))
+
+
+def lineitem_name():
+    """``<orderkey>_<linenumber>_<partkey>_<suppkey>.sim`` (unique per line)."""
+    return F.concat(F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), F.lit(SUFFIX))
+
+
+def lineitem_lfn(prefix: str = QUERY_ROOT):
+    return F.concat(lineitem_dir(prefix), F.lit("/"), lineitem_name())
 
 
 def lineitem_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    return catalog_from_lfns(li.select(lineitem_lfn().alias("lfn")))
+    return catalog_from_parts(li, lineitem_dir(), lineitem_name())
 
 
 def lineitem_tasks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -45,6 +53,5 @@ def lineitem_tasks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 def events_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog of event files: ``/events/<event_type>/<event_id>``, with ``event_id`` kept."""
     ev = table(spark, sf_dir, "events")
-    lfn = F.concat(F.lit("/events/"), F.col("event_type"), F.lit("/"), F.col("event_id").cast("string"))
-    return catalog_from_lfns(ev.select(lfn.alias("lfn"), "event_id", "event_type"),
-                             keep=["event_id", "event_type"])
+    return catalog_from_parts(ev, F.concat(F.lit("/events/"), F.col("event_type")),
+                              F.col("event_id").cast("string"), keep=["event_id", "event_type"])

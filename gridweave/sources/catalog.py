@@ -30,20 +30,23 @@ _DOCUMENT_SCHEMA = "map<string, struct<CreationDate: double>>"
 
 
 def canonical_lfn(col: Column | str) -> Column:
-    """``/`` + the LFN without ``lfn:``/``LFN:`` prefix and without leading slashes."""
-    return F.concat(F.lit("/"), F.regexp_replace(normalize_lfn(col), r"^/+", ""))
-
-
-def lfn_dir(lfn: Column | str) -> Column:
-    """Parent directory of a canonical LFN (``/`` for top-level names)."""
-    d = F.regexp_extract(as_col(lfn), r"^(.*)/[^/]*$", 1)
-    return F.when(d == "", F.lit("/")).otherwise(d)
+    """``/`` + the LFN without ``lfn:``/``LFN:`` prefix and without leading slashes (one regex)."""
+    return F.regexp_replace(as_col(col), r"^(?:lfn:)?(?:LFN:)?/*", "/")
 
 
 def lfn_name(lfn: Column | str) -> Column:
+    """Last part of a canonical LFN."""
     return F.substring_index(as_col(lfn), "/", -1)
 
 
+def lfn_dir(lfn: Column | str) -> Column:
+    """Parent directory of a canonical LFN (``/`` for top-level names); no regex."""
+    c = as_col(lfn)
+    cut = F.length(c) - F.length(lfn_name(c)) - 1
+    d = F.substring(c, F.lit(1), cut)
+    return F.when(cut <= 1, F.lit("/")).otherwise(d)
+
+
 def catalog_from_lfns(df: DataFrame, lfn_col: str = "lfn", epoch_col: str | None = None,
                       metadata_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """Turn any frame holding LFN strings into catalog rows (extra columns in ``keep`` kept)."""
@@ -59,6 +62,21 @@ def catalog_from_lfns(df: DataFrame, lfn_col: str = "lfn", epoch_col: str | None
     return out.select(*(keep or []), *[f.name for f in CATALOG_SCHEMA.fields])
 
 
+def catalog_from_parts(df: DataFrame, dir_col: Column | str, name_col: Column | str,
+                       keep: list[str] | None = None) -> DataFrame:
+    """Catalog rows from a directory and a file name that are already canonical.
+
+    For producers that know the layout (``/a/b`` directory without trailing slash, plain name):
+    no regex per row, and nothing expensive for the optimizer to repeat when it pushes filters
+    on ``dir``/``name`` below the projection.
+    """
+    d, n = as_col(dir_col), as_col(name_col)
+    return df.select(*(keep or []), F.concat(d, F.lit("/"), n).alias("lfn"), d.alias("dir"), n.alias("name"),
+                     F.lit(None).cast("double").alias("creation_epoch"),
+                     F.lit(None).cast("timestamp").alias("creation_date"),
+                     F.lit(None).cast(T.MapType(T.StringType(), T.StringType())).alias("metadata"))
+
+
 def empty_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], CATALOG_SCHEMA)
 
