@@ -123,7 +123,7 @@ def find_files(catalog: DataFrame, wanted: DataFrame, lfn_col: str = "lfn") -> D
 
 
 def add_entries(catalog: DataFrame, new: DataFrame, key: str = "lfn", seq: str = "seq",
-                override: bool = False) -> DataFrame:
+                override: bool = False, noun: str = "File") -> DataFrame:
     """Insert-if-absent: outcome of every new row.
 
     Without ``override`` a row is ``rejected`` (``File <key> already exists``) when the key is in
@@ -142,7 +142,7 @@ def add_entries(catalog: DataFrame, new: DataFrame, key: str = "lfn", seq: str =
     ok = is_chosen if override else (is_chosen & ~exists)
     why = " superseded in batch" if override else " already exists"
     msg = F.when(ok, F.lit(None).cast("string")).otherwise(
-        F.concat(F.lit("File "), F.col(key).cast("string"), F.lit(why)))
+        F.concat(F.lit(noun + " "), F.col(key).cast("string"), F.lit(why)))
     return (j.withColumn("status", F.when(ok, F.lit(ADDED)).otherwise(F.lit(REJECTED)))
              .withColumn("replaced", ok & exists)
              .withColumn("message", msg)

@@ -11,8 +11,8 @@ from gridweave.operators.catalog import add_entries
 def register(entries: DataFrame, override: bool = False, key: str = "key", seq: str = "seq") -> DataFrame:
     """Outcome of registering ``entries`` in ``seq`` order: a key registered twice is rejected
     unless ``override`` (then the last registration wins)."""
-    empty = entries.limit(0)
-    return add_entries(empty, entries, key=key, seq=seq, override=override)
+    empty = entries.filter(F.lit(False))
+    return add_entries(empty, entries, key=key, seq=seq, override=override, noun="Plugin")
 
 
 def registry_tables(entries: DataFrame, override: bool = True, key: str = "key", vo: str = "vo",

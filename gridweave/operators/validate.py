@@ -30,7 +30,7 @@ def unknown_key(df: DataFrame, known: DataFrame, col: str, known_col: str = "key
 def wrong_type(col: Column | str, type_name: str) -> Column:
     """True when a present value does not convert to ``type_name``."""
     c = F.col(col) if isinstance(col, str) else col
-    return c.isNotNull() & F.try_cast(c, type_name).isNull()
+    return c.isNotNull() & c.try_cast(type_name).isNull()
 
 
 def unexpected_keys(map_col: Column | str, allowed: Sequence[str]) -> Column:

@@ -14,8 +14,8 @@ def read_points(spark: SparkSession, paths, permissive: bool = False) -> DataFra
     """
     lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
     tokens = F.split(F.trim("value"), r"\s+")
-    good = (F.size(tokens) == 2) & F.try_cast(tokens[0], "double").isNotNull() \
-        & F.try_cast(tokens[1], "double").isNotNull()
+    good = (F.size(tokens) == 2) & tokens[0].try_cast("double").isNotNull() \
+        & tokens[1].try_cast("double").isNotNull()
     if permissive:
         return lines.select(
             "file",
