@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from gridweave.plans import catalog_queries, job_queries, output_queries, registry_queries, text_queries
-
-_MODULES = [text_queries, catalog_queries, job_queries, output_queries, registry_queries]
+from gridweave.plans import (
+    catalog_queries,
+    job_queries,
+    output_queries,
+    registry_queries,
+    stream_queries,
+    text_queries,
+)
+
+_MODULES = [text_queries, catalog_queries, job_queries, output_queries, registry_queries, stream_queries]
 
 
 def _all():
