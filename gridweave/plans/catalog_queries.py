@@ -86,7 +86,7 @@ def _line_updates(spark, sf):
     return li.select(F.concat(F.lit("/orders/"), F.col("l_orderkey").cast("string")).alias("lfn"),
                      F.col("l_linestatus").alias("status"),
                      F.col("l_extendedprice").cast("string").alias("amount"),
-                     F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("seq"))
+                     F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").alias("seq"))
 
 
 def add_entries_orders(spark, sf):
@@ -183,7 +183,7 @@ FROM w LEFT JOIN c ON w.k = c.k
 _ADD_SQL = """
 WITH cat AS (SELECT '/orders/' || o_orderkey AS lfn FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'),
 new AS (SELECT '/orders/' || l_orderkey AS lfn, l_linenumber, l_partkey, l_suppkey,
-               row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn
+               row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS rn
         FROM lineitem)
 SELECT new.lfn, l_linenumber, l_partkey, l_suppkey,
        CASE WHEN rn = 1 AND cat.lfn IS NULL THEN 'added' ELSE 'rejected' END AS status,
@@ -195,8 +195,8 @@ _UPSERT_SQL = """
 WITH cat AS (SELECT '/orders/' || o_orderkey AS lfn, o_orderstatus AS status, CAST(o_totalprice AS VARCHAR) AS amount
              FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'),
 upd AS (SELECT '/orders/' || l_orderkey AS lfn,
-               arg_max(l_linestatus, (l_linenumber, l_partkey, l_suppkey)) AS status,
-               arg_max(CAST(l_extendedprice AS VARCHAR), (l_linenumber, l_partkey, l_suppkey)) AS amount
+               arg_max(l_linestatus, (l_linenumber, l_partkey, l_suppkey, l_shipdate)) AS status,
+               arg_max(CAST(l_extendedprice AS VARCHAR), (l_linenumber, l_partkey, l_suppkey, l_shipdate)) AS amount
         FROM lineitem GROUP BY l_orderkey)
 SELECT * FROM cat WHERE lfn NOT IN (SELECT lfn FROM upd)
 UNION ALL SELECT * FROM upd
