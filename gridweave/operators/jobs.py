@@ -170,26 +170,24 @@ def step_defaults(steps: DataFrame, wf_inputs: DataFrame, wf_key: str = "wf_id",
     """Default of every tool input of every step, taken from the workflow when wired to it.
 
     ``steps`` holds ``in`` (``array<struct<id, source>>``) and ``inputs``
-    (``array<struct<id, default>>``); ``wf_inputs`` is ``(wf_id, id, default)``.  A tool input
-    whose short name matches a step ``in`` whose ``source`` is a workflow input takes that
-    input's default - also when it is null.  Otherwise the tool default stays.
+    (``array<struct<id, default>>``); ``wf_inputs`` is ``(wf_id, id, default)`` with unique ids per
+    workflow (as CWL requires).  A tool input whose short name matches a step ``in`` whose
+    ``source`` is a workflow input takes that input's default - also when it is null.  Otherwise
+    the tool default stays.  The tool input is matched to its step ``in`` inside the step row
+    (``filter`` over the array, ids are unique within a step); only the workflow lookup is a join.
     Returns ``(wf_id, step_id, input_pos, input, default, from_workflow)``.
     """
-    tool = steps.select(wf_key, step_key, F.posexplode("inputs").alias("input_pos", "_i")).select(
-        wf_key, step_key, "input_pos", short_id(F.col("_i.id")).alias("input"),
-        F.col("_i.default").alias("tool_default"))
-    wires = steps.select(wf_key, step_key, F.posexplode("in").alias("in_pos", "_w")).select(
-        wf_key, step_key, "in_pos", short_id(F.col("_w.id")).alias("input"),
-        F.col("_w.source").alias("source"))
-    wi = wf_inputs.select(F.col(wf_key), F.col("id").alias("source"), F.col("default").alias("wf_default"),
+    tool = steps.select(wf_key, step_key, "in", F.posexplode("inputs").alias("input_pos", "_i"))
+    tool = tool.select(wf_key, step_key, "input_pos", short_id(F.col("_i.id")).alias("input"),
+                       F.col("_i.default").alias("tool_default"), "in")
+    wire = F.try_element_at(F.filter("in", lambda w: short_id(w["id"]) == F.col("input")), F.lit(1))
+    tool = tool.withColumn("source", wire["source"]).drop("in")
+    wi = wf_inputs.select(F.col(wf_key), F.col("id").alias("source"), F.col("default").alias("_wf_default"),
                           F.lit(True).alias("_known"))
-    wired = (wires.join(wi, [wf_key, "source"], "inner")
-                  .groupBy(wf_key, step_key, "input")
-                  .agg(F.min_by(F.struct("wf_default"), "in_pos").alias("_w")))
-    j = tool.join(wired, [wf_key, step_key, "input"], "left")
-    from_wf = F.col("_w").isNotNull()
+    j = tool.join(wi, [wf_key, "source"], "left")
+    from_wf = F.coalesce(F.col("_known"), F.lit(False))
     return j.select(wf_key, step_key, "input_pos", "input",
-                    F.when(from_wf, F.col("_w.wf_default")).otherwise(F.col("tool_default")).alias("default"),
+                    F.when(from_wf, F.col("_wf_default")).otherwise(F.col("tool_default")).alias("default"),
                     from_wf.alias("from_workflow"))
 
 

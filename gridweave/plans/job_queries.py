@@ -81,26 +81,30 @@ def fold_hints_conversations(spark, sf):
 
 
 def _lineitem_workflows(spark, sf):
+    """A two-step workflow per line (``ship`` tool, ``bill`` sub-workflow) and its inputs: ``mode``
+    from the order priority; ``flag`` from the return flag (absent for A, without default for R)."""
     li = table(spark, sf, "lineitem")
     wf = F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    step = "struct<id:string,in:array<struct<id:string,source:string>>,run:struct<class:string,inputs:array<struct<id:string,default:string>>>>"
+
+    def wire(i, src):
+        return F.struct(F.lit(i).alias("id"), F.lit(src).alias("source"))
+
+    def inp(i, default):
+        return F.struct(F.lit(i).alias("id"), default.alias("default"))
+
     ship = F.struct(
         F.lit("#main/ship").alias("id"),
-        F.array(F.struct(F.lit("#main/ship/mode").alias("id"), F.lit("#main/mode").alias("source")),
-                F.struct(F.lit("#main/ship/flag").alias("id"), F.lit("#main/flag").alias("source"))).alias("in"),
+        F.array(wire("#main/ship/mode", "#main/mode"), wire("#main/ship/flag", "#main/flag")).alias("in"),
         F.struct(F.lit("CommandLineTool").alias("class"),
-                 F.array(F.struct(F.lit("#ship.cwl#mode").alias("id"),
-                                  F.concat(F.lit("tool-"), F.col("l_linestatus")).alias("default")),
-                         F.struct(F.lit("#ship.cwl#flag").alias("id"), F.lit("tool-flag").alias("default")),
-                         F.struct(F.lit("#ship.cwl#extra").alias("id"), F.lit("x").alias("default"))).alias("inputs")
-                 ).alias("run"))
+                 F.array(inp("#ship.cwl#mode", F.concat(F.lit("tool-"), F.col("l_linestatus"))),
+                         inp("#ship.cwl#flag", F.lit("tool-flag")),
+                         inp("#ship.cwl#extra", F.lit("x"))).alias("inputs")).alias("run"))
     bill = F.struct(
         F.lit("#main/bill").alias("id"),
-        F.array(F.struct(F.lit("#main/bill/mode").alias("id"), F.lit("#main/mode").alias("source"))).alias("in"),
+        F.array(wire("#main/bill/mode", "#main/mode")).alias("in"),
         F.struct(F.lit("Workflow").alias("class"),
-                 F.array(F.struct(F.lit("#bill.cwl#mode").alias("id"),
-                                  F.lit(None).cast("string").alias("default"))).alias("inputs")).alias("run"))
-    workflows = li.select(wf.alias("wf_id"), F.array(ship, bill).cast(f"array<{step}>").alias("steps"))
+                 F.array(inp("#bill.cwl#mode", F.lit(None).cast("string"))).alias("inputs")).alias("run"))
+    workflows = li.select(wf.alias("wf_id"), F.array(ship, bill).alias("steps"))
     o = table(spark, sf, "orders")
     mode = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
         wf.alias("wf_id"), F.lit("#main/mode").alias("id"), F.col("o_orderpriority").alias("default"))
