@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.session import checkpoint_dir
 from gridweave.sources.catalog import canonical_lfn
 
 # Status words and messages of catalog operations.
@@ -43,6 +44,9 @@ def match_query(catalog: DataFrame, queries: DataFrame, query_col: str = "query"
     """
     q = queries.withColumn("_qdir", query_key(query_col))
     if broadcast_queries is None:
+        # materialise the (small) query table once: counted here, read again by the join
+        checkpoint_dir(q.sparkSession)
+        q = q.checkpoint(eager=True)
         broadcast_queries = q.count() <= BROADCAST_QUERIES
     if broadcast_queries:
         q = F.broadcast(q)

@@ -25,6 +25,7 @@ from gridweave.plans.inputs import (
     lineitem_tasks,
 )
 from gridweave.plans.tables import table
+from gridweave.session import checkpoint_dir
 from gridweave.sources.catalog import catalog_from_parts
 
 EVENT_GROUP = 7
@@ -37,6 +38,8 @@ def transformation_jobs(spark, sf, group_size: int = FLAGSHIP_GROUP, method: str
     i-th group of every input zipped into job i -> submission text."""
     catalog = lineitem_catalog(spark, sf)
     tasks, inputs = lineitem_tasks(spark, sf)
+    checkpoint_dir(spark)
+    inputs = inputs.checkpoint(eager=True)  # the task spec: small, read three times below
     queries = inputs.withColumn("query", input_query(QUERY_ROOT, None, F.col("campaign"), F.col("site"),
                                                      None, F.col("input_name")))
     matched = match_query(catalog, queries)

@@ -84,7 +84,8 @@ def _lineitem_workflows(spark, sf):
     """A two-step workflow per line (``ship`` tool, ``bill`` sub-workflow) and its inputs: ``mode``
     from the order priority; ``flag`` from the return flag (absent for A, without default for R)."""
     li = table(spark, sf, "lineitem")
-    wf = F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    wf = F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                     F.to_date("l_shipdate").cast("string"))
 
     def wire(i, src):
         return F.struct(F.lit(i).alias("id"), F.lit(src).alias("source"))
@@ -225,7 +226,8 @@ SELECT t.task_id, d.class, d.key, NULL AS subkey, d.value FROM t JOIN d ON true
 WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.task_id = t.task_id AND f.class = d.class AND f.key = d.key)
 """
 
-_WF = "CAST(l_orderkey AS VARCHAR) || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey"
+_WF = ("CAST(l_orderkey AS VARCHAR) || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey || '_' || "
+       "CAST(CAST(l_shipdate AS DATE) AS VARCHAR)")
 
 _STEP_DEFAULTS_SQL = f"""
 SELECT {_WF} AS wf_id, '#main/ship' AS step_id, CAST(0 AS BIGINT) AS input_pos, 'mode' AS input,
