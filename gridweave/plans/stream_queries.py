@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 from gridweave.functions.lfn import lfn_location
 from gridweave.operators.jobs import render_job_text
 from gridweave.plans.catalog_queries import _GROUPS_SQL, _ZIP_SQL
-from gridweave.streaming.grouping import catalog_stream, stream_fixed_groups, stream_new_entries, stream_zip_groups
+from gridweave.session import checkpoint_dir
+from gridweave.streaming.grouping import (
+    catalog_stream,
+    stream_fixed_groups,
+    stream_fixed_groups_batched,
+    stream_new_entries,
+    stream_zip_groups,
+)
 from gridweave.streaming.jobs import run_jobs_to_table, run_to_table
 
 
@@ -27,6 +34,18 @@ def stream_fixed_groups_events(spark, sf):
     return out.select("event_type", "gid", F.array_join("members", ",").alias("members"), "n")
 
 
+def stream_fixed_groups_batched_events(spark, sf):
+    """The same groups cut by Spark jobs per micro-batch (hot keys split), state on shared storage."""
+    import uuid
+    ev = _table_stream(spark, sf, "events").select("event_type", "event_id")
+    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/batched-groups-{uuid.uuid4().hex[:12]}"
+    q = stream_fixed_groups_batched(ev, ["event_type"], "event_id", 7, f"{base}/data", f"{base}/state",
+                                    f"{base}/_checkpoint")
+    q.awaitTermination()
+    out = spark.read.parquet(f"{base}/data")
+    return out.select("event_type", "gid", F.array_join("members", ",").alias("members"), "n")
+
+
 def _zip_stream(spark, sf):
     ev = _table_stream(spark, sf, "events").select("event_type", "event_id") \
         .withColumn("task_id", F.lit("click-view"))
@@ -78,6 +97,7 @@ FROM g c JOIN g v ON c.gid = v.gid AND c.event_type = 'click' AND v.event_type =
 
 QUERIES = {
     "stream_fixed_groups_events": (stream_fixed_groups_events, _GROUPS_SQL),
+    "stream_fixed_groups_batched_events": (stream_fixed_groups_batched_events, _GROUPS_SQL),
     "stream_zip_groups_events": (stream_zip_groups_events, _ZIP_SQL),
     "stream_new_entries_lineitem": (stream_new_entries_lineitem,
                                     "SELECT DISTINCT '/orders/' || l_orderkey AS lfn FROM lineitem"),

@@ -3,10 +3,12 @@
 from gridweave.streaming.grouping import (
     catalog_stream,
     stream_fixed_groups,
+    stream_fixed_groups_batched,
     stream_new_entries,
     stream_zip_groups,
 )
 from gridweave.streaming.jobs import run_to_table, stream_jobs
 
-__all__ = ["catalog_stream", "stream_new_entries", "stream_fixed_groups", "stream_zip_groups",
+__all__ = ["catalog_stream", "stream_new_entries", "stream_fixed_groups", "stream_fixed_groups_batched",
+           "stream_zip_groups",
            "stream_jobs", "run_to_table"]

@@ -70,3 +70,24 @@ def test_stream_new_entries(spark, tmpdir_path):
     s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(root)
     out = run_to_table(stream_new_entries(s), "t3")
     assert sorted(r.lfn for r in out.collect()) == [str(i) for i in range(7)]
+
+
+def test_batched_stream_groups_equal_stateful(spark, tmpdir_path):
+    from gridweave.streaming.grouping import stream_fixed_groups_batched
+
+    root = os.path.join(tmpdir_path, "in")
+    ev = _write_batches(spark, root, n_batches=3)
+    stateful = run_to_table(stream_fixed_groups(_stream(spark, root, ev.schema), ["event_type"], "event_id", 7), "t4")
+    base = os.path.join(tmpdir_path, "batched")
+    for method in ["window", "split"]:
+        q = stream_fixed_groups_batched(_stream(spark, root, ev.schema), ["event_type"], "event_id", 7,
+                                        os.path.join(base, method, "out"), os.path.join(base, method, "state"),
+                                        os.path.join(base, method, "ck"), method=method)
+        q.awaitTermination()
+        batched = spark.read.parquet(os.path.join(base, method, "out")).drop("batch_id")
+
+        def norm(df):
+            return sorted((r.event_type, r.gid, tuple(str(x) for x in r.members))
+                          for r in df.select("event_type", "gid", "members").collect())
+
+        assert norm(batched) == norm(stateful)
