@@ -42,14 +42,19 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The reliable checkpoint folder of this session.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.  Only when it
-    is unset (local runs, tests) a fresh scratch folder is created and registered.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is (unset on a
+    cluster is an error).  Only in local mode with it unset (local runs, tests) a fresh scratch
+    folder is created and registered.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                               "(a machine-local scratch folder is used only in local mode)")
         configured = tempfile.mkdtemp(prefix="gridweave-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir() or configured
