@@ -132,3 +132,50 @@ def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
 def _regex_escape(s: str) -> str:
     import re
     return re.escape(s)
+
+
+SNAPSHOT_PREFIX = "snapshot="
+COMMITS = "commits"
+
+
+def write_catalog_snapshot(catalog: DataFrame, root: str, partition_by: list[str] | None = None,
+                           snapshot: str | None = None) -> str:
+    """Write the catalog as a new snapshot folder below ``root`` and return its path.
+
+    A read-modify-write (insert, upsert) never overwrites the snapshot it read: readers keep
+    seeing a complete catalog.  The snapshot becomes visible only when its commit record is
+    written under ``root/commits`` after the data write succeeded, so a failed write leaves
+    nothing a reader would pick up.  ``partition_by`` (coarse columns such as campaign or site)
+    gives partition pruning to directory queries.  Snapshot names sort in time order.
+    """
+    import time
+    import uuid
+
+    spark = catalog.sparkSession
+    name = snapshot or f"{time.strftime('%Y%m%dT%H%M%S', time.gmtime())}-{uuid.uuid4().hex[:8]}"
+    base = root.rstrip("/")
+    path = f"{base}/{SNAPSHOT_PREFIX}{name}"
+    writer = catalog.write.mode("errorifexists")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    (spark.createDataFrame([(name, path)], "snapshot string, path string")
+          .coalesce(1).write.mode("errorifexists").json(f"{base}/{COMMITS}/{name}"))
+    return path
+
+
+def read_latest_catalog(spark: SparkSession, root: str) -> DataFrame:
+    """The newest committed snapshot below ``root`` (empty catalog when there is none).
+
+    Only the small table of commit records is read to find it.
+    """
+    base = root.rstrip("/")
+    try:
+        commits = (spark.read.schema("snapshot string, path string")
+                        .option("recursiveFileLookup", "true").json(f"{base}/{COMMITS}"))
+        latest = commits.agg(F.max_by("path", "snapshot").alias("p")).first()["p"]
+    except AnalysisException:
+        return empty_catalog(spark)
+    if not latest:
+        return empty_catalog(spark)
+    return spark.read.parquet(latest)

@@ -116,3 +116,20 @@ def test_group_goldens(spark, n, groups):
     if groups:
         first = g.filter("gid = 0").first()
         assert list(first.members) == [f"/f/{i:02d}" for i in range(5)]
+
+
+def test_catalog_snapshots(spark, tmpdir_path):
+    from gridweave.sources.catalog import read_latest_catalog, write_catalog_snapshot
+
+    root = os.path.join(tmpdir_path, "cat")
+    assert read_latest_catalog(spark, root).count() == 0
+    c1 = catalog(spark, ["/a/x", "/a/y"])
+    write_catalog_snapshot(c1, root, snapshot="0001")
+    c2 = upsert_metadata(c1, catalog(spark, ["/a/z"]).withColumn("seq", F.lit(1)))
+    p2 = write_catalog_snapshot(c2, root, partition_by=["dir"], snapshot="0002")
+    latest = read_latest_catalog(spark, root)
+    assert rows(latest, "lfn") == [("/a/x",), ("/a/y",), ("/a/z",)]
+    assert p2.endswith("snapshot=0002")
+    # an unfinished snapshot (no _SUCCESS) is ignored
+    os.makedirs(os.path.join(root, "snapshot=0003"))
+    assert read_latest_catalog(spark, root).count() == 3
