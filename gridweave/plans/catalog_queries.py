@@ -13,7 +13,7 @@ from gridweave.operators.catalog import (
     upsert_metadata,
 )
 from gridweave.operators.grouping import fixed_groups, group_limit, zip_groups
-from gridweave.operators.jobs import render_job_text
+from gridweave.operators.jobs import EXECUTABLE_LINE, render_job_text
 from gridweave.plans.inputs import (
     FLAGSHIP_GROUP,
     QUERY_ROOT,
@@ -157,7 +157,7 @@ jobs AS (SELECT rf, ls, gid, string_agg(members, ', ' ORDER BY input_pos) AS dat
                 count(*) AS have, sum(n) AS n_files FROM g GROUP BY rf, ls, gid)
 SELECT rf || '-' || ls AS task_id, CAST(gid AS BIGINT) AS gid, CAST(have AS BIGINT) AS n_inputs,
        CAST(n_files AS BIGINT) AS n_files,
-       'Executable = dirac-cwl-exec;' || chr(10) || 'Arguments = job.json;' || chr(10) ||
+       '{EXECUTABLE_LINE}' || chr(10) || 'Arguments = job.json;' || chr(10) ||
        'JobName = test;' || chr(10) || 'OutputSandbox = {{std.out, std.err}};' || chr(10) ||
        'Priority = 10;' || chr(10) ||
        'InputSandbox = SB:SandboxSE|/S3/sandbox-store/' || rf || '-' || ls || '_' || CAST(gid AS VARCHAR) || '.tar.zst;'

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.text import short_id
 from gridweave.operators.jobs import (
+    EXECUTABLE_LINE,
     all_succeeded,
     expand_jobs,
     explode_steps,
@@ -18,7 +19,7 @@ from gridweave.operators.jobs import (
 from gridweave.plans.tables import table
 
 # Fixed values of the stand-ins: sites of the scheduling fixture.
-SITES = ["CTAO.DESY-ZN.de", "CTAO.PIC.es"]
+SITES = ["SITE-A.example.org", "SITE-B.example.org"]
 
 
 def expand_jobs_conversations(spark, sf):
@@ -257,12 +258,12 @@ SELECT page_id, list_extract(string_split(list_extract(string_split(url, '#'), -
 
 _JDL_SQL = """
 SELECT o_orderkey, concat_ws(chr(10),
-  'Executable = dirac-cwl-exec;', 'Arguments = job.json;',
+  '""" + EXECUTABLE_LINE + """', 'Arguments = job.json;',
   CASE WHEN CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1 > 0
        THEN 'NumberOfProcessors = ' || (CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1) || ';' END,
   'JobName = test;', 'OutputSandbox = {std.out, std.err};',
   CASE WHEN o_orderstatus = 'O' THEN 'Priority = 10;' WHEN o_orderstatus <> 'F' THEN 'Priority = 100;' END,
-  CASE WHEN o_orderstatus = 'P' THEN 'Site = CTAO.DESY-ZN.de, CTAO.PIC.es;' END,
+  CASE WHEN o_orderstatus = 'P' THEN 'Site = SITE-A.example.org, SITE-B.example.org;' END,
   'InputSandbox = SB:SandboxSE|/S3/sandbox-store/sha256:' || lpad(CAST(o_orderkey AS VARCHAR), 4, '0') || '.tar.zst;',
   CASE WHEN o_orderstatus <> 'F' THEN 'InputData = LFN:/orders/' || o_custkey || '/' || o_orderkey || '.dat, LFN:/calib/'
        || o_orderpriority || '.db;' END) AS jdl

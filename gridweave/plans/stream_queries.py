@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridweave.functions.lfn import lfn_location
-from gridweave.operators.jobs import render_job_text
+from gridweave.operators.jobs import EXECUTABLE_LINE, render_job_text
 from gridweave.plans.catalog_queries import _GROUPS_SQL, _ZIP_SQL
 from gridweave.session import checkpoint_dir
 from gridweave.streaming.grouping import (
@@ -87,7 +87,7 @@ g AS (SELECT event_type, (rn - 1) // 5 AS gid,
              string_agg('LFN:/events/' || event_type || '/' || event_id, ', ' ORDER BY rn) AS members,
              count(*) AS n FROM r GROUP BY event_type, (rn - 1) // 5 HAVING count(*) = 5)
 SELECT CAST(c.gid AS BIGINT) AS gid,
-       'Executable = dirac-cwl-exec;' || chr(10) || 'Arguments = job.json;' || chr(10) ||
+       '""" + EXECUTABLE_LINE + """' || chr(10) || 'Arguments = job.json;' || chr(10) ||
        'JobName = test;' || chr(10) || 'OutputSandbox = {std.out, std.err};' || chr(10) ||
        'Priority = 10;' || chr(10) ||
        'InputSandbox = SB:SandboxSE|/S3/sandbox-store/click-view_' || c.gid || '.tar.zst;' || chr(10) ||

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from gridweave.operators.jobs import (
+    EXECUTABLE_LINE,
     all_succeeded,
     expand_jobs,
     explode_steps,
@@ -13,22 +14,22 @@ from gridweave.operators.jobs import (
     waits_for_data,
 )
 
-SB = "SB:SandboxSE|/S3/diracx-sandbox-store/sha256:0001.tar.zst"
-HEAD = "Executable = dirac-cwl-exec;\nArguments = job.json;\n"
+SB = "SB:SandboxSE|/S3/sandbox-store/sha256:0001.tar.zst"
+HEAD = EXECUTABLE_LINE + "\nArguments = job.json;\n"
 
 
 def test_render_job_text_goldens(spark):
     refs = [f"lfn:/pi/100/result_{i}.sim" for i in range(1, 6)]
     df = spark.createDataFrame([
         (1, None, None, None, SB, None),
-        (2, None, 100, "CTAO.DESY-ZN.de, CTAO.PIC.es", SB, None),
+        (2, None, 100, "SITE-A.example.org, SITE-B.example.org", SB, None),
         (3, 1, None, None, SB, refs),
     ], "id int, cores int, priority int, sites string, sandbox_id string, input_refs array<string>")
     got = {r.id: r.t for r in df.select("id", render_job_text(df).alias("t")).collect()}
     assert got[1] == HEAD + "JobName = test;\nOutputSandbox = {std.out, std.err};\nPriority = 10;\n" \
         f"InputSandbox = {SB};"
     assert got[2] == HEAD + "JobName = test;\nOutputSandbox = {std.out, std.err};\nPriority = 100;\n" \
-        f"Site = CTAO.DESY-ZN.de, CTAO.PIC.es;\nInputSandbox = {SB};"
+        f"Site = SITE-A.example.org, SITE-B.example.org;\nInputSandbox = {SB};"
     assert got[3] == HEAD + "NumberOfProcessors = 1;\nJobName = test;\nOutputSandbox = {std.out, std.err};\n" \
         f"Priority = 10;\nInputSandbox = {SB};\nInputData = " + ", ".join(r.replace("lfn:", "LFN:") for r in refs) + ";"
 
