@@ -36,10 +36,18 @@ def expand_jobs(tasks: DataFrame, params: DataFrame, task_key: str = "task_id",
                 seq: str = "param_seq") -> DataFrame:
     """One job per parameter set of a task, or exactly one job without input.
 
-    ``job_id`` is ``<task>:<param_seq>`` (``<task>:-`` for the job without input): stable and
-    collision free, unlike a random number.
+    Written as an inner join (a task with a huge number of parameter sets is a skewed partition
+    either side of which can be split, and the task table - one row per task - is usually
+    broadcast) plus the tasks without any parameter set (left anti join), instead of a left join
+    whose right side could not be split.  ``job_id`` is ``<task>:<param_seq>`` (``<task>:-`` for
+    the job without input): stable and collision free, unlike a random number.
     """
-    jobs = tasks.join(params, task_key, "left")
+    with_params = params.join(tasks, task_key)
+    without = tasks.join(params.select(task_key), task_key, "left_anti")
+    for c in with_params.columns:
+        if c not in without.columns:
+            without = without.withColumn(c, F.lit(None).cast(with_params.schema[c].dataType))
+    jobs = with_params.unionByName(without.select(*with_params.columns))
     job_id = F.concat_ws(":", F.col(task_key).cast("string"),
                          F.coalesce(F.col(seq).cast("string"), F.lit("-")))
     return jobs.withColumn("job_id", job_id)
