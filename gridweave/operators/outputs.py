@@ -24,28 +24,25 @@ def parse_outputs(df: DataFrame, keys: Sequence[str], stdout: str = "stdout") ->
     ``stdout`` is a JSON object ``{output: file | [file, ...] | null}`` with ``file`` an object
     holding ``path``.  Empty outputs (null, "", [], {}) are skipped; null list items are
     skipped; an output whose items are all null gives one row with null ``pos``/``path``.  A
-    malformed document or value gives a row with ``error`` set.
+    malformed document or value gives a row with ``error`` set.  One pass: a single projection,
+    one explode of the outputs and one explode of the files.
     """
     keys = list(keys)
     m = F.from_json(F.col(stdout), "map<string,string>")
-    base = df.select(*keys, m.alias("_m"))
-    bad = base.filter(F.col("_m").isNull()).select(
-        *keys, F.lit(None).cast("string").alias("output_name"), F.lit(None).cast("int").alias("pos"),
-        F.lit(None).cast("string").alias("path"), F.lit(BAD_JSON).alias("error"))
-    ent = base.filter(F.col("_m").isNotNull()).select(*keys, F.explode("_m").alias("output_name", "_v"))
+    ent = df.select(*keys, m.isNull().alias("_bad"), F.explode_outer(m).alias("output_name", "_v"))
     v = F.trim(F.col("_v"))
-    ent = ent.filter(v.isNotNull() & ~v.isin(_FALSY)).withColumn("_v", v)
-    arr = F.when(F.col("_v").startswith("["), F.col("_v")).otherwise(F.concat(F.lit("["), F.col("_v"), F.lit("]")))
+    present = v.isNotNull() & ~v.isin(_FALSY)
+    ent = ent.filter(F.col("_bad") | (F.col("output_name").isNotNull() & present))
+    arr = F.when(v.startswith("["), v).otherwise(F.concat(F.lit("["), v, F.lit("]")))
     files = F.from_json(arr, "array<struct<path:string>>")
-    ent = ent.withColumn("_f", files)
-    wrong = ent.filter(F.col("_f").isNull()).select(
-        *keys, "output_name", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("path"),
-        F.lit(NOT_FILES).alias("error"))
-    good = ent.filter(F.col("_f").isNotNull()).withColumn(
-        "_f", F.filter("_f", lambda x: x.isNotNull() & x["path"].isNotNull()))
-    rows = good.select(*keys, "output_name", F.posexplode_outer("_f").alias("pos", "_x")).select(
-        *keys, "output_name", "pos", F.col("_x.path").alias("path"), F.lit(None).cast("string").alias("error"))
-    return rows.unionByName(bad).unionByName(wrong)
+    ent = ent.withColumn("_f", F.when(~F.col("_bad"), files))
+    error = (F.when(F.col("_bad"), F.lit(BAD_JSON))
+              .when(F.col("_f").isNull(), F.lit(NOT_FILES)))
+    ent = ent.withColumn("error", error)
+    kept = F.when(F.col("error").isNull(),
+                  F.filter("_f", lambda x: x.isNotNull() & x["path"].isNotNull()))
+    out = ent.select(*keys, "output_name", "error", F.posexplode_outer(kept).alias("pos", "_x"))
+    return out.select(*keys, "output_name", "pos", F.col("_x.path").alias("path"), "error")
 
 
 def route_outputs(outputs: DataFrame, output_paths: DataFrame, output_sandbox: DataFrame,
