@@ -182,14 +182,19 @@ def step_defaults(steps: DataFrame, wf_inputs: DataFrame, wf_key: str = "wf_id",
     workflow (as CWL requires).  A tool input whose short name matches a step ``in`` whose
     ``source`` is a workflow input takes that input's default - also when it is null.  Otherwise
     the tool default stays.  The tool input is matched to its step ``in`` inside the step row
-    (``filter`` over the array, ids are unique within a step); only the workflow lookup is a join.
+    (short ids of the ``in`` array once per step, then ``array_position``; ids are unique within
+    a step); only the workflow lookup is a join.
     Returns ``(wf_id, step_id, input_pos, input, default, from_workflow)``.
     """
-    tool = steps.select(wf_key, step_key, "in", F.posexplode("inputs").alias("input_pos", "_i"))
+    wired = steps.select(wf_key, step_key, "inputs",
+                         F.transform("in", lambda w: short_id(w["id"])).alias("_in_short"),
+                         F.col("in.source").alias("_in_src"))
+    tool = wired.select(wf_key, step_key, "_in_short", "_in_src",
+                        F.posexplode("inputs").alias("input_pos", "_i"))
     tool = tool.select(wf_key, step_key, "input_pos", short_id(F.col("_i.id")).alias("input"),
-                       F.col("_i.default").alias("tool_default"), "in")
-    wire = F.try_element_at(F.filter("in", lambda w: short_id(w["id"]) == F.col("input")), F.lit(1))
-    tool = tool.withColumn("source", wire["source"]).drop("in")
+                       F.col("_i.default").alias("tool_default"), "_in_short", "_in_src")
+    idx = F.array_position("_in_short", F.col("input")).cast("int")
+    tool = tool.withColumn("source", F.when(idx > 0, F.element_at("_in_src", idx))).drop("_in_short", "_in_src")
     wi = wf_inputs.select(F.col(wf_key), F.col("id").alias("source"), F.col("default").alias("_wf_default"),
                           F.lit(True).alias("_known"))
     j = tool.join(wi, [wf_key, "source"], "left")
