@@ -95,3 +95,18 @@ def sandbox_manifest(files: DataFrame, job_key: str = "job_id", pos: str = "pos"
                              F.concat(F.lit("sandbox_"), F.col("n_files").cast("string"), F.lit("_"),
                                       F.hex(F.col("_fp"))).alias("sandbox_id"))
     return kept, summary
+
+
+def staged_inputs(rows: DataFrame, job_key: str = "job_id") -> DataFrame:
+    """Job inputs after staging, rebuilt per job: ``(job_id, inputs map<input_name, array<path>>)``.
+
+    ``rows`` is the first result of :func:`rewrite_inputs`.  Catalog references point at their
+    local copies, every other input is kept as it was; paths keep their position order.  The lists
+    are a job's own inputs (bounded by its group size), collected per job.
+    """
+    per_input = rows.groupBy(job_key, "input_name").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("pos"), F.col("staged_path")))).alias("_p"))
+    per_input = per_input.select(job_key, "input_name",
+                                 F.transform("_p", lambda x: x["staged_path"]).alias("paths"))
+    return per_input.groupBy(job_key).agg(
+        F.map_from_entries(F.collect_list(F.struct("input_name", "paths"))).alias("inputs"))

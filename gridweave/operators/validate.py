@@ -41,3 +41,38 @@ def unexpected_keys(map_col: Column | str, allowed: Sequence[str]) -> Column:
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter("valid"), checked.filter(~F.col("valid"))
+
+
+# The task classes a submission accepts and the keys a scheduling hint may hold.
+TASK_CLASSES = ["CommandLineTool", "Workflow", "ExpressionTool"]
+SCHEDULING_KEYS = ["platform", "priority", "sites"]
+
+
+def validate_descriptors(tasks: DataFrame, registry_keys: DataFrame, kind: str = "job") -> DataFrame:
+    """The descriptor checks of a submission, one message per failed rule.
+
+    ``tasks`` holds ``task_class``, ``hook_plugin`` (null = default plugin), ``scheduling``
+    (``map<string,string>``) and ``group_size`` (``map<string,string>``, values as given).
+    ``registry_keys`` lists the known plugin keys (``key``).  ``kind`` is ``job``,
+    ``transformation`` or ``production`` (a production must be a ``Workflow``).
+    Returns the rows with ``errors`` and ``valid``.
+    """
+    t = tasks.withColumn("_plugin", F.coalesce(F.col("hook_plugin"), F.lit("QueryBasedPlugin")))
+    t = unknown_key(t, registry_keys, "_plugin")
+    bad_sched = unexpected_keys(F.coalesce(F.col("scheduling"), F.create_map().cast("map<string,string>")),
+                                SCHEDULING_KEYS)
+    gs = F.coalesce(F.col("group_size"), F.create_map().cast("map<string,string>"))
+    bad_sizes = F.filter(F.map_entries(gs), lambda e: e["value"].try_cast("int").isNull())
+    rules = [
+        (~F.col("task_class").isin(TASK_CLASSES),
+         F.concat(F.lit("task is not a CommandLineTool, Workflow or ExpressionTool: "),
+                  F.coalesce(F.col("task_class"), F.lit("null")))),
+        (F.col("_unknown__plugin"),
+         F.concat(F.lit("Unknown execution hooks plugin: "), F.col("_plugin"))),
+        (F.size(bad_sched) > 0, F.concat(F.lit("unknown scheduling keys: "), F.array_join(bad_sched, ", "))),
+        (F.size(bad_sizes) > 0, F.concat(F.lit("group_size is not an integer for: "),
+                                         F.array_join(F.transform(bad_sizes, lambda e: e["key"]), ", "))),
+    ]
+    if kind == "production":
+        rules.append((F.col("task_class") != "Workflow", F.lit("a production must be a Workflow")))
+    return check(t, rules).drop("_plugin", "_unknown__plugin")

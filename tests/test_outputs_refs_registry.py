@@ -125,3 +125,32 @@ def test_validate_rules(spark):
                      (F.size(extra) > 0, F.concat(F.lit("unknown keys: "), F.array_join(extra, ",")))])
     got = rows(out.select("group_size", F.array_join("errors", "|"), "valid"))
     assert got == [("5", "", True), ("x", "group_size is not an int|unknown keys: bogus", False)]
+
+
+def test_staged_inputs_rebuilt_per_job(spark):
+    from gridweave.operators.refs import staged_inputs
+    refs = spark.createDataFrame([
+        ("j", "data", 1, "lfn:/pi/2.sim", None, True), ("j", "data", 0, "lfn:/pi/1.sim", None, True),
+        ("j", "cfg", 0, None, "/tmp/c.txt", False),
+    ], REFS).withColumnRenamed("job", "job_id")
+    cat = catalog_from_lfns(spark.createDataFrame([("/pi/1.sim",), ("/pi/2.sim",)], "lfn string"))
+    r, _ = rewrite_inputs(refs, cat)
+    m = staged_inputs(r).first().inputs
+    assert m["data"] == ["1.sim", "2.sim"] and m["cfg"] == ["/tmp/c.txt"]
+
+
+def test_validate_descriptors(spark):
+    from gridweave.operators.validate import validate_descriptors
+    tasks = spark.createDataFrame([
+        ("a", "Workflow", None, {"priority": "10"}, {"input-data": "5"}),
+        ("b", "Tool", "Nope", {"bogus": "1"}, {"input-data": "five"}),
+        ("c", "CommandLineTool", "QueryBasedPlugin", None, None),
+    ], "id string, task_class string, hook_plugin string, scheduling map<string,string>, group_size map<string,string>")
+    known = spark.createDataFrame([("QueryBasedPlugin",)], "key string")
+    got = {r.id: list(r.errors) for r in validate_descriptors(tasks, known).collect()}
+    assert got["a"] == [] and got["c"] == []
+    assert got["b"] == ["task is not a CommandLineTool, Workflow or ExpressionTool: Tool",
+                        "Unknown execution hooks plugin: Nope", "unknown scheduling keys: bogus",
+                        "group_size is not an integer for: input-data"]
+    prod = {r.id: list(r.errors) for r in validate_descriptors(tasks, known, kind="production").collect()}
+    assert prod["c"] == ["a production must be a Workflow"] and prod["a"] == []
