@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 from gridweave.session import checkpoint_dir
 
 # Rows above which one key is numbered with the split method, and run-table rows (about 50 bytes
-# each, so some 10 MB) up to which the
-# run table is broadcast to the sorted rows.
+# each, so some 10 MB) up to which the run table is broadcast to the sorted rows.
 HOT_ROWS = 4_000_000
 BROADCAST_RUNS = 200_000
 
