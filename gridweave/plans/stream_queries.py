@@ -18,6 +18,7 @@ from gridweave.streaming.grouping import (
     stream_fixed_groups_batched,
     stream_new_entries,
     stream_zip_groups,
+    stream_zip_groups_batched,
 )
 from gridweave.streaming.jobs import run_jobs_to_table, run_to_table
 
@@ -58,6 +59,22 @@ def stream_zip_groups_events(spark, sf):
                       F.array_join(F.col("members")[1], ",").alias("view_members"))
 
 
+def stream_zip_groups_batched_events(spark, sf):
+    """Click/view jobs zipped by Spark jobs per micro-batch; waiting groups carried per batch id."""
+    import uuid
+    ev = _table_stream(spark, sf, "events").select("event_type", "event_id") \
+        .withColumn("task_id", F.lit("click-view"))
+    inputs = spark.createDataFrame([("click-view", "click", 0), ("click-view", "view", 1)],
+                                   "task_id string, event_type string, input_pos int")
+    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/batched-zip-{uuid.uuid4().hex[:12]}"
+    q = stream_zip_groups_batched(ev, ["task_id"], "event_type", inputs, "event_id", 5, f"{base}/data",
+                                  f"{base}/state", f"{base}/_checkpoint")
+    q.awaitTermination()
+    out = spark.read.parquet(f"{base}/data")
+    return out.select("gid", F.array_join(F.col("inputs")[0]["members"], ",").alias("click_members"),
+                      F.array_join(F.col("inputs")[1]["members"], ",").alias("view_members"))
+
+
 def stream_new_entries_lineitem(spark, sf):
     li = _table_stream(spark, sf, "lineitem").select(
         F.concat(F.lit("/orders/"), F.col("l_orderkey").cast("string")).alias("lfn"))
@@ -99,6 +116,7 @@ QUERIES = {
     "stream_fixed_groups_events": (stream_fixed_groups_events, _GROUPS_SQL),
     "stream_fixed_groups_batched_events": (stream_fixed_groups_batched_events, _GROUPS_SQL),
     "stream_zip_groups_events": (stream_zip_groups_events, _ZIP_SQL),
+    "stream_zip_groups_batched_events": (stream_zip_groups_batched_events, _ZIP_SQL),
     "stream_new_entries_lineitem": (stream_new_entries_lineitem,
                                     "SELECT DISTINCT '/orders/' || l_orderkey AS lfn FROM lineitem"),
     "stream_jobs_events": (stream_jobs_events, _STREAM_JOBS_SQL),

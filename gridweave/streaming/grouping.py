@@ -217,3 +217,53 @@ def stream_fixed_groups_batched(stream: DataFrame, keys: Sequence[str], order: s
 
     w = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def zip_groups_batch_step(batch: DataFrame, batch_id: int, task_keys: Sequence[str], input_col: str,
+                          inputs: DataFrame, order: str, size: int, value: str, out_path: str,
+                          state_path: str, method: str = "auto") -> None:
+    """One micro-batch of :func:`stream_zip_groups_batched`.
+
+    The batch is cut into groups per (task, input) by :func:`fixed_groups_batch_step` (group ids
+    continue across batches); the new groups plus the groups still waiting from batch
+    ``batch_id - 1`` are zipped with :func:`~gridweave.operators.grouping.zip_groups` - a job
+    exists once every declared input has its group of that id - and the groups not used yet are
+    carried to the next batch.  All writes overwrite their own batch folder.
+    """
+    from gridweave.operators.grouping import zip_groups
+
+    spark = batch.sparkSession
+    task_keys = list(task_keys)
+    base = state_path.rstrip("/")
+    fixed_groups_batch_step(batch, batch_id, [*task_keys, input_col], order, size, value,
+                            f"{base}/groups", f"{base}/grouping", method)
+    new = spark.read.parquet(f"{base}/groups/batch_id={batch_id}").select(
+        *task_keys, input_col, "gid", "members")
+    waiting = _read_or_none(spark, f"{base}/waiting/batch_id={batch_id - 1}") if batch_id > 0 else None
+    groups = new if waiting is None else new.unionByName(waiting.select(*new.columns))
+    groups = groups.checkpoint(eager=True)
+    jobs = zip_groups(groups, inputs, task_keys, input_col=input_col).checkpoint(eager=True)
+    jobs.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
+    left = groups.join(jobs.select(*task_keys, "gid"), [*task_keys, "gid"], "left_anti")
+    left.write.mode("overwrite").parquet(f"{base}/waiting/batch_id={batch_id}")
+
+
+def stream_zip_groups_batched(stream: DataFrame, task_keys: Sequence[str], input_col: str,
+                              inputs: DataFrame, order: str, size: int, out_path: str, state_path: str,
+                              checkpoint: str, value: str | None = None, method: str = "auto",
+                              trigger: dict | None = None):
+    """Start a query that zips arriving entries into jobs with Spark jobs per micro-batch.
+
+    The scale alternative to :func:`stream_zip_groups`: grouping splits hot keys, zipping is the
+    batch operator, and the state (tails, next group ids, groups waiting for a slower input) is
+    small tables per batch id on shared storage.  ``inputs`` declares ``(task_keys...,
+    input_name, input_pos)`` as for :func:`~gridweave.operators.grouping.zip_groups`.
+    """
+    value = value or order
+
+    def step(batch, batch_id):
+        zip_groups_batch_step(batch, batch_id, task_keys, input_col, inputs, order, size, value,
+                              out_path, state_path, method)
+
+    w = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"availableNow": True})).start()

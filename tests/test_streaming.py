@@ -91,3 +91,24 @@ def test_batched_stream_groups_equal_stateful(spark, tmpdir_path):
                           for r in df.select("event_type", "gid", "members").collect())
 
         assert norm(batched) == norm(stateful)
+
+
+def test_batched_zip_equals_stateful(spark, tmpdir_path):
+    from gridweave.streaming.grouping import stream_zip_groups_batched
+
+    root = os.path.join(tmpdir_path, "in")
+    ev = _write_batches(spark, root, n_batches=3)
+
+    def src():
+        return _stream(spark, root, ev.schema).withColumn("task_id", F.lit("t"))
+
+    stateful = run_to_table(stream_zip_groups(src(), ["task_id"], "event_type", ["click", "view"], "event_id", 5), "t5")
+    want = sorted((r.gid, tuple(tuple(m) for m in r.members)) for r in stateful.collect())
+    inputs = spark.createDataFrame([("t", "click", 0), ("t", "view", 1)], "task_id string, event_type string, input_pos int")
+    base = os.path.join(tmpdir_path, "zb")
+    q = stream_zip_groups_batched(src(), ["task_id"], "event_type", inputs, "event_id", 5,
+                                  os.path.join(base, "out"), os.path.join(base, "state"), os.path.join(base, "ck"))
+    q.awaitTermination()
+    out = spark.read.parquet(os.path.join(base, "out"))
+    got = sorted((r.gid, tuple(tuple(i.members) for i in r.inputs)) for r in out.collect())
+    assert got == want and len(got) > 0
