@@ -19,6 +19,8 @@ _DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files of frames no longer referenced are removed (long-running sessions)
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
