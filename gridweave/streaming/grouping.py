@@ -228,7 +228,8 @@ def zip_groups_batch_step(batch: DataFrame, batch_id: int, task_keys: Sequence[s
     continue across batches); the new groups plus the groups still waiting from batch
     ``batch_id - 1`` are zipped with :func:`~gridweave.operators.grouping.zip_groups` - a job
     exists once every declared input has its group of that id - and the groups not used yet are
-    carried to the next batch.  All writes overwrite their own batch folder.
+    carried to the next batch; ``state_path/stats`` holds how many groups wait per task and input
+    (the backlog a slow input causes).  All writes overwrite their own batch folder.
     """
     from gridweave.operators.grouping import zip_groups
 
@@ -246,6 +247,10 @@ def zip_groups_batch_step(batch: DataFrame, batch_id: int, task_keys: Sequence[s
     jobs.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
     left = groups.join(jobs.select(*task_keys, "gid"), [*task_keys, "gid"], "left_anti")
     left.write.mode("overwrite").parquet(f"{base}/waiting/batch_id={batch_id}")
+    # the state grows with the slowest input: its size per task and input, for monitoring
+    (spark.read.parquet(f"{base}/waiting/batch_id={batch_id}")
+          .groupBy(*task_keys, input_col).agg(F.count(F.lit(1)).alias("waiting_groups"))
+          .write.mode("overwrite").parquet(f"{base}/stats/batch_id={batch_id}"))
 
 
 def stream_zip_groups_batched(stream: DataFrame, task_keys: Sequence[str], input_col: str,

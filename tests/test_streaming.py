@@ -112,3 +112,10 @@ def test_batched_zip_equals_stateful(spark, tmpdir_path):
     out = spark.read.parquet(os.path.join(base, "out"))
     got = sorted((r.gid, tuple(tuple(i.members) for i in r.inputs)) for r in out.collect())
     assert got == want and len(got) > 0
+    stats = spark.read.parquet(os.path.join(base, "state", "stats"))
+    last = stats.agg(F.max("batch_id")).first()[0]
+    waiting = {r.event_type: r.waiting_groups for r in stats.filter(F.col("batch_id") == last).collect()}
+    n_click = ev.filter("event_type = 'click'").count() // 5
+    n_view = ev.filter("event_type = 'view'").count() // 5
+    faster = "click" if n_click > n_view else "view"
+    assert waiting.get(faster, 0) == abs(n_click - n_view)
