@@ -54,6 +54,22 @@ def match_query(catalog: DataFrame, queries: DataFrame, query_col: str = "query"
     return cat.join(q, cat["dir"] == q["_qdir"], "inner").drop("_qdir")
 
 
+def largest_match(catalog: DataFrame, queries: DataFrame, query_col: str = "query") -> int:
+    """Most catalog entries below any one queried directory (visible names only).
+
+    Sizes the groups of a directory match from the narrowest data there is: only the ``dir`` and
+    ``name`` columns are read, semi-joined to the (counted, broadcast) query directories and
+    counted per directory - no join output, nothing written.
+    """
+    dirs = queries.select(query_key(query_col).alias("dir")).distinct()
+    n = dirs.count()
+    if n <= BROADCAST_QUERIES:
+        dirs = F.broadcast(dirs)
+    hits = catalog.filter(_not_hidden()).select("dir").join(dirs, "dir", "left_semi")
+    row = hits.groupBy("dir").count().agg(F.max("count").alias("m")).first()
+    return int(row["m"] or 0)
+
+
 def glob_to_regex(pattern: str) -> str:
     """Regex for the direct children of a glob directory pattern (``*``, ``?``, ``[...]``)."""
     out = []

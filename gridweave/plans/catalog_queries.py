@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from gridweave.functions.lfn import input_query, lfn_location
 from gridweave.operators.catalog import (
     add_entries,
+    largest_match,
     find_files,
     match_patterns,
     match_query,
     upsert_metadata,
 )
-from gridweave.operators.grouping import fixed_groups, group_limit, zip_groups
+from gridweave.operators.grouping import HOT_ROWS, fixed_groups, group_limit, zip_groups
 from gridweave.operators.jobs import EXECUTABLE_LINE, render_job_text
 from gridweave.plans.inputs import (
     FLAGSHIP_GROUP,
@@ -42,6 +43,9 @@ def transformation_jobs(spark, sf, group_size: int = FLAGSHIP_GROUP, method: str
     inputs = inputs.checkpoint(eager=True)  # the task spec: small, read three times below
     queries = inputs.withColumn("query", input_query(QUERY_ROOT, None, F.col("campaign"), F.col("site"),
                                                      None, F.col("input_name")))
+    if method == "auto":
+        # a group key is one queried directory: size it from the catalog's dir column alone
+        method = "split" if largest_match(catalog, queries) > HOT_ROWS else "window"
     matched = match_query(catalog, queries)
     groups = fixed_groups(matched, ["task_id", "input_name"], order="lfn", size=group_size,
                           value="lfn", method=method)

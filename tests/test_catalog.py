@@ -133,3 +133,11 @@ def test_catalog_snapshots(spark, tmpdir_path):
     # an unfinished snapshot (no _SUCCESS) is ignored
     os.makedirs(os.path.join(root, "snapshot=0003"))
     assert read_latest_catalog(spark, root).count() == 3
+
+
+def test_largest_match_counts_visible_entries_of_queried_dirs(spark):
+    from gridweave.operators.catalog import largest_match
+    c = catalog(spark, ["/q/a", "/q/b", "/q/.h", "/r/a", "/big/1", "/big/2", "/big/3"])
+    qs = spark.createDataFrame([("q",), ("/q/",), ("/r",)], "query string")
+    assert largest_match(c, qs) == 2
+    assert largest_match(c, spark.createDataFrame([("/nothing",)], "query string")) == 0
