@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridweave.functions.text import base64_text, caesar, md5_text, rot13
+from gridweave.session import checkpoint_dir
+from gridweave.sources.points import read_points, write_points
 from gridweave.operators.points import estimate_pi
 from gridweave.operators.text import text_fanout
 from gridweave.plans.tables import table
@@ -50,6 +52,19 @@ def estimate_pi_first_file(spark, sf):
     return est.select("l_returnflag", F.round("pi_estimate", 10).alias("pi_estimate"), "n_points")
 
 
+def read_points_lineitem(spark, sf):
+    """Points written as ``x y`` text files (one per partition) to the shared folder, read back
+    line by line and estimated over all files."""
+    import uuid
+    pts = table(spark, sf, "lineitem").select((F.col("l_discount") * 10).alias("x"),
+                                              (F.col("l_tax") * 12.5).alias("y"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/points-{uuid.uuid4().hex[:12]}"
+    write_points(pts, path)
+    est = estimate_pi(read_points(spark, path))
+    return est.select(F.round("pi_estimate", 10).alias("pi_estimate"), "n_points",
+                      F.col("n_inside").cast("long").alias("n_inside"))
+
+
 # DuckDB has no Unicode letter class or lower-case test per character that matches Python's;
 # RE2's \p{L} and \p{Ll} (plus the two ordinal indicators) are used, which agree on this data.
 _CAESAR_SQL = """
@@ -102,6 +117,15 @@ FROM lineitem l JOIN f ON l.l_returnflag = f.l_returnflag AND year(l.l_shipdate)
 GROUP BY l.l_returnflag
 """
 
+_PI_ALL_SQL = """
+SELECT round(4 * avg(CASE WHEN sqrt((l_discount * 10) * (l_discount * 10) + (l_tax * 12.5) * (l_tax * 12.5)) <= 1
+                          THEN 1 ELSE 0 END), 10) AS pi_estimate,
+       count(*) AS n_points,
+       CAST(sum(CASE WHEN sqrt((l_discount * 10) * (l_discount * 10) + (l_tax * 12.5) * (l_tax * 12.5)) <= 1
+                THEN 1 ELSE 0 END) AS BIGINT) AS n_inside
+FROM lineitem
+"""
+
 QUERIES = {
     "caesar_documents": (caesar_documents, _CAESAR_SQL),
     "rot13_documents": (rot13_documents, _ROT13_SQL),
@@ -110,4 +134,5 @@ QUERIES = {
     "text_fanout_conversations": (text_fanout_conversations, _FANOUT_SQL),
     "estimate_pi_lineitem": (estimate_pi_lineitem, _PI_SQL),
     "estimate_pi_first_file": (estimate_pi_first_file, _PI_FIRST_SQL),
+    "read_points_lineitem": (read_points_lineitem, _PI_ALL_SQL),
 }
