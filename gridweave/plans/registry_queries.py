@@ -17,7 +17,9 @@ from gridweave.operators.registry import lookup_with_fallback, register, registr
 from gridweave.operators.validate import check, unknown_key, wrong_type
 from gridweave.plans.inputs import lineitem_dir, lineitem_name
 from gridweave.plans.tables import table
+from gridweave.session import checkpoint_dir
 from gridweave.sources.catalog import catalog_from_parts
+from gridweave.sources.sinks import merge_text_outputs
 
 # Fixed values of the stand-ins: the plugin keys the validation knows (one per language).
 KNOWN_PLUGINS = ["en", "de", "fr"]
@@ -121,6 +123,23 @@ def validate_documents(spark, sf):
     return out.select("doc_id", F.array_join("errors", "; ").alias("errors"), "valid")
 
 
+def merge_text_outputs_conversations(spark, sf):
+    """Every conversation is a job folder holding one text output (its turns); the folders are
+    merged per job and the merged lines counted (headers and separators excluded)."""
+    import uuid
+    conv = table(spark, sf, "conversations")
+    root = f"{checkpoint_dir(spark).rstrip('/')}/job-outputs-{uuid.uuid4().hex[:12]}"
+    (conv.select(F.col("conv_id").cast("string").alias("job"), "text").repartition("job")
+         .write.partitionBy("job").text(root))
+    merged = merge_text_outputs(spark, root)
+    body = (F.col("block") >= 0) & (F.col("block") < F.lit(2 ** 62))
+    per_job = merged.groupBy("job").agg(F.countDistinct("file").alias("n_files"),
+                                        F.count(F.when(body, 1)).alias("n_lines"),
+                                        F.count(F.lit(1)).alias("n_merged"))
+    return per_job.select(F.regexp_extract("job", r"^job=(.*)$", 1).cast("long").alias("conv_id"),
+                          "n_files", "n_lines", "n_merged")
+
+
 def run_hooks_documents(spark, sf):
     """Pre-processing ROT13 of every document, post-processing digest."""
     d = table(spark, sf, "documents").select("doc_id", "text")
@@ -213,7 +232,14 @@ SELECT doc_id, md5(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqr
 FROM documents
 """
 
+_MERGE_SQL = """
+SELECT conv_id, CAST(1 AS BIGINT) AS n_files, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS n_lines,
+       CAST(sum(len(string_split(text, chr(10)))) + 2 AS BIGINT) AS n_merged
+FROM conversations GROUP BY conv_id
+"""
+
 QUERIES = {
+    "merge_text_outputs_conversations": (merge_text_outputs_conversations, _MERGE_SQL),
     "register_plugins_suppliers": (register_plugins_suppliers, _REGISTER_SQL),
     "lookup_registry_customers": (lookup_registry_customers, _LOOKUP_SQL),
     "registry_summary_suppliers": (registry_summary_suppliers, _SUMMARY_SQL),
