@@ -27,7 +27,7 @@ from gridweave.plans.inputs import (
 )
 from gridweave.plans.tables import table
 from gridweave.session import checkpoint_dir
-from gridweave.sources.catalog import catalog_from_parts
+from gridweave.sources.catalog import catalog_from_parts, read_latest_catalog, write_catalog_snapshot
 
 EVENT_GROUP = 7
 ZIP_GROUP = 5
@@ -68,6 +68,22 @@ def catalog_match_lineitem(spark, sf):
     return match_query(catalog, queries).select("task_id", "query", "lfn", "name")
 
 
+def catalog_snapshot_lineitem(spark, sf):
+    """The lineitem catalog written as a snapshot (partitioned by return flag), read back as the
+    latest committed snapshot, and matched against every task input's query path."""
+    import uuid
+    li = table(spark, sf, "lineitem")
+    cat = catalog_from_parts(li, lineitem_dir(), lineitem_name(), keep=["l_returnflag"])
+    root = f"{checkpoint_dir(spark).rstrip('/')}/catalog-{uuid.uuid4().hex[:12]}"
+    write_catalog_snapshot(cat, root, partition_by=["l_returnflag"])
+    stored = read_latest_catalog(spark, root)
+    _, inputs = lineitem_tasks(spark, sf)
+    queries = inputs.withColumn("query", input_query(QUERY_ROOT, None, F.col("campaign"), F.col("site"),
+                                                     None, F.col("input_name")))
+    m = match_query(stored, queries)
+    return m.groupBy("query").agg(F.count(F.lit(1)).alias("n_files"), F.min("name").alias("first_name"))
+
+
 def find_files_lineitem(spark, sf):
     """Look up every line's file (written with ``lfn:``, ``LFN:`` or no prefix) in a catalog that
     holds only the finished lines (linestatus F)."""
@@ -177,6 +193,13 @@ SELECT l_returnflag || '-' || l_linestatus AS task_id,
 FROM lineitem
 """
 
+_SNAPSHOT_SQL = f"""
+SELECT '/grid/data/' || l_returnflag || '/' || l_linestatus || '/' || CAST(year(l_shipdate) AS VARCHAR) AS query,
+       count(*) AS n_files,
+       min(l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey || '.sim') AS first_name
+FROM lineitem GROUP BY 1
+"""
+
 _FIND_SQL = f"""
 WITH w AS (SELECT CASE WHEN l_returnflag = 'A' THEN 'lfn:' || {_CAT}
                        WHEN l_returnflag = 'N' THEN 'LFN:' || {_CAT} ELSE {_CAT} END AS lfn,
@@ -245,6 +268,7 @@ UNION ALL SELECT 3, '/events/' || event_type || '/' || event_id FROM events WHER
 QUERIES = {
     "transformation_jobs": (transformation_jobs, _FLAGSHIP_SQL),
     "catalog_match_lineitem": (catalog_match_lineitem, _MATCH_SQL),
+    "catalog_snapshot_lineitem": (catalog_snapshot_lineitem, _SNAPSHOT_SQL),
     "find_files_lineitem": (find_files_lineitem, _FIND_SQL),
     "add_entries_orders": (add_entries_orders, _ADD_SQL),
     "upsert_orders": (upsert_orders, _UPSERT_SQL),
