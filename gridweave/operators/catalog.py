@@ -54,6 +54,17 @@ def match_query(catalog: DataFrame, queries: DataFrame, query_col: str = "query"
     return cat.join(q, cat["dir"] == q["_qdir"], "inner").drop("_qdir")
 
 
+def has_hot_match(catalog: DataFrame, queries: DataFrame, threshold: int, query_col: str = "query") -> bool:
+    """Whether some queried directory holds more than ``threshold`` entries.
+
+    The catalog's row count bounds every directory; only when it exceeds the threshold are the
+    directories counted (:func:`largest_match`).
+    """
+    if catalog.count() <= threshold:
+        return False
+    return largest_match(catalog, queries, query_col) > threshold
+
+
 def largest_match(catalog: DataFrame, queries: DataFrame, query_col: str = "query") -> int:
     """Most catalog entries below any one queried directory (visible names only).
 

@@ -10,8 +10,9 @@ of exactly ``size`` rows; the incomplete tail is dropped.  Two exact ways to num
   each partition's run of a key gets its offset from a prefix sum of the run lengths of the earlier
   partitions.  The run table has at most one row per (partition, key).
 
-``auto`` materialises the input (reliable checkpoint), measures its largest key with one
-aggregation and picks ``split`` when that exceeds ``hot_rows``.
+``auto`` picks ``window`` when the whole input has at most ``hot_rows`` rows (one count); otherwise
+it materialises the input (reliable checkpoint), measures its largest key with one aggregation and
+picks ``split`` when that exceeds ``hot_rows``.
 """
 
 from __future__ import annotations
@@ -39,10 +40,14 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: str, method: str = "a
     """Add ``rn`` (1, 2, ...) numbering the rows of every key by ``order`` (unique per key)."""
     keys = list(keys)
     if method == "auto":
-        # one pass over the materialised input sizes the keys; both ways then read it back
-        checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
-        method = "split" if largest_key(df, keys) > hot_rows else "window"
+        # no key is larger than the whole input: a count (no column read) settles small inputs
+        if df.count() <= hot_rows:
+            method = "window"
+        else:
+            # one pass over the materialised input sizes the keys; both ways then read it back
+            checkpoint_dir(df.sparkSession)
+            df = df.checkpoint(eager=True)
+            method = "split" if largest_key(df, keys) > hot_rows else "window"
     if method == "window":
         w = Window.partitionBy(*keys).orderBy(order)
         return df.withColumn("rn", F.row_number().over(w).cast("long"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridweave.functions.lfn import input_query, lfn_location
 from gridweave.operators.catalog import (
     add_entries,
-    largest_match,
+    has_hot_match,
     find_files,
     match_patterns,
     match_query,
@@ -45,7 +45,7 @@ def transformation_jobs(spark, sf, group_size: int = FLAGSHIP_GROUP, method: str
                                                      None, F.col("input_name")))
     if method == "auto":
         # a group key is one queried directory: size it from the catalog's dir column alone
-        method = "split" if largest_match(catalog, queries) > HOT_ROWS else "window"
+        method = "split" if has_hot_match(catalog, queries, HOT_ROWS) else "window"
     matched = match_query(catalog, queries)
     groups = fixed_groups(matched, ["task_id", "input_name"], order="lfn", size=group_size,
                           value="lfn", method=method)

@@ -136,8 +136,9 @@ def test_catalog_snapshots(spark, tmpdir_path):
 
 
 def test_largest_match_counts_visible_entries_of_queried_dirs(spark):
-    from gridweave.operators.catalog import largest_match
+    from gridweave.operators.catalog import has_hot_match, largest_match
     c = catalog(spark, ["/q/a", "/q/b", "/q/.h", "/r/a", "/big/1", "/big/2", "/big/3"])
     qs = spark.createDataFrame([("q",), ("/q/",), ("/r",)], "query string")
     assert largest_match(c, qs) == 2
+    assert has_hot_match(c, qs, 1) and not has_hot_match(c, qs, 2) and not has_hot_match(c, qs, 100)
     assert largest_match(c, spark.createDataFrame([("/nothing",)], "query string")) == 0
