@@ -130,3 +130,30 @@ def test_hooks_order_stage_and_errors(spark):
     with pytest.raises(WorkflowProcessingError) as e:
         run_hooks(df, "pre", [boom])
     assert "Command 'Boom' failed during the pre-process stage" in str(e.value)
+
+
+def test_merged_output_of_one_big_job_spans_ordered_part_files(spark, tmpdir_path):
+    root = os.path.join(tmpdir_path, "jobs")
+    os.makedirs(os.path.join(root, "big"))
+    n = 20000
+    with open(os.path.join(root, "big", "log.out"), "w") as f:
+        f.write("".join(f"line {i:05d}\n" for i in range(n)))
+    with open(os.path.join(root, "big", "z.txt"), "w") as f:
+        f.write("tail\n")
+    out = os.path.join(tmpdir_path, "merged")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_merged(merge_text_outputs(spark, root), out)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    d = os.path.join(out, "job=big")
+    parts = sorted(p for p in os.listdir(d) if p.startswith("part-"))
+    assert len(parts) > 1  # the one job is spread over several tasks
+    lines = []
+    for p in parts:
+        with open(os.path.join(d, p)) as f:
+            lines += f.read().splitlines()
+    log = os.path.join(root, "big", "log.out")
+    txt = os.path.join(root, "big", "z.txt")
+    assert lines == [f"############ {log}"] + [f"line {i:05d}" for i in range(n)] + [""] + \
+        [f"############ {txt}", "tail", ""]
