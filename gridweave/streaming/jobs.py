@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 from gridweave.session import checkpoint_dir
 
+# Fixed value: how often a waiting transformation looks for new catalog entries.
+POLL_INTERVAL = "5 seconds"
+
 
 def stream_jobs(groups: DataFrame, out_path: str, checkpoint: str, to_jobs, trigger: dict | None = None):
     """Start a query that turns every micro-batch of groups into job rows and writes them.
 
     ``to_jobs(batch_df) -> DataFrame`` builds the job rows (e.g. text via ``render_job_text``).
     Each batch is written to ``out_path/batch_id=<id>`` with overwrite, so a batch replayed after
-    a failure replaces its own output instead of duplicating it.
+    a failure replaces its own output instead of duplicating it.  The default trigger processes
+    what is there and stops; ``trigger={"processingTime": POLL_INTERVAL}`` keeps a transformation
+    running and picks new entries up every 5 seconds.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         jobs = to_jobs(batch)
@@ -54,4 +59,4 @@ def run_jobs_to_table(groups: DataFrame, name: str, to_jobs) -> DataFrame:
     return spark.read.parquet(f"{base}/data").drop("batch_id")
 
 
-__all__ = ["stream_jobs", "run_to_table", "run_jobs_to_table", "F"]
+__all__ = ["POLL_INTERVAL", "stream_jobs", "run_to_table", "run_jobs_to_table", "F"]
