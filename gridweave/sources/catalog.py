@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
 from gridweave.functions._cols import as_col
-from gridweave.functions.lfn import normalize_lfn
 
 CATALOG_SCHEMA = T.StructType([
     T.StructField("lfn", T.StringType(), False),

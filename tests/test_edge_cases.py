@@ -1,7 +1,6 @@
 """Empty inputs, null keys and other cases the reference never exercises."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import rows
 from gridweave.operators.catalog import add_entries, find_files, match_query

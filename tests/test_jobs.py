@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from conftest import rows
 from gridweave.operators.jobs import (
     EXECUTABLE_LINE,
