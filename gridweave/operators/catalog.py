@@ -129,10 +129,8 @@ def match_patterns(catalog: DataFrame, patterns: Sequence[str]) -> DataFrame:
                         .withColumn("query_pos", F.lit(i)).withColumn("query", F.lit(p)))
     if not parts:
         raise ValueError("no query given")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    from gridweave.operators.grouping import union_queries
+    return union_queries(*parts)
 
 
 def find_files(catalog: DataFrame, wanted: DataFrame, lfn_col: str = "lfn") -> DataFrame:
