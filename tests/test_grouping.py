@@ -57,3 +57,10 @@ def test_zip_cuts_to_shortest_input(spark):
 def test_union_keeps_duplicates(spark):
     a = spark.range(3)
     assert union_queries(a, a, spark.range(2)).count() == 8
+
+
+def test_flagship_same_jobs_with_split_ranking(spark):
+    from gridweave.plans.catalog_queries import transformation_jobs
+    a = rows(transformation_jobs(spark, SF_SMALL, method="window"))
+    b = rows(transformation_jobs(spark, SF_SMALL, method="split"))
+    assert a == b and len(a) > 0
