@@ -142,3 +142,19 @@ def test_largest_match_counts_visible_entries_of_queried_dirs(spark):
     assert largest_match(c, qs) == 2
     assert has_hot_match(c, qs, 1) and not has_hot_match(c, qs, 2) and not has_hot_match(c, qs, 100)
     assert largest_match(c, spark.createDataFrame([("/nothing",)], "query string")) == 0
+
+
+def test_read_catalog_json_lines_and_list_glob(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "cat.json")
+    with open(p, "w") as f:
+        f.write(json.dumps({"lfn": "/a/b/x.sim", "dir": "/a/b", "name": "x.sim", "creation_epoch": 2.0}) + "\n")
+        f.write(json.dumps({"lfn": "/a/c/y.sim", "dir": "/a/c", "name": "y.sim"}) + "\n")
+    df = read_catalog(spark, p, fmt="json")
+    assert rows(df, "lfn", "creation_epoch") == [("/a/b/x.sim", 2.0), ("/a/c/y.sim", None)]
+    root = os.path.join(tmpdir_path, "files")
+    os.makedirs(os.path.join(root, "d"))
+    for name in ["a.sim", "b.sim", "c.txt"]:
+        with open(os.path.join(root, "d", name), "w") as f:
+            f.write("x")
+    assert rows(list_files(spark, root, glob="*.sim"), "lfn") == [("/d/a.sim",), ("/d/b.sim",)]
+    assert list_files(spark, os.path.join(tmpdir_path, "none")).count() == 0

@@ -157,3 +157,16 @@ def test_merged_output_of_one_big_job_spans_ordered_part_files(spark, tmpdir_pat
     txt = os.path.join(root, "big", "z.txt")
     assert lines == [f"############ {log}"] + [f"line {i:05d}" for i in range(n)] + [""] + \
         [f"############ {txt}", "tail", ""]
+
+
+def test_read_parameters_permissive_keeps_good_documents(spark, tmpdir_path):
+    good = os.path.join(tmpdir_path, "good.json")
+    with open(good, "w") as f:
+        json.dump({"message": "Hello World"}, f)
+    bad = os.path.join(tmpdir_path, "bad.json")
+    with open(bad, "w") as f:
+        f.write("{not json")
+    df = read_parameters(spark, [good, bad], failfast=False)
+    got = {(os.path.basename(r.source), r.key, r.value) for r in df.collect()}
+    assert ("good.json", "message", "Hello World") in got
+    assert ("bad.json", None, None) in got
