@@ -18,7 +18,7 @@ from gridweave.operators.validate import check, unknown_key, wrong_type
 from gridweave.plans.inputs import lineitem_dir, lineitem_name
 from gridweave.plans.tables import table
 from gridweave.session import checkpoint_dir
-from gridweave.sources.catalog import catalog_from_parts
+from gridweave.sources.catalog import catalog_from_parts, list_files
 from gridweave.sources.sinks import merge_text_outputs
 
 # Fixed values of the stand-ins: the plugin keys the validation knows (one per language).
@@ -123,14 +123,27 @@ def validate_documents(spark, sf):
     return out.select("doc_id", F.array_join("errors", "; ").alias("errors"), "valid")
 
 
-def merge_text_outputs_conversations(spark, sf):
-    """Every conversation is a job folder holding one text output (its turns); the folders are
-    merged per job and the merged lines counted (headers and separators excluded)."""
+def _conversation_outputs(spark, sf) -> str:
+    """Write every conversation's turns as the text output of its job folder (one file per job)."""
     import uuid
     conv = table(spark, sf, "conversations")
     root = f"{checkpoint_dir(spark).rstrip('/')}/job-outputs-{uuid.uuid4().hex[:12]}"
     (conv.select(F.col("conv_id").cast("string").alias("job"), "text").repartition("job")
          .write.partitionBy("job").text(root))
+    return root
+
+
+def list_files_conversations(spark, sf):
+    """The job output tree listed as a catalog (file contents never read): files per folder."""
+    cat = list_files(spark, _conversation_outputs(spark, sf))
+    return cat.groupBy("dir").agg(F.count(F.lit(1)).alias("n_files"),
+                                  F.sum(F.col("length")).alias("n_bytes"))
+
+
+def merge_text_outputs_conversations(spark, sf):
+    """Every conversation is a job folder holding one text output (its turns); the folders are
+    merged per job and the merged lines counted (headers and separators excluded)."""
+    root = _conversation_outputs(spark, sf)
     merged = merge_text_outputs(spark, root)
     body = (F.col("block") >= 0) & (F.col("block") < F.lit(2 ** 62))
     per_job = merged.groupBy("job").agg(F.countDistinct("file").alias("n_files"),
@@ -238,7 +251,14 @@ SELECT conv_id, CAST(1 AS BIGINT) AS n_files, CAST(sum(len(string_split(text, ch
 FROM conversations GROUP BY conv_id
 """
 
+_LIST_SQL = """
+SELECT '/job=' || conv_id AS dir, CAST(1 AS BIGINT) AS n_files,
+       CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes
+FROM conversations GROUP BY conv_id
+"""
+
 QUERIES = {
+    "list_files_conversations": (list_files_conversations, _LIST_SQL),
     "merge_text_outputs_conversations": (merge_text_outputs_conversations, _MERGE_SQL),
     "register_plugins_suppliers": (register_plugins_suppliers, _REGISTER_SQL),
     "lookup_registry_customers": (lookup_registry_customers, _LOOKUP_SQL),

@@ -120,9 +120,11 @@ def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
         if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
             return empty_catalog(spark).withColumn("length", F.lit(None).cast("long"))
         raise
-    root_clean = root.rstrip("/")
+    import re
+
+    root_clean = re.sub(r"^file:(//)?", "", root.rstrip("/"))
     rel = F.regexp_replace(F.regexp_replace("path", r"^file:(//)?", ""),
-                           "^" + _regex_escape(root_clean.replace("file://", "")) + "/?", "")
+                           "^" + _regex_escape(root_clean) + "/?", "")
     out = files.select(rel.alias("lfn"),
                        (F.unix_micros(F.col("modificationTime")) / 1e6).alias("epoch"), "length")
     return catalog_from_lfns(out, epoch_col="epoch", keep=["length"])
