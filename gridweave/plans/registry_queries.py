@@ -19,6 +19,7 @@ from gridweave.plans.inputs import lineitem_dir, lineitem_name
 from gridweave.plans.tables import table
 from gridweave.session import checkpoint_dir
 from gridweave.sources.catalog import catalog_from_parts, list_files
+from gridweave.sources.params import read_parameters
 from gridweave.sources.sinks import merge_text_outputs
 
 # Fixed values of the stand-ins: the plugin keys the validation knows (one per language).
@@ -133,6 +134,21 @@ def _conversation_outputs(spark, sf) -> str:
     return root
 
 
+def read_parameters_conversations(spark, sf):
+    """Every system turn written as one JSON parameter document (one file per conversation and
+    turn), read back as one row per parameter."""
+    import uuid
+    conv = table(spark, sf, "conversations").filter(F.col("role") == "system")
+    root = f"{checkpoint_dir(spark).rstrip('/')}/params-{uuid.uuid4().hex[:12]}"
+    doc = F.to_json(F.struct(F.col("text").alias("message"), "role", F.length("text").alias("n_chars")))
+    (conv.select("conv_id", "turn", doc.alias("value")).repartition("conv_id", "turn")
+         .write.partitionBy("conv_id", "turn").text(root))
+    params = read_parameters(spark, f"{root}/*/*")
+    where = F.regexp_extract("source", r"/conv_id=(\d+)/turn=(\d+)/", 1)
+    turn = F.regexp_extract("source", r"/conv_id=(\d+)/turn=(\d+)/", 2)
+    return params.select(where.cast("long").alias("conv_id"), turn.cast("long").alias("turn"), "key", "value")
+
+
 def list_files_conversations(spark, sf):
     """The job output tree listed as a catalog (file contents never read): files per folder."""
     cat = list_files(spark, _conversation_outputs(spark, sf))
@@ -257,7 +273,14 @@ SELECT '/job=' || conv_id AS dir, CAST(1 AS BIGINT) AS n_files,
 FROM conversations GROUP BY conv_id
 """
 
+_PARAMS_SQL = """
+SELECT conv_id, turn, 'message' AS key, text AS value FROM conversations WHERE role = 'system'
+UNION ALL SELECT conv_id, turn, 'role', role FROM conversations WHERE role = 'system'
+UNION ALL SELECT conv_id, turn, 'n_chars', CAST(length(text) AS VARCHAR) FROM conversations WHERE role = 'system'
+"""
+
 QUERIES = {
+    "read_parameters_conversations": (read_parameters_conversations, _PARAMS_SQL),
     "list_files_conversations": (list_files_conversations, _LIST_SQL),
     "merge_text_outputs_conversations": (merge_text_outputs_conversations, _MERGE_SQL),
     "register_plugins_suppliers": (register_plugins_suppliers, _REGISTER_SQL),
