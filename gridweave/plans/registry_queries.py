@@ -20,7 +20,7 @@ from gridweave.plans.tables import table
 from gridweave.session import checkpoint_dir
 from gridweave.sources.catalog import catalog_from_parts, list_files
 from gridweave.sources.params import read_parameters
-from gridweave.sources.sinks import merge_text_outputs
+from gridweave.sources.sinks import merge_text_outputs, write_with_fallback
 
 # Fixed values of the stand-ins: the plugin keys the validation knows (one per language).
 KNOWN_PLUGINS = ["en", "de", "fr"]
@@ -149,6 +149,21 @@ def read_parameters_conversations(spark, sf):
     return params.select(where.cast("long").alias("conv_id"), turn.cast("long").alias("turn"), "key", "value")
 
 
+def write_with_fallback_orders(spark, sf):
+    """An order summary stored on the first storage element that accepts it: the first one
+    already holds data and refuses the write, so it lands on the second; read back from there."""
+    import os
+    import uuid
+    o = table(spark, sf, "orders")
+    summary = o.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_orders"),
+                                             F.round(F.sum("o_totalprice"), 2).alias("total_price"))
+    base = f"{checkpoint_dir(spark).rstrip('/')}/storage-{uuid.uuid4().hex[:12]}"
+    targets = [f"{base}/SE-1", f"{base}/SE-2"]
+    spark.range(1).write.parquet(targets[0])
+    used = write_with_fallback(summary, targets)
+    return spark.read.parquet(used).withColumn("stored_on", F.lit(os.path.basename(used)))
+
+
 def list_files_conversations(spark, sf):
     """The job output tree listed as a catalog (file contents never read): files per folder."""
     cat = list_files(spark, _conversation_outputs(spark, sf))
@@ -279,7 +294,13 @@ UNION ALL SELECT conv_id, turn, 'role', role FROM conversations WHERE role = 'sy
 UNION ALL SELECT conv_id, turn, 'n_chars', CAST(length(text) AS VARCHAR) FROM conversations WHERE role = 'system'
 """
 
+_FALLBACK_SQL = """
+SELECT o_orderstatus, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total_price, 'SE-2' AS stored_on
+FROM orders GROUP BY o_orderstatus
+"""
+
 QUERIES = {
+    "write_with_fallback_orders": (write_with_fallback_orders, _FALLBACK_SQL),
     "read_parameters_conversations": (read_parameters_conversations, _PARAMS_SQL),
     "list_files_conversations": (list_files_conversations, _LIST_SQL),
     "merge_text_outputs_conversations": (merge_text_outputs_conversations, _MERGE_SQL),
