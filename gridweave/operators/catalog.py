@@ -140,9 +140,13 @@ def find_files(catalog: DataFrame, wanted: DataFrame, lfn_col: str = "lfn") -> D
     (``File <lfn> not found``) and the catalog's ``creation_date``/``metadata`` when found.
     """
     w = wanted.withColumn("_key", canonical_lfn(lfn_col))
-    c = catalog.select(F.col("lfn").alias("_key"), F.lit(True).alias("_hit"),
-                       F.col("creation_date").alias("cat_creation_date"),
-                       F.col("metadata").alias("cat_metadata"))
+    # keep only the catalog entries that are asked for (a semi join against the distinct wanted
+    # keys, broadcast when small), so a huge catalog is filtered in its scan, not shuffled
+    asked = w.select("_key").distinct()
+    c = (catalog.select(F.col("lfn").alias("_key"), F.lit(True).alias("_hit"),
+                        F.col("creation_date").alias("cat_creation_date"),
+                        F.col("metadata").alias("cat_metadata"))
+                .join(asked, "_key", "left_semi"))
     j = w.join(c, "_key", "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     return (j.withColumn("status", F.when(hit, F.lit(FOUND)).otherwise(F.lit(NOT_FOUND)))
@@ -164,7 +168,11 @@ def add_entries(catalog: DataFrame, new: DataFrame, key: str = "lfn", seq: str =
     """
     pick = F.max(seq) if override else F.min(seq)
     chosen = new.groupBy(key).agg(pick.alias("_chosen"))
-    existing = catalog.select(F.col(key).alias(key)).distinct().withColumn("_exists", F.lit(True))
+    # catalog keys that are in this batch: a semi join against the batch's distinct keys (broadcast
+    # when small) filters the catalog in its scan instead of shuffling all of it
+    batch_keys = new.select(key).distinct()
+    existing = (catalog.select(F.col(key).alias(key)).join(batch_keys, key, "left_semi")
+                       .distinct().withColumn("_exists", F.lit(True)))
     j = new.join(chosen, key).join(existing, key, "left")
     exists = F.coalesce(F.col("_exists"), F.lit(False))
     is_chosen = F.col(seq) == F.col("_chosen")
