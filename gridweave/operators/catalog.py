@@ -133,20 +133,25 @@ def match_patterns(catalog: DataFrame, patterns: Sequence[str]) -> DataFrame:
     return union_queries(*parts)
 
 
-def find_files(catalog: DataFrame, wanted: DataFrame, lfn_col: str = "lfn") -> DataFrame:
+def find_files(catalog: DataFrame, wanted: DataFrame, lfn_col: str = "lfn",
+               prefilter: bool = False) -> DataFrame:
     """Look every wanted LFN up in the catalog.
 
+    ``prefilter=True`` suits a small batch against a huge catalog: the catalog is first reduced to
+    the asked-for keys by a semi join (the key set broadcast when small), so it is never shuffled
+    as a whole.  For a batch of the catalog's own size the plain join is cheaper.
+
     Returns the wanted rows plus ``status`` (``Successful``/``Failed``), ``message``
     (``File <lfn> not found``) and the catalog's ``creation_date``/``metadata`` when found.
     """
     w = wanted.withColumn("_key", canonical_lfn(lfn_col))
-    # keep only the catalog entries that are asked for (a semi join against the distinct wanted
-    # keys, broadcast when small), so a huge catalog is filtered in its scan, not shuffled
-    asked = w.select("_key").distinct()
-    c = (catalog.select(F.col("lfn").alias("_key"), F.lit(True).alias("_hit"),
-                        F.col("creation_date").alias("cat_creation_date"),
-                        F.col("metadata").alias("cat_metadata"))
-                .join(asked, "_key", "left_semi"))
+    c = catalog.select(F.col("lfn").alias("_key"), F.lit(True).alias("_hit"),
+                       F.col("creation_date").alias("cat_creation_date"),
+                       F.col("metadata").alias("cat_metadata"))
+    if prefilter:
+        # small batch, huge catalog: keep only the entries asked for (semi join against the
+        # distinct wanted keys, broadcast when small) so the catalog is filtered in its scan
+        c = c.join(w.select("_key").distinct(), "_key", "left_semi")
     j = w.join(c, "_key", "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     return (j.withColumn("status", F.when(hit, F.lit(FOUND)).otherwise(F.lit(NOT_FOUND)))
@@ -156,7 +161,7 @@ def find_files(catalog: DataFrame, wanted: DataFrame, lfn_col: str = "lfn") -> D
 
 
 def add_entries(catalog: DataFrame, new: DataFrame, key: str = "lfn", seq: str = "seq",
-                override: bool = False, noun: str = "File") -> DataFrame:
+                override: bool = False, noun: str = "File", prefilter: bool = False) -> DataFrame:
     """Insert-if-absent: outcome of every new row.
 
     Without ``override`` a row is ``rejected`` (``File <key> already exists``) when the key is in
@@ -164,15 +169,17 @@ def add_entries(catalog: DataFrame, new: DataFrame, key: str = "lfn", seq: str =
     last row of the batch per key is ``added`` (it replaces a catalog entry) and earlier rows are
     ``rejected`` as superseded.  First/last rows come from an aggregation joined back, so a key
     repeated very often is split by the join (adaptive skew handling) rather than ranked in one
-    task.
+    task.  ``prefilter=True`` semi-joins the catalog to the batch's keys first (small batch,
+    huge catalog), as in :func:`find_files`.
     """
     pick = F.max(seq) if override else F.min(seq)
     chosen = new.groupBy(key).agg(pick.alias("_chosen"))
-    # catalog keys that are in this batch: a semi join against the batch's distinct keys (broadcast
-    # when small) filters the catalog in its scan instead of shuffling all of it
-    batch_keys = new.select(key).distinct()
-    existing = (catalog.select(F.col(key).alias(key)).join(batch_keys, key, "left_semi")
-                       .distinct().withColumn("_exists", F.lit(True)))
+    existing = catalog.select(F.col(key).alias(key))
+    if prefilter:
+        # small batch, huge catalog: only the catalog keys of this batch (semi join, the batch's
+        # key set broadcast when small), so the catalog is filtered in its scan, not shuffled
+        existing = existing.join(new.select(key).distinct(), key, "left_semi")
+    existing = existing.distinct().withColumn("_exists", F.lit(True))
     j = new.join(chosen, key).join(existing, key, "left")
     exists = F.coalesce(F.col("_exists"), F.lit(False))
     is_chosen = F.col(seq) == F.col("_chosen")

@@ -158,3 +158,12 @@ def test_read_catalog_json_lines_and_list_glob(spark, tmpdir_path):
             f.write("x")
     assert rows(list_files(spark, root, glob="*.sim"), "lfn") == [("/d/a.sim",), ("/d/b.sim",)]
     assert list_files(spark, os.path.join(tmpdir_path, "none")).count() == 0
+
+
+def test_prefilter_gives_same_results(spark):
+    c = catalog(spark, ["/a", "/b", "/c"])
+    w = spark.createDataFrame([("lfn:/a",), ("/z",), ("/a",)], "lfn string")
+    assert rows(find_files(c, w, prefilter=True), "lfn", "status") == rows(find_files(c, w), "lfn", "status")
+    new = spark.createDataFrame([("/a", 1), ("/d", 2), ("/d", 3)], "lfn string, seq int")
+    assert rows(add_entries(c.select("lfn"), new, prefilter=True), "lfn", "seq", "status") == \
+        rows(add_entries(c.select("lfn"), new), "lfn", "seq", "status")
