@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from gridweave.llm import langid, quality_rules, simhash, sos_packing
+from gridweave.llm import embed_dedup, langid, quality_rules, simhash, sos_packing, warc
 
 QUERIES = {
     "op3_quality_rules": (quality_rules.query, quality_rules.SQL),
     "op4_simhash_dedup": (simhash.query, None),
     "op5_language_id": (langid.query, None),
+    "op8_warc_archive": (warc.query, warc.SQL),
     "op9_sos_packing": (sos_packing.query, None),
+    "op10_embedding_dedup": (embed_dedup.query, embed_dedup.SQL),
 }
 
 
