@@ -39,7 +39,8 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of every token, first token of every text and the total).
 
     A token is a run of letters and digits (bytes from 128 up count as letters) or a run of other
-    signs between white space; its bucket comes from its first 24 bytes and its length.
+    signs between white space; its bucket comes from its first 24 bytes and its length.  A token
+    equal to the one before it in its text goes to the last bucket, whatever it is.
     """
     raw = b" ".join(texts) + b" "
     b = np.frombuffer(raw, np.uint8)
@@ -55,7 +56,12 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h *= np.uint64(0xC2B2AE3D27D4EB4F)
         h ^= h >> np.uint64(29)
     ends = (np.fromiter(map(len, texts), np.int64, len(texts)) + 1).cumsum()
-    return (h & np.uint64(BUCKETS - 1)).astype(np.int64), np.searchsorted(start, np.append(0, ends))
+    first = np.searchsorted(start, np.append(0, ends))
+    bucket = (h % np.uint64(BUCKETS - 1)).astype(np.int64)
+    again = np.append(False, h[1:] == h[:-1])[:len(h)]
+    again[first[:-1][first[:-1] < len(h)]] = False
+    bucket[again] = BUCKETS - 1
+    return bucket, first
 
 
 def _chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
