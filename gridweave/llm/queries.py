@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
-from gridweave.llm import embed_dedup, langid, quality_rules, simhash, sos_packing, warc
+from gridweave.llm import (
+    embed_dedup,
+    html_extract,
+    langid,
+    quality_model,
+    quality_rules,
+    sentencepiece_viterbi,
+    simhash,
+    sos_packing,
+    token_output,
+    warc,
+)
 
 QUERIES = {
+    "op1_sentencepiece": (sentencepiece_viterbi.query, None),
+    "op2_quality_classifier": (quality_model.query, None),
     "op3_quality_rules": (quality_rules.query, quality_rules.SQL),
     "op4_simhash_dedup": (simhash.query, None),
     "op5_language_id": (langid.query, None),
+    "op6_html_extraction": (html_extract.query, None),
+    "op7_token_output": (token_output.query, None),
     "op8_warc_archive": (warc.query, warc.SQL),
     "op9_sos_packing": (sos_packing.query, None),
     "op10_embedding_dedup": (embed_dedup.query, embed_dedup.SQL),
