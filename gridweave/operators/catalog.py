@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.session import checkpoint_dir
+from gridweave.operators._joins import broadcast_if_small
 from gridweave.sources.catalog import canonical_lfn
 
 # Status words and messages of catalog operations.
@@ -27,10 +27,6 @@ def query_key(col) -> F.Column:
     return F.regexp_replace(canonical_lfn(col), r"(.)/+$", "$1")
 
 
-# Query tables up to this many rows are broadcast to the catalog scan (counted first).
-BROADCAST_QUERIES = 200_000
-
-
 def match_query(catalog: DataFrame, queries: DataFrame, query_col: str = "query",
                 broadcast_queries: bool | None = None) -> DataFrame:
     """Catalog entries directly below each query path (hidden names excluded).
@@ -38,17 +34,13 @@ def match_query(catalog: DataFrame, queries: DataFrame, query_col: str = "query"
     ``queries`` may hold any other columns (task id, input name, ...); a path asked for twice gives
     its entries twice, as a concatenated list of query results does.  The match is an equality
     join on the stored ``dir`` column.  The query table (one row per task input) is broadcast
-    after counting it (``broadcast_queries=None``) when it has at most ``BROADCAST_QUERIES`` rows,
-    so the catalog is scanned once and never shuffled for the match; beyond that the planner
-    picks a shuffle join.
+    when its measured bytes allow it (``broadcast_queries=None``), so the catalog is scanned once
+    and never shuffled for the match; beyond that the planner picks a shuffle join.
     """
     q = queries.withColumn("_qdir", query_key(query_col))
     if broadcast_queries is None:
-        # materialise the (small) query table once: counted here, read again by the join
-        checkpoint_dir(q.sparkSession)
-        q = q.checkpoint(eager=True)
-        broadcast_queries = q.count() <= BROADCAST_QUERIES
-    if broadcast_queries:
+        q = broadcast_if_small(q)
+    elif broadcast_queries:
         q = F.broadcast(q)
     cat = catalog.filter(_not_hidden())
     return cat.join(q, cat["dir"] == q["_qdir"], "inner").drop("_qdir")
@@ -72,65 +64,69 @@ def largest_match(catalog: DataFrame, queries: DataFrame, query_col: str = "quer
     ``name`` columns are read, semi-joined to the (counted, broadcast) query directories and
     counted per directory - no join output, nothing written.
     """
-    dirs = queries.select(query_key(query_col).alias("dir")).distinct()
-    n = dirs.count()
-    if n <= BROADCAST_QUERIES:
-        dirs = F.broadcast(dirs)
+    dirs = broadcast_if_small(queries.select(query_key(query_col).alias("dir")).distinct())
     hits = catalog.filter(_not_hidden()).select("dir").join(dirs, "dir", "left_semi")
     row = hits.groupBy("dir").count().agg(F.max("count").alias("m")).first()
     return int(row["m"] or 0)
 
 
 def glob_to_regex(pattern: str) -> str:
-    """Regex for the direct children of a glob directory pattern (``*``, ``?``, ``[...]``)."""
-    out = []
+    """Regex of a glob directory pattern (``*``, ``?``, ``[...]``), as the shell matches names.
+
+    Wildcards stay inside one part of the path and do not match a part's leading dot; a class
+    never matches ``/``.
+    """
+    return "^" + "/".join(_part_regex(part) for part in pattern.split("/")) + "$"
+
+
+def _part_regex(part: str) -> str:
+    out = ["(?!\\.)"] if part[:1] in ("*", "?", "[") else []
     i = 0
-    while i < len(pattern):
-        c = pattern[i]
+    while i < len(part):
+        c = part[i]
+        close = part.find("]", i + (3 if part[i + 1:i + 2] == "!" else 2)) if c == "[" else -1
         if c == "*":
             out.append("[^/]*")
         elif c == "?":
             out.append("[^/]")
-        elif c == "[":
-            j = pattern.find("]", i + 1)
-            if j == -1:
-                out.append(re.escape(c))
-            else:
-                body = pattern[i + 1:j]
-                if body.startswith("!"):
-                    body = "^" + body[1:]
-                out.append("[" + body + "]")
-                i = j
+        elif close > 0:
+            body = part[i + 1:close].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&").replace("^", "\\^")
+            body = "^" + body[1:] if body.startswith("!") else body
+            out.append("(?!/)[" + body.replace("]", "\\]") + "]")
+            i = close
         else:
             out.append(re.escape(c))
         i += 1
-    return "^" + "".join(out) + "$"
+    return "".join(out)
+
+
+def _query_dir(path: str) -> str:
+    """Directory key of a literal query path (the rule of :func:`query_key`)."""
+    key = re.sub(r"^(?:lfn:)?(?:LFN:)?/*", "/", path, count=1)
+    return re.sub(r"(.)/+$", r"\1", key)
 
 
 def match_patterns(catalog: DataFrame, patterns: Sequence[str]) -> DataFrame:
     """Entries below each of a list of query paths; glob characters allowed; duplicates kept.
 
-    Plain paths become an ``IN`` filter on ``dir`` (pushed to the scan); glob paths a regex on
-    ``dir``.  The result carries ``query_pos``, the position of the query in the list.
+    One scan for the whole list (a literal in the plan): an entry appears once for every query it
+    matches, with ``query_pos``, the query's position, and ``query``.  Without glob paths the
+    directories also become an ``IN`` filter that is pushed to the scan.
     """
-    parts = []
-    spark = catalog.sparkSession
+    if not patterns:
+        raise ValueError("no query given")
+    hits, plain = [], True
+    for i, p in enumerate(patterns):
+        d = _query_dir(p)
+        globbed = re.search(r"[*?\[]", d) is not None
+        plain = plain and not globbed
+        hit = F.col("dir").rlike(glob_to_regex(d)) if globbed else F.col("dir") == d
+        hits.append(F.when(hit, F.struct(F.lit(i).alias("query_pos"), F.lit(p).alias("query"))))
     cat = catalog.filter(_not_hidden())
-    plain = [(i, p) for i, p in enumerate(patterns) if not re.search(r"[*?\[]", p)]
-    globbed = [(i, p) for i, p in enumerate(patterns) if re.search(r"[*?\[]", p)]
     if plain:
-        qs = spark.createDataFrame(plain, "query_pos int, query string").withColumn("_qdir", query_key("query"))
-        keys = [r["_qdir"] for r in qs.select("_qdir").distinct().collect()]  # bounded: the literal list
-        sub = cat.filter(F.col("dir").isin(keys))
-        parts.append(sub.join(F.broadcast(qs), sub["dir"] == qs["_qdir"]).drop("_qdir"))
-    for i, p in globbed:
-        rx = glob_to_regex("/" + p.strip("/") if not p.startswith("/") else p.rstrip("/"))
-        parts.append(cat.filter(F.col("dir").rlike(rx))
-                        .withColumn("query_pos", F.lit(i)).withColumn("query", F.lit(p)))
-    if not parts:
-        raise ValueError("no query given")
-    from gridweave.operators.grouping import union_queries
-    return union_queries(*parts)
+        cat = cat.filter(F.col("dir").isin([_query_dir(p) for p in patterns]))
+    cat = cat.withColumn("_hit", F.explode(F.array_compact(F.array(*hits))))
+    return cat.select(*catalog.columns, "_hit.query_pos", "_hit.query")
 
 
 def find_files(catalog: DataFrame, wanted: DataFrame, lfn_col: str = "lfn",
@@ -164,10 +160,11 @@ def add_entries(catalog: DataFrame, new: DataFrame, key: str = "lfn", seq: str =
                 override: bool = False, noun: str = "File", prefilter: bool = False) -> DataFrame:
     """Insert-if-absent: outcome of every new row.
 
-    Without ``override`` a row is ``rejected`` (``File <key> already exists``) when the key is in
+    A row without a key is ``rejected`` with a message.  Without ``override`` a row is ``rejected`` (``File <key> already exists``) when the key is in
     the catalog or an earlier row of the batch (smaller ``seq``) has it.  With ``override`` the
     last row of the batch per key is ``added`` (it replaces a catalog entry) and earlier rows are
-    ``rejected`` as superseded.  First/last rows come from an aggregation joined back, so a key
+    ``rejected`` as superseded.  ``seq`` is unique per key; a number (long or decimal) keeps its
+    minimum a hash aggregate.  First/last rows come from an aggregation joined back, so a key
     repeated very often is split by the join (adaptive skew handling) rather than ranked in one
     task.  ``prefilter=True`` semi-joins the catalog to the batch's keys first (small batch,
     huge catalog), as in :func:`find_files`.
@@ -180,13 +177,13 @@ def add_entries(catalog: DataFrame, new: DataFrame, key: str = "lfn", seq: str =
         # key set broadcast when small), so the catalog is filtered in its scan, not shuffled
         existing = existing.join(new.select(key).distinct(), key, "left_semi")
     existing = existing.distinct().withColumn("_exists", F.lit(True))
-    j = new.join(chosen, key).join(existing, key, "left")
+    j = new.join(chosen, key, "left").join(existing, key, "left")
     exists = F.coalesce(F.col("_exists"), F.lit(False))
     is_chosen = F.col(seq) == F.col("_chosen")
-    ok = is_chosen if override else (is_chosen & ~exists)
+    ok = F.coalesce(is_chosen if override else (is_chosen & ~exists), F.lit(False))
     why = " superseded in batch" if override else " already exists"
-    msg = F.when(ok, F.lit(None).cast("string")).otherwise(
-        F.concat(F.lit(noun + " "), F.col(key).cast("string"), F.lit(why)))
+    msg = (F.when(ok, F.lit(None).cast("string")).when(F.col(key).isNull(), F.lit(noun + " without a name"))
+            .otherwise(F.concat(F.lit(noun + " "), F.col(key).cast("string"), F.lit(why))))
     return (j.withColumn("status", F.when(ok, F.lit(ADDED)).otherwise(F.lit(REJECTED)))
              .withColumn("replaced", ok & exists)
              .withColumn("message", msg)
@@ -203,12 +200,13 @@ def upsert_metadata(catalog: DataFrame, updates: DataFrame, key: str = "lfn",
                     seq: str = "seq") -> DataFrame:
     """Replace the whole entry of every updated key (insert when absent); last update wins.
 
-    ``updates`` must hold the catalog columns plus ``seq``.  The latest update per key is a
-    ``max_by`` aggregation (partial, map-side), the untouched entries a left anti join.
+    ``updates`` must hold the catalog columns plus a numeric ``seq`` that is unique per key; an
+    update without a key is not applied.  The latest ``seq`` per key is a hash aggregate joined
+    back (a ``max_by`` of the whole entry would sort every update, see PLANS.md), the untouched
+    entries a left anti join.
     """
     cols = [c for c in catalog.columns]
-    latest = (updates.groupBy(key)
-                     .agg(F.max_by(F.struct(*[F.col(c) for c in cols if c != key]), F.col(seq)).alias("_v"))
-                     .select(key, *[F.col("_v")[c].alias(c) for c in cols if c != key]))
+    last = updates.groupBy(key).agg(F.max(seq).alias("_last"))
+    latest = updates.join(last, key).filter(F.col(seq) == F.col("_last")).select(*cols)
     kept = catalog.join(latest.select(key), key, "left_anti")
     return kept.unionByName(latest.select(*cols))

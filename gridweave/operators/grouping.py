@@ -22,12 +22,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridweave.operators._joins import broadcast_if_small, null_safe_join
 from gridweave.session import checkpoint_dir
 
-# Rows above which one key is numbered with the split method, and run-table rows (about 50 bytes
-# each, so some 10 MB) up to which the run table is broadcast to the sorted rows.
+# Rows above which one key is numbered with the split method.
 HOT_ROWS = 4_000_000
-BROADCAST_RUNS = 200_000
 
 
 def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
@@ -36,8 +35,12 @@ def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], order: str, method: str = "auto",
-                hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add ``rn`` (1, 2, ...) numbering the rows of every key by ``order`` (unique per key)."""
+                hot_rows: int = HOT_ROWS, first: int | None = None) -> DataFrame:
+    """Add ``rn`` (1, 2, ...) numbering the rows of every key by ``order`` (unique per key).
+
+    Null is a key like any other, in both methods.  With ``first`` only the first rows of every
+    key are kept; in the window method Spark then drops the others before its shuffle.
+    """
     keys = list(keys)
     if method == "auto":
         # no key is larger than the whole input: a count (no column read) settles small inputs
@@ -49,8 +52,10 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: str, method: str = "a
             df = df.checkpoint(eager=True)
             method = "split" if largest_key(df, keys) > hot_rows else "window"
     if method == "window":
-        w = Window.partitionBy(*keys).orderBy(order)
-        return df.withColumn("rn", F.row_number().over(w).cast("long"))
+        ranked = df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+        if first is not None:
+            ranked = ranked.filter(F.col("rn") <= first)
+        return ranked.withColumn("rn", F.col("rn").cast("long"))
     if method != "split":
         raise ValueError(f"unknown method {method!r}")
     spark = df.sparkSession
@@ -65,33 +70,44 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: str, method: str = "a
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long"))
     runs = runs.select("_pid", *keys, "_first", "_before").checkpoint(eager=True)
-    if runs.count() <= BROADCAST_RUNS:
-        runs = F.broadcast(runs)
-    ranked = sorted_rows.join(runs, ["_pid", *keys])
+    ranked = null_safe_join(sorted_rows, broadcast_if_small(runs), ["_pid", *keys])
     rn = F.col("_pos") - F.col("_first") + F.col("_before") + 1
-    return ranked.select(*cols, rn.alias("rn"))
+    ranked = ranked.select(*cols, rn.alias("rn"))
+    return ranked if first is None else ranked.filter(F.col("rn") <= first)
 
 
-def fixed_groups(df: DataFrame, keys: Sequence[str], order: str, size: int,
+def fixed_groups(df: DataFrame, keys: Sequence[str], order: str, size: int | str,
                  value: str | None = None, method: str = "auto",
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
+                 hot_rows: int = HOT_ROWS, max_groups: int | None = None) -> DataFrame:
     """Consecutive groups of exactly ``size`` rows per key, ordered by ``order``.
 
+    ``size`` is a number or the name of a column with each key's own size (positive, and the same
+    in all rows of a key; a key without one gives no group).
+
     Returns ``keys..., gid, members, n``: ``gid`` counts from 0, ``members`` holds ``value``
     (default ``order``) in order.  Keys with fewer than ``size`` rows give no group; the tail
-    after the last full group is dropped.
+    after the last full group is dropped.  ``max_groups`` keeps the first groups of every key and
+    ranks no more rows than those need.
     """
-    if size <= 0:
-        raise ValueError("group size must be positive")
     keys = list(keys)
     value = value or order
-    base = df.select(*dict.fromkeys([*keys, order, value]))
-    ranked = rank_within(base, keys, order, method, hot_rows)
-    ranked = ranked.withColumn("gid", F.floor((F.col("rn") - 1) / F.lit(size)).cast("long"))
-    groups = ranked.groupBy(*keys, "gid").agg(
+    if isinstance(size, str):
+        if max_groups is not None:
+            raise ValueError("max_groups needs one size for all keys")
+        df = df.withColumn("_size", F.col(size).cast("long"))
+        df = df.filter(F.when(F.col("_size") > 0, True).otherwise(F.when(
+            F.col("_size").isNotNull(), F.raise_error(F.lit("group size must be positive")).cast("boolean"))))
+    elif size <= 0:
+        raise ValueError("group size must be positive")
+    else:
+        df = df.withColumn("_size", F.lit(size).cast("long"))
+    base = df.select(*dict.fromkeys([*keys, order, value]), "_size")
+    ranked = rank_within(base, keys, order, method, hot_rows, None if max_groups is None else max_groups * size)
+    ranked = ranked.withColumn("gid", F.floor((F.col("rn") - 1) / F.col("_size")).cast("long"))
+    groups = ranked.groupBy(*keys, "gid", "_size").agg(
         F.array_sort(F.collect_list(F.struct(F.col("rn"), F.col(value).alias("v")))).alias("_m"),
         F.count(F.lit(1)).alias("n"))
-    return (groups.filter(F.col("n") == size)
+    return (groups.filter(F.col("n") == F.col("_size"))
                   .select(*keys, "gid", F.transform("_m", lambda m: m["v"]).alias("members"), "n"))
 
 
@@ -111,13 +127,13 @@ def zip_groups(groups: DataFrame, inputs: DataFrame, task_keys: Sequence[str],
     """
     task_keys = list(task_keys)
     declared = inputs.groupBy(*task_keys).agg(F.count(F.lit(1)).alias("_n_inputs"))
-    tagged = groups.join(inputs.select(*task_keys, input_col, pos_col), [*task_keys, input_col])
+    tagged = null_safe_join(groups, inputs.select(*task_keys, input_col, pos_col), [*task_keys, input_col])
     jobs = tagged.groupBy(*task_keys, "gid").agg(
         F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("input_pos"),
                                              F.col(input_col).alias("input_name"),
                                              F.col("members").alias("members")))).alias("inputs"),
         F.count(F.lit(1)).alias("_have"))
-    return (jobs.join(declared, task_keys)
+    return (null_safe_join(jobs, declared, task_keys)
                 .filter(F.col("_have") == F.col("_n_inputs"))
                 .select(*task_keys, "gid", "inputs"))
 

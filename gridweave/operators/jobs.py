@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,8 @@ HINT_DEFAULTS = [
     (HOOKS, "output_se", "SE-USER"),
     (SCHEDULING, "priority", str(DEFAULT_PRIORITY)),
 ]
+#: Position of the defaults, below that of every hint (positions count from 0).
+BELOW = -1
 
 
 # --- expansion -------------------------------------------------------------------------------
@@ -126,30 +128,30 @@ def fold_hints(hints: DataFrame, tasks: DataFrame | None = None, task_key: str =
     row per entry (``subkey`` set), any other value one row with ``subkey`` null.  Hints apply in
     ``pos`` order.  ``hooks``: a map onto a map merges one level deep, anything else replaces.
     ``scheduling``: the last hint holding a key replaces it.  Keys without a hint take the
-    defaults (``hook_plugin``, ``output_se``, ``priority``).
+    defaults (``hook_plugin``, ``output_se``, ``priority``); without ``tasks`` the tasks are those
+    that have hints, and the hints are read once.  The first aggregation leaves one row per
+    subkey, the window then sees only those.
     Returns ``(task_id, class, key, subkey, value)``.
     """
     k = [task_key, "class", "key"]
-    bounds = hints.groupBy(*k).agg(
-        F.max(F.when(F.col("subkey").isNull(), F.col("pos"))).alias("_last_scalar"),
-        F.max("pos").alias("_last"))
-    h = hints.join(bounds, k)
-    is_hooks = F.col("class") == HOOKS
-    scalar = F.col("subkey").isNull()
-    keep_hooks = F.when(scalar, F.col("pos") == F.col("_last"))\
-                  .otherwise(F.col("pos") > F.coalesce(F.col("_last_scalar"), F.lit(-1)))
-    keep = F.when(is_hooks, keep_hooks).otherwise(F.col("pos") == F.col("_last"))
-    folded = (h.filter(keep)
-               .groupBy(*k, "subkey").agg(F.max_by("value", "pos").alias("value")))
+    cols = ["pos", "class", "key", "subkey", "value"]
+    # the defaults are scalars below every hint; they ride on the rows of the one scan
+    below = F.array(*[F.struct(F.lit(BELOW).cast("long").alias("pos"), F.lit(c).alias("class"), F.lit(kk).alias("key"),
+                               F.lit(None).cast("string").alias("subkey"), F.lit(v).alias("value")) for c, kk, v in defaults])
+    own = F.struct(F.col("pos").cast("long").alias("pos"), *[F.col(c).cast("string").alias(c) for c in cols[1:]])
     if tasks is None:
-        tasks = hints.select(task_key).distinct()
-    dflt_type = "array<struct<class:string,key:string,value:string>>"
-    dflt = F.array(*[F.struct(F.lit(c).alias("class"), F.lit(kk).alias("key"), F.lit(v).alias("value"))
-                     for c, kk, v in defaults]).cast(dflt_type)
-    filled = (tasks.select(task_key, F.inline(dflt))
-                   .join(folded.select(*k).distinct(), k, "left_anti")
-                   .withColumn("subkey", F.lit(None).cast("string")))
-    return folded.unionByName(filled.select(*k, "subkey", "value"))
+        rows = hints.select(task_key, F.inline(F.concat(F.array(own), below) if defaults else F.array(own)))
+    else:
+        rows = hints.select(task_key, "pos", *cols[1:])
+        rows = rows.unionByName(tasks.select(task_key, F.inline(below))) if defaults else rows
+    last = rows.groupBy(*k, "subkey").agg(F.max_by("value", "pos").alias("value"), F.max("pos").alias("pos"))
+    one_key = Window.partitionBy(*k)
+    scalar = F.col("subkey").isNull()
+    last = last.withColumn("_last", F.max("pos").over(one_key)).withColumn(
+        "_last_scalar", F.max(F.when(scalar, F.col("pos"))).over(one_key))
+    merged = F.col("pos") > F.coalesce(F.col("_last_scalar"), F.lit(BELOW - 1))
+    keep = F.when((F.col("class") == HOOKS) & ~scalar, merged).otherwise(F.col("pos") == F.col("_last"))
+    return last.filter(keep).select(*k, "subkey", "value")
 
 
 # --- steps of a workflow -----------------------------------------------------------------------
@@ -173,47 +175,47 @@ def explode_steps(workflows: DataFrame, wf_key: str = "wf_id", steps: str = "ste
         *extra)
 
 
-def step_defaults(steps: DataFrame, wf_inputs: DataFrame, wf_key: str = "wf_id",
+def step_defaults(steps: DataFrame, wf_inputs: DataFrame | str, wf_key: str = "wf_id",
                   step_key: str = "step_id") -> DataFrame:
     """Default of every tool input of every step, taken from the workflow when wired to it.
 
     ``steps`` holds ``in`` (``array<struct<id, source>>``) and ``inputs``
-    (``array<struct<id, default>>``); ``wf_inputs`` is ``(wf_id, id, default)`` with unique ids per
-    workflow (as CWL requires).  A tool input whose short name matches a step ``in`` whose
-    ``source`` is a workflow input takes that input's default - also when it is null.  Otherwise
-    the tool default stays.  The tool input is matched to its step ``in`` inside the step row
-    (short ids of the ``in`` array once per step, then ``array_position``; ids are unique within
-    a step); only the workflow lookup is a join.
+    (``array<struct<id, default>>``).  ``wf_inputs`` is the name of a column of ``steps`` with the
+    workflow's own inputs (``array<struct<id, default>>``, as a workflow document has them), or a
+    frame ``(wf_id, id, default)``, which is folded into one array per workflow and joined before
+    anything is exploded.  Ids are unique per workflow.  A tool input whose short name matches a
+    step ``in`` whose ``source`` is a workflow input takes that input's default - also when it is
+    null.  Otherwise the tool default stays.  All look-ups happen inside the step row.
     Returns ``(wf_id, step_id, input_pos, input, default, from_workflow)``.
     """
-    wired = steps.select(wf_key, step_key, "inputs",
-                         F.transform("in", lambda w: short_id(w["id"])).alias("_in_short"),
-                         F.col("in.source").alias("_in_src"))
-    tool = wired.select(wf_key, step_key, "_in_short", "_in_src",
+    if not isinstance(wf_inputs, str):
+        folded = wf_inputs.groupBy(wf_key).agg(F.collect_list(F.struct("id", "default")).alias("_wf_in"))
+        steps, wf_inputs = steps.join(folded, wf_key, "left"), "_wf_in"
+    wired = steps.select(wf_key, step_key, "inputs", F.transform("in", lambda w: short_id(w["id"])).alias("_in_short"),
+                         F.col("in.source").alias("_in_src"), F.col(f"{wf_inputs}.id").alias("_wf_id"),
+                         F.col(f"{wf_inputs}.default").alias("_wf_default"))
+    tool = wired.select(wf_key, step_key, "_in_short", "_in_src", "_wf_id", "_wf_default",
                         F.posexplode("inputs").alias("input_pos", "_i"))
-    tool = tool.select(wf_key, step_key, "input_pos", short_id(F.col("_i.id")).alias("input"),
-                       F.col("_i.default").alias("tool_default"), "_in_short", "_in_src")
-    idx = F.array_position("_in_short", F.col("input")).cast("int")
-    tool = tool.withColumn("source", F.when(idx > 0, F.element_at("_in_src", idx))).drop("_in_short", "_in_src")
-    wi = wf_inputs.select(F.col(wf_key), F.col("id").alias("source"), F.col("default").alias("_wf_default"),
-                          F.lit(True).alias("_known"))
-    j = tool.join(wi, [wf_key, "source"], "left")
-    from_wf = F.coalesce(F.col("_known"), F.lit(False))
-    return j.select(wf_key, step_key, "input_pos", "input",
-                    F.when(from_wf, F.col("_wf_default")).otherwise(F.col("tool_default")).alias("default"),
-                    from_wf.alias("from_workflow"))
+    tool = tool.select("*", short_id(F.col("_i.id")).alias("input"))
+    tool = tool.withColumn("_src", F.get("_in_src", F.array_position("_in_short", F.col("input")).cast("int") - 1))
+    tool = tool.withColumn("_at", F.coalesce(F.array_position("_wf_id", F.col("_src")), F.lit(0)).cast("int"))
+    return tool.select(wf_key, step_key, "input_pos", "input",
+                       F.when(F.col("_at") > 0, F.get("_wf_default", F.col("_at") - 1)).otherwise(F.col("_i.default"))
+                        .alias("default"),
+                       (F.col("_at") > 0).alias("from_workflow"))
 
 
 # --- submission text ------------------------------------------------------------------------------
 
 def render_job_text(jobs: DataFrame, sandbox: str = "sandbox_id", refs: str | None = "input_refs",
                     cores: str | None = "cores", priority: str | None = "priority",
-                    sites: str | None = "sites") -> Column:
+                    sites: str | None = "sites", data: str | None = None) -> Column:
     """Submission text of a job, lines joined by ``\\n`` (no trailing newline).
 
     Optional lines: ``NumberOfProcessors`` when cores > 0, ``Priority`` unless 0 (default 10),
     ``Site`` when sites are given (array joined by ``, `` or a plain string), ``InputData`` with
-    the catalog references (``lfn:`` written ``LFN:``) when there are any.
+    the catalog references (``lfn:`` written ``LFN:``) when there are any.  ``data`` names a column
+    that already holds those references as text, in place of ``refs``.
     """
     schema = jobs.schema
 
@@ -226,7 +228,9 @@ def render_job_text(jobs: DataFrame, sandbox: str = "sandbox_id", refs: str | No
         sites_c = F.array_join(F.col(sites), ", ")
     else:
         sites_c = opt(sites).cast("string")
-    if refs and refs in schema.fieldNames():
+    if data:
+        data_line = F.when(F.coalesce(F.length(data), F.lit(0)) > 0, F.concat(F.lit("InputData = "), F.col(data), F.lit(";")))
+    elif refs and refs in schema.fieldNames():
         refs_arr = F.filter(F.col(refs), lambda r: r.startswith("lfn:"))
         data = F.array_join(F.transform(refs_arr, lambda r: lfn_upper(r)), ", ")
         data_line = F.when(F.coalesce(F.size(refs_arr), F.lit(0)) > 0,

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions.lfn import LFN_PREFIX
+from gridweave.operators._joins import null_safe_join
 from gridweave.operators.catalog import NOT_FOUND, find_files
 
 # Error text of a reference without location and path, and the local-file scheme.
@@ -20,8 +21,14 @@ FILE_SCHEME = "file://"
 
 
 def reference_errors(refs: DataFrame) -> DataFrame:
-    """References that have neither ``location`` nor ``path`` (the job is rejected)."""
-    bad = F.col("location").isNull() & F.col("path").isNull()
+    """References that have neither ``location`` nor ``path`` (the job is rejected).
+
+    Empty strings count as missing.  A single-file input (``is_list`` false) needs a location.
+    """
+    no_location, no_path = F.coalesce("location", F.lit("")) == "", F.coalesce("path", F.lit("")) == ""
+    bad = no_location & no_path
+    if "is_list" in refs.columns:
+        bad = bad | (no_location & ~F.coalesce("is_list", F.lit(True)))
     return refs.filter(bad).withColumn("error", F.lit(NO_LOCATION))
 
 
@@ -45,27 +52,29 @@ def catalog_refs_by_input(refs: DataFrame, keys: Sequence[str] = ("job_id", "inp
 
 def local_refs(refs: DataFrame) -> DataFrame:
     """References that name a local path, with every ``file://`` removed (the input sandbox)."""
-    return (refs.filter(F.col("path").isNotNull())
+    return (refs.filter(F.coalesce("path", F.lit("")) != "")
                 .withColumn("local_path", F.replace(F.col("path"), F.lit(FILE_SCHEME), F.lit(""))))
 
 
 def rewrite_inputs(refs: DataFrame, catalog: DataFrame, job_key: str = "job_id") -> tuple[DataFrame, DataFrame]:
     """Stage the catalog references of every job and point them at the local copies.
 
-    Returns ``(rows, jobs)``.  ``rows``: every reference with ``staged_path`` (the basename of a
-    found catalog file, the original path otherwise) and ``status``.  ``jobs``: per job the
-    number of catalog references, how many were found, and ``failed`` (any not found fails the
-    job).  Non-catalog inputs are left as they are.
+    Returns ``(rows, jobs)``.  ``rows``: every reference with ``status`` and the reference the job
+    gets, ``staged_location`` and ``staged_path``: a found catalog file is its basename as path and
+    no location, any other reference is left as it is.  ``jobs``: per job the number of catalog
+    references, how many were found, and ``failed`` (any not found fails the job).
     """
     is_lfn = F.coalesce(F.col("location").startswith(LFN_PREFIX), F.lit(False))
     lfn_rows = refs.filter(is_lfn)
     other = refs.filter(~is_lfn)
     looked = find_files(catalog, lfn_rows, lfn_col="location")
-    staged = looked.withColumn(
-        "staged_path", F.when(F.col("status") != NOT_FOUND, F.substring_index("location", "/", -1)))
+    found = F.col("status") != NOT_FOUND
+    staged = (looked.withColumn("staged_location", F.when(~found, F.col("location")))
+                    .withColumn("staged_path", F.when(found, F.substring_index("location", "/", -1))))
     rows = staged.drop("cat_creation_date", "cat_metadata").unionByName(
         other.withColumn("status", F.lit(None).cast("string"))
              .withColumn("message", F.lit(None).cast("string"))
+             .withColumn("staged_location", F.col("location"))
              .withColumn("staged_path", F.col("path")))
     jobs = rows.groupBy(job_key).agg(
         F.count(F.when(F.col("status").isNotNull(), 1)).alias("n_catalog"),
@@ -79,34 +88,36 @@ def sandbox_manifest(files: DataFrame, job_key: str = "job_id", pos: str = "pos"
     """Files packed into each job's sandbox, by basename; the list stops at the first empty name.
 
     Returns ``(manifest, summary)``: manifest rows ``(job, pos, member)`` and per job
-    ``(job, n_files, sandbox_id)``; ``sandbox_id`` is an order-independent fingerprint of the
-    manifest (computed by partial aggregation, never by collecting the list).  A job without
-    any file before the cut gets no sandbox.
+    ``(job, n_files, sandbox_id)``.  ``sandbox_id`` names the packed members whatever their order:
+    a SHA-256 of their number and of the sums of two 60-bit parts of each member's SHA-256, so it
+    needs no collected list and equal members do not cancel.  A job whose list is cut at its first
+    entry packs an empty sandbox; a job without any entry has none.
     """
     empty = F.coalesce(F.col(name), F.lit("")) == ""
     cut = files.groupBy(job_key).agg(F.min(F.when(empty, F.col(pos))).alias("_cut"))
-    kept = (files.join(cut, job_key)
-                 .filter(F.col("_cut").isNull() | (F.col(pos) < F.col("_cut")))
-                 .select(job_key, pos, F.substring_index(F.col(name), "/", -1).alias("member")))
-    summary = kept.groupBy(job_key).agg(
-        F.count(F.lit(1)).alias("n_files"),
-        F.bit_xor(F.xxhash64(F.col(pos), F.col("member"))).alias("_fp"))
-    summary = summary.select(job_key, "n_files",
-                             F.concat(F.lit("sandbox_"), F.col("n_files").cast("string"), F.lit("_"),
-                                      F.hex(F.col("_fp"))).alias("sandbox_id"))
-    return kept, summary
+    marked = null_safe_join(files, cut, [job_key])
+    packed = F.col("_cut").isNull() | (F.col(pos) < F.col("_cut"))
+    marked = marked.select(job_key, pos, packed.alias("_packed"), F.substring_index(F.col(name), "/", -1).alias("member"))
+    digest = F.sha2(F.when(F.col("_packed"), F.col("member")), 256)
+    parts = [F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)")) for at in (1, 16)]
+    total = [F.coalesce(p, F.lit(0)).cast("decimal(38,0)").cast("string") for p in parts]
+    n = F.count(F.when(F.col("_packed"), 1))
+    summary = marked.groupBy(job_key).agg(
+        n.alias("n_files"),
+        F.concat(F.lit("sandbox_"), F.sha2(F.concat_ws(":", n.cast("string"), *total), 256)).alias("sandbox_id"))
+    return marked.filter("_packed").drop("_packed"), summary
 
 
 def staged_inputs(rows: DataFrame, job_key: str = "job_id") -> DataFrame:
-    """Job inputs after staging, rebuilt per job: ``(job_id, inputs map<input_name, array<path>>)``.
+    """Inputs after staging, one row per job input: ``(job_id, input_name, is_list, files)``.
 
-    ``rows`` is the first result of :func:`rewrite_inputs`.  Catalog references point at their
-    local copies, every other input is kept as it was; paths keep their position order.  The lists
-    are a job's own inputs (bounded by its group size), collected per job.
+    ``rows`` is the first result of :func:`rewrite_inputs`.  ``files`` holds ``struct(location,
+    path)`` in position order; ``is_list`` tells a list of files from a single one, as the input
+    was given.  The lists are a job's own inputs (bounded by its group size), collected per input.
     """
     per_input = rows.groupBy(job_key, "input_name").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("pos"), F.col("staged_path")))).alias("_p"))
-    per_input = per_input.select(job_key, "input_name",
-                                 F.transform("_p", lambda x: x["staged_path"]).alias("paths"))
-    return per_input.groupBy(job_key).agg(
-        F.map_from_entries(F.collect_list(F.struct("input_name", "paths"))).alias("inputs"))
+        F.bool_or("is_list").alias("is_list"),
+        F.array_sort(F.collect_list(F.struct(F.col("pos"), F.col("staged_location").alias("location"),
+                                             F.col("staged_path").alias("path")))).alias("_f"))
+    return per_input.select(job_key, "input_name", "is_list", F.transform(
+        "_f", lambda x: F.struct(x["location"].alias("location"), x["path"].alias("path"))).alias("files"))

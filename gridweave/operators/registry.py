@@ -20,17 +20,18 @@ def registry_tables(entries: DataFrame, override: bool = True, key: str = "key",
     """(global table, per-VO table) of the accepted registrations.
 
     The global table holds one row per key (any VO); the VO table one row per (vo, key) for
-    entries that name a VO.
+    accepted entries that name a VO.  Without ``override`` only a key's first registration is
+    accepted, so a rejected one is in neither table.  With ``override`` every registration is
+    accepted and the last one of each key, and of each (vo, key), stands.
     """
     outcome = register(entries, override=override, key=key, seq=seq)
     accepted = outcome.filter(F.col("status") == "added").drop("status", "message", "replaced")
-    vo_entries = entries.filter(F.col(vo).isNotNull())
-    pick = F.max_by if override else F.min_by
-    cols = [c for c in entries.columns if c not in (key, vo)]
-    per_vo = (vo_entries.groupBy(vo, key)
-                        .agg(pick(F.struct(*cols), F.col(seq)).alias("_e"))
-                        .select(vo, key, *[F.col("_e")[c].alias(c) for c in cols]))
-    return accepted, per_vo
+    named = F.coalesce(F.col(vo), F.lit("")) != ""
+    if not override:
+        return accepted, accepted.filter(named)
+    of_vo = entries.filter(named & F.col(key).isNotNull())
+    last = of_vo.groupBy(vo, key).agg(F.max(seq).alias("_last"))
+    return accepted, of_vo.join(last, [vo, key]).filter(F.col(seq) == F.col("_last")).drop("_last")
 
 
 def lookup_with_fallback(wanted: DataFrame, global_table: DataFrame, vo_table: DataFrame,
@@ -40,31 +41,32 @@ def lookup_with_fallback(wanted: DataFrame, global_table: DataFrame, vo_table: D
     Both registry tables are small (one row per plugin); the joins are left joins the adaptive
     planner turns into broadcasts from their measured size.
     """
-    v = vo_table.select(F.col(vo).alias("_vo"), F.col(key).alias("_k"), F.col(payload).alias("_vo_hit"))
-    g = global_table.select(F.col(key).alias("_k2"), F.col(payload).alias("_g_hit"))
+    v = vo_table.select(F.col(vo).alias("_vo"), F.col(key).alias("_k"), F.col(payload).alias("_v_hit"),
+                        F.lit(True).alias("_in_vo"))
+    g = global_table.select(F.col(key).alias("_k2"), F.col(payload).alias("_g_hit"), F.lit(True).alias("_in_all"))
     j = wanted.join(v, (wanted[vo] == v["_vo"]) & (wanted[key] == v["_k"]), "left") \
               .join(g, wanted[key] == g["_k2"], "left")
-    return (j.withColumn("found", F.coalesce(F.col("_vo_hit"), F.col("_g_hit")))
-             .withColumn("scope", F.when(F.col("_vo_hit").isNotNull(), F.lit("vo"))
-                         .when(F.col("_g_hit").isNotNull(), F.lit("global")))
-             .drop("_vo", "_k", "_vo_hit", "_k2", "_g_hit"))
+    return (j.withColumn("found", F.when(F.col("_in_vo"), F.col("_v_hit")).otherwise(F.col("_g_hit")))
+             .withColumn("scope", F.when(F.col("_in_vo"), F.lit("vo")).when(F.col("_in_all"), F.lit("global")))
+             .drop("_vo", "_k", "_v_hit", "_in_vo", "_k2", "_g_hit", "_in_all"))
 
 
-def registry_summary(global_table: DataFrame, key: str = "key", vo: str = "vo") -> DataFrame:
-    """Per VO (null = no VO): number of plugins and their sorted keys (one per distinct key)."""
-    return global_table.groupBy(vo).agg(F.count(F.lit(1)).alias("n_plugins"),
-                                        F.array_sort(F.collect_set(key)).alias("keys"))
+def registry_summary(global_table: DataFrame, vo_table: DataFrame, key: str = "key", vo: str = "vo") -> DataFrame:
+    """(vo, n_plugins): one row per VO that has plugins, and one with null for all plugins."""
+    per_vo = vo_table.groupBy(vo).agg(F.countDistinct(key).alias("n_plugins"))
+    everything = global_table.agg(F.countDistinct(key).alias("n_plugins"))
+    return per_vo.unionByName(everything.select(F.lit(None).cast("string").alias(vo), "n_plugins"))
+
+
+def list_organizations(vo_table: DataFrame, vo: str = "vo") -> DataFrame:
+    """The VOs that have plugins."""
+    return vo_table.select(vo).distinct()
 
 
 def list_plugins(global_table: DataFrame, vo_table: DataFrame, vo_name: str | None = None,
                  key: str = "key", vo: str = "vo") -> DataFrame:
     """Keys of one VO; an unknown or absent VO lists all keys."""
-    if vo_name is None:
+    mine = vo_table.filter(F.col(vo) == vo_name) if vo_name else None
+    if mine is None or mine.isEmpty():
         return global_table.select(key)
-    mine = vo_table.filter(F.col(vo) == vo_name).select(key)
-    # "all keys when this VO has none", decided without collecting: a one-row count, broadcast
-    # (its size is one row by construction) and joined on a constant key.
-    has = (vo_table.filter(F.col(vo) == vo_name).agg(F.count(F.lit(1)).alias("_n"))
-                   .filter(F.col("_n") == 0).withColumn("_c", F.lit(0)))
-    alls = global_table.select(key).withColumn("_c", F.lit(0)).join(F.broadcast(has), "_c").select(key)
-    return mine.unionByName(alls)
+    return mine.select(key)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridweave.functions.lfn import input_query, lfn_location
+from gridweave.functions.lfn import LFN_PREFIX_UPPER, input_query
 from gridweave.operators.catalog import (
     add_entries,
     has_hot_match,
@@ -13,7 +13,7 @@ from gridweave.operators.catalog import (
     match_query,
     upsert_metadata,
 )
-from gridweave.operators.grouping import HOT_ROWS, fixed_groups, group_limit, zip_groups
+from gridweave.operators.grouping import HOT_ROWS, fixed_groups, group_limit, union_queries, zip_groups
 from gridweave.operators.jobs import EXECUTABLE_LINE, render_job_text
 from gridweave.plans.inputs import (
     FLAGSHIP_GROUP,
@@ -26,21 +26,23 @@ from gridweave.plans.inputs import (
     lineitem_tasks,
 )
 from gridweave.plans.tables import table
-from gridweave.session import checkpoint_dir
-from gridweave.sources.catalog import catalog_from_parts, read_latest_catalog, write_catalog_snapshot
+from gridweave.session import kept_result, scratch_dir
+from gridweave.sources.catalog import catalog_from_parts, read_catalog, read_latest_catalog, write_catalog_snapshot
 
 EVENT_GROUP = 7
 ZIP_GROUP = 5
 LIMIT_GROUPS = 10
+# Entries of one legacy catalog document, on average.
+DOCUMENT_ENTRIES = 20_000
 
 
 def transformation_jobs(spark, sf, group_size: int = FLAGSHIP_GROUP, method: str = "auto"):
     """Catalog -> query path per task input -> files below it -> groups of ``group_size`` ->
     i-th group of every input zipped into job i -> submission text."""
-    catalog = lineitem_catalog(spark, sf)
-    tasks, inputs = lineitem_tasks(spark, sf)
-    checkpoint_dir(spark)
-    inputs = inputs.checkpoint(eager=True)  # the task spec: small, read three times below
+    # catalog names are canonical, so a file's reference is made once, in the scan
+    catalog = lineitem_catalog(spark, sf).withColumn("ref", F.concat(F.lit(LFN_PREFIX_UPPER), "lfn"))
+    _, inputs = lineitem_tasks(spark, sf)
+    inputs = kept_result(inputs)  # the task spec: small, read three times below
     queries = inputs.withColumn("query", input_query(QUERY_ROOT, None, F.col("campaign"), F.col("site"),
                                                      None, F.col("input_name")))
     if method == "auto":
@@ -48,15 +50,15 @@ def transformation_jobs(spark, sf, group_size: int = FLAGSHIP_GROUP, method: str
         method = "split" if has_hot_match(catalog, queries, HOT_ROWS) else "window"
     matched = match_query(catalog, queries)
     groups = fixed_groups(matched, ["task_id", "input_name"], order="lfn", size=group_size,
-                          value="lfn", method=method)
+                          value="ref", method=method)
     jobs = zip_groups(groups, inputs, ["task_id"])
-    refs = F.flatten(F.transform("inputs", lambda i: F.transform(i["members"], lambda m: lfn_location(m))))
-    jobs = (jobs.withColumn("input_refs", refs)
+    jobs = (jobs.withColumn("refs", F.flatten(F.col("inputs.members")))
+                .withColumn("data", F.array_join("refs", ", "))
                 .withColumn("sandbox_id", F.concat(F.lit("SB:SandboxSE|/S3/sandbox-store/"), F.col("task_id"),
                                                    F.lit("_"), F.col("gid").cast("string"), F.lit(".tar.zst"))))
     return jobs.select("task_id", "gid", F.size("inputs").cast("long").alias("n_inputs"),
-                       F.size("input_refs").cast("long").alias("n_files"),
-                       render_job_text(jobs).alias("jdl"))
+                       F.size("refs").cast("long").alias("n_files"),
+                       render_job_text(jobs, data="data").alias("jdl"))
 
 
 def catalog_match_lineitem(spark, sf):
@@ -71,17 +73,36 @@ def catalog_match_lineitem(spark, sf):
 def catalog_snapshot_lineitem(spark, sf):
     """The lineitem catalog written as a snapshot (partitioned by return flag), read back as the
     latest committed snapshot, and matched against every task input's query path."""
-    import uuid
     li = table(spark, sf, "lineitem")
     cat = catalog_from_parts(li, lineitem_dir(), lineitem_name(), keep=["l_returnflag"])
-    root = f"{checkpoint_dir(spark).rstrip('/')}/catalog-{uuid.uuid4().hex[:12]}"
-    write_catalog_snapshot(cat, root, partition_by=["l_returnflag"])
-    stored = read_latest_catalog(spark, root)
     _, inputs = lineitem_tasks(spark, sf)
     queries = inputs.withColumn("query", input_query(QUERY_ROOT, None, F.col("campaign"), F.col("site"),
                                                      None, F.col("input_name")))
-    m = match_query(stored, queries)
-    return m.groupBy("query").agg(F.count(F.lit(1)).alias("n_files"), F.min("name").alias("first_name"))
+    with scratch_dir(spark, "catalog") as root:
+        write_catalog_snapshot(cat, root, partition_by=["l_returnflag"])
+        m = match_query(read_latest_catalog(spark, root), queries)
+        return kept_result(m.groupBy("query").agg(F.count(F.lit(1)).alias("n_files"), F.min("name").alias("first_name")))
+
+
+def catalog_import_lineitem(spark, sf):
+    """The lineitem catalog written as JSON lines and as one legacy document per directory, read back
+    in both forms and counted per directory; a catalog that is not there counts nothing."""
+    cat = lineitem_catalog(spark, sf).withColumn("creation_epoch", F.lit(0.5))
+    entry = F.struct("lfn", F.struct(F.col("creation_epoch").alias("CreationDate")))
+    with scratch_dir(spark, "catalog-import") as root:
+        cat.write.json(f"{root}/lines")
+        # a legacy document is one file; each holds up to DOCUMENT_ENTRIES entries of the catalog
+        n_docs = max(1, -(-cat.count() // DOCUMENT_ENTRIES))
+        part = F.pmod(F.xxhash64("lfn"), F.lit(n_docs))
+        docs = cat.groupBy(part.alias("doc")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+        docs.repartition("doc").write.partitionBy("doc").text(f"{root}/documents")
+        forms = [("lines", read_catalog(spark, f"{root}/lines", "json")),
+                 ("documents", read_catalog(spark, f"{root}/documents", "document")),
+                 ("nowhere", read_catalog(spark, f"{root}/nowhere"))]
+        counted = [df.groupBy("dir").agg(F.count(F.lit(1)).alias("n_files"), F.countDistinct("lfn").alias("n_names"),
+                                         F.sum("creation_epoch").alias("epochs")).withColumn("form", F.lit(form))
+                   for form, df in forms]
+        return kept_result(union_queries(*counted).select("form", "dir", "n_files", "n_names", "epochs"))
 
 
 def find_files_lineitem(spark, sf):
@@ -109,15 +130,24 @@ def _line_updates(spark, sf):
     return li.select(F.concat(F.lit("/orders/"), F.col("l_orderkey").cast("string")).alias("lfn"),
                      F.col("l_linestatus").alias("status"),
                      F.col("l_extendedprice").cast("string").alias("amount"),
-                     F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").alias("seq"))
+                     "l_linenumber", "l_partkey", "l_suppkey", _line_seq().alias("seq"))
+
+
+def _line_seq():
+    """One number that orders the lines of an order: line number, part, supplier, ship date."""
+    def number(col):
+        return col.cast("decimal(38,0)")
+
+    seq = number(F.col("l_linenumber"))
+    for col, digits in ((F.col("l_partkey"), 12), (F.col("l_suppkey"), 12), (F.unix_date(F.to_date("l_shipdate")), 6)):
+        seq = number(number(seq * F.lit(10**digits).cast("decimal(13,0)")) + number(col))
+    return seq
 
 
 def add_entries_orders(spark, sf):
     """Insert-if-absent of one entry per line into a catalog of the orders before 1998."""
     out = add_entries(_orders_catalog(spark, sf), _line_updates(spark, sf), key="lfn", seq="seq")
-    return out.select("lfn", F.col("seq.l_linenumber").alias("l_linenumber"),
-                      F.col("seq.l_partkey").alias("l_partkey"), F.col("seq.l_suppkey").alias("l_suppkey"),
-                      "status", "message")
+    return out.select("lfn", "l_linenumber", "l_partkey", "l_suppkey", "status", "message")
 
 
 def upsert_orders(spark, sf):
@@ -125,9 +155,9 @@ def upsert_orders(spark, sf):
     return upsert_metadata(_orders_catalog(spark, sf), _line_updates(spark, sf), key="lfn", seq="seq")
 
 
-def _event_groups(spark, sf, size):
+def _event_groups(spark, sf, size, max_groups=None):
     cat = events_catalog(spark, sf)
-    return fixed_groups(cat, ["event_type"], order="event_id", size=size, value="event_id")
+    return fixed_groups(cat, ["event_type"], order="event_id", size=size, value="event_id", max_groups=max_groups)
 
 
 def fixed_groups_events(spark, sf):
@@ -136,7 +166,8 @@ def fixed_groups_events(spark, sf):
 
 
 def group_limit_events(spark, sf):
-    g = group_limit(_event_groups(spark, sf, EVENT_GROUP), LIMIT_GROUPS)
+    """The first ten groups of every event type; no more rows are ranked than those hold."""
+    g = group_limit(_event_groups(spark, sf, EVENT_GROUP, max_groups=LIMIT_GROUPS), LIMIT_GROUPS)
     return g.select("event_type", "gid", F.array_join("members", ",").alias("members"))
 
 
@@ -200,6 +231,14 @@ SELECT '/grid/data/' || l_returnflag || '/' || l_linestatus || '/' || CAST(year(
 FROM lineitem GROUP BY 1
 """
 
+_IMPORT_SQL = f"""
+WITH c AS (SELECT '/grid/data/' || l_returnflag || '/' || l_linestatus || '/' || CAST(year(l_shipdate) AS VARCHAR) AS dir,
+                  {_CAT} AS lfn FROM lineitem),
+n AS (SELECT dir, count(*) AS n_files, count(DISTINCT lfn) AS n_names, 0.5 * count(*) AS epochs FROM c GROUP BY dir)
+SELECT 'lines' AS form, dir, n_files, n_names, CAST(epochs AS DOUBLE) AS epochs FROM n
+UNION ALL SELECT 'documents', dir, n_files, n_names, CAST(epochs AS DOUBLE) FROM n
+"""
+
 _FIND_SQL = f"""
 WITH w AS (SELECT CASE WHEN l_returnflag = 'A' THEN 'lfn:' || {_CAT}
                        WHEN l_returnflag = 'N' THEN 'LFN:' || {_CAT} ELSE {_CAT} END AS lfn,
@@ -269,6 +308,7 @@ QUERIES = {
     "transformation_jobs": (transformation_jobs, _FLAGSHIP_SQL),
     "catalog_match_lineitem": (catalog_match_lineitem, _MATCH_SQL),
     "catalog_snapshot_lineitem": (catalog_snapshot_lineitem, _SNAPSHOT_SQL),
+    "catalog_import_lineitem": (catalog_import_lineitem, _IMPORT_SQL),
     "find_files_lineitem": (find_files_lineitem, _FIND_SQL),
     "add_entries_orders": (add_entries_orders, _ADD_SQL),
     "upsert_orders": (upsert_orders, _UPSERT_SQL),

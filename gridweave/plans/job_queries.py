@@ -54,31 +54,28 @@ def resolve_parameters_events(spark, sf):
 
 
 def _conversation_hints(spark, sf):
+    """The hints of every turn, in one scan: user turns hold a ``configuration`` entry, assistant
+    turns an ``output_paths`` entry, system turns a whole configuration and a priority."""
     conv = table(spark, sf, "conversations")
     word = F.lower(F.regexp_extract("text", r"^\W*(\w+)", 1))
     size = F.length("text").cast("string")
-    base = [F.col("conv_id").alias("task_id"), F.col("turn").alias("pos")]
-    user = conv.filter(F.col("role") == "user").select(
-        *base, F.lit("hooks").alias("class"), F.lit("configuration").alias("key"), word.alias("subkey"),
-        size.alias("value"))
-    assistant = conv.filter(F.col("role") == "assistant").select(
-        *base, F.lit("hooks").alias("class"), F.lit("output_paths").alias("key"), word.alias("subkey"),
-        size.alias("value"))
-    system = conv.filter(F.col("role") == "system")
-    sys_cfg = system.select(*base, F.lit("hooks").alias("class"), F.lit("configuration").alias("key"),
-                            F.lit(None).cast("string").alias("subkey"), size.alias("value"))
-    sys_prio = system.select(*base, F.lit("scheduling").alias("class"), F.lit("priority").alias("key"),
-                             F.lit(None).cast("string").alias("subkey"), F.col("turn").cast("string").alias("value"))
-    hints = user.unionByName(assistant).unionByName(sys_cfg).unionByName(sys_prio)
-    tasks = conv.select(F.col("conv_id").alias("task_id")).distinct()
-    return hints, tasks
+
+    def hint(cls, key, subkey, value):
+        return F.struct(F.lit(cls).alias("class"), F.lit(key).alias("key"), subkey.cast("string").alias("subkey"),
+                        value.alias("value"))
+
+    none, role = F.lit(None), F.col("role")
+    hints = (F.when(role == "user", F.array(hint("hooks", "configuration", word, size)))
+              .when(role == "assistant", F.array(hint("hooks", "output_paths", word, size)))
+              .when(role == "system", F.array(hint("hooks", "configuration", none, size),
+                                              hint("scheduling", "priority", none, F.col("turn").cast("string")))))
+    return conv.select(F.col("conv_id").alias("task_id"), F.col("turn").alias("pos"), F.inline(hints))
 
 
 def fold_hints_conversations(spark, sf):
     """Turns as hints: user turns merge into ``configuration``, assistant turns into
     ``output_paths``, system turns replace ``configuration`` and set the scheduling priority."""
-    hints, tasks = _conversation_hints(spark, sf)
-    return fold_hints(hints, tasks).select("task_id", "class", "key", "subkey", "value")
+    return fold_hints(_conversation_hints(spark, sf)).select("task_id", "class", "key", "subkey", "value")
 
 
 def _lineitem_workflows(spark, sf):
@@ -106,27 +103,25 @@ def _lineitem_workflows(spark, sf):
         F.array(wire("#main/bill/mode", "#main/mode")).alias("in"),
         F.struct(F.lit("Workflow").alias("class"),
                  F.array(inp("#bill.cwl#mode", F.lit(None).cast("string"))).alias("inputs")).alias("run"))
-    workflows = li.select(wf.alias("wf_id"), F.array(ship, bill).alias("steps"))
     o = table(spark, sf, "orders")
-    mode = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
-        wf.alias("wf_id"), F.lit("#main/mode").alias("id"), F.col("o_orderpriority").alias("default"))
-    flag = li.filter(F.col("l_returnflag") != "A").select(
-        wf.alias("wf_id"), F.lit("#main/flag").alias("id"),
-        F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("default"))
-    return workflows, mode.unionByName(flag)
+    mode = F.struct(F.lit("#main/mode").alias("id"), F.col("o_orderpriority").alias("default"))
+    flag = F.struct(F.lit("#main/flag").alias("id"),
+                    F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("default"))
+    inputs = F.array_compact(F.array(F.when(F.col("o_orderkey").isNotNull(), mode),
+                                     F.when(F.col("l_returnflag") != "A", flag)))
+    return li.join(o, li["l_orderkey"] == o["o_orderkey"], "left").select(
+        wf.alias("wf_id"), "l_orderkey", inputs.alias("wf_inputs"), F.array(ship, bill).alias("steps"))
 
 
 def step_defaults_lineitem(spark, sf):
     """Two-step workflow per line; tool inputs wired to workflow inputs take their defaults."""
-    workflows, wf_inputs = _lineitem_workflows(spark, sf)
-    steps = explode_steps(workflows)
-    return step_defaults(steps, wf_inputs).select("wf_id", "step_id", F.col("input_pos").cast("long").alias("input_pos"),
+    steps = explode_steps(_lineitem_workflows(spark, sf))
+    return step_defaults(steps, "wf_inputs").select("wf_id", "step_id", F.col("input_pos").cast("long").alias("input_pos"),
                                                   "input", "default", "from_workflow")
 
 
 def explode_steps_lineitem(spark, sf):
-    workflows, _ = _lineitem_workflows(spark, sf)
-    steps = explode_steps(workflows)
+    steps = explode_steps(_lineitem_workflows(spark, sf))
     return steps.select("wf_id", F.col("step_pos").cast("long").alias("step_pos"), "step_id", "kind",
                         F.size("in").cast("long").alias("n_in"), F.size("inputs").cast("long").alias("n_inputs"))
 
@@ -147,7 +142,7 @@ def render_job_text_orders(spark, sf):
                  F.col("o_orderkey").cast("string"), F.lit(".dat")),
         F.concat(F.lit("file:///local/"), F.col("o_orderkey").cast("string"), F.lit(".txt")),
         F.concat(F.lit("lfn:/calib/"), F.col("o_orderpriority"), F.lit(".db"))))
-    sandbox = F.concat(F.lit("SB:SandboxSE|/S3/sandbox-store/sha256:"), F.lpad(F.col("o_orderkey").cast("string"), 4, "0"),
+    sandbox = F.concat(F.lit("SB:SandboxSE|/S3/sandbox-store/sha256:"), F.col("o_orderkey").cast("string"),
                        F.lit(".tar.zst"))
     jobs = o.select("o_orderkey", cores.alias("cores"), prio.alias("priority"), sites.alias("sites"),
                     refs.alias("input_refs"), sandbox.alias("sandbox_id"))
@@ -264,7 +259,7 @@ SELECT o_orderkey, concat_ws(chr(10),
   'JobName = test;', 'OutputSandbox = {std.out, std.err};',
   CASE WHEN o_orderstatus = 'O' THEN 'Priority = 10;' WHEN o_orderstatus <> 'F' THEN 'Priority = 100;' END,
   CASE WHEN o_orderstatus = 'P' THEN 'Site = SITE-A.example.org, SITE-B.example.org;' END,
-  'InputSandbox = SB:SandboxSE|/S3/sandbox-store/sha256:' || lpad(CAST(o_orderkey AS VARCHAR), 4, '0') || '.tar.zst;',
+  'InputSandbox = SB:SandboxSE|/S3/sandbox-store/sha256:' || o_orderkey || '.tar.zst;',
   CASE WHEN o_orderstatus <> 'F' THEN 'InputData = LFN:/orders/' || o_custkey || '/' || o_orderkey || '.dat, LFN:/calib/'
        || o_orderpriority || '.db;' END) AS jdl
 FROM orders

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from gridweave.plans import (
     catalog_queries,
+    flow_queries,
     job_queries,
     output_queries,
     registry_queries,
@@ -11,7 +12,7 @@ from gridweave.plans import (
     text_queries,
 )
 
-_MODULES = [text_queries, catalog_queries, job_queries, output_queries, registry_queries, stream_queries]
+_MODULES = [text_queries, catalog_queries, job_queries, output_queries, registry_queries, flow_queries, stream_queries]
 
 
 def _all():

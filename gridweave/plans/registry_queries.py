@@ -12,18 +12,30 @@ from gridweave.operators.refs import (
     reference_errors,
     rewrite_inputs,
     sandbox_manifest,
+    staged_inputs,
 )
-from gridweave.operators.registry import lookup_with_fallback, register, registry_summary, registry_tables
-from gridweave.operators.validate import check, unknown_key, wrong_type
+from gridweave.operators.grouping import rank_within, union_queries
+from gridweave.operators.registry import (
+    list_organizations,
+    list_plugins,
+    lookup_with_fallback,
+    register,
+    registry_summary,
+    registry_tables,
+)
+from gridweave.operators.validate import check, unknown_key, validate_descriptors, wrong_type
 from gridweave.plans.inputs import lineitem_dir, lineitem_name
 from gridweave.plans.tables import table
-from gridweave.session import checkpoint_dir
+from gridweave.session import kept_result, scratch_dir
 from gridweave.sources.catalog import catalog_from_parts, list_files
 from gridweave.sources.params import read_parameters
 from gridweave.sources.sinks import merge_text_outputs, write_with_fallback
 
 # Fixed values of the stand-ins: the plugin keys the validation knows (one per language).
 KNOWN_PLUGINS = ["en", "de", "fr"]
+# Conversations whose turns make up the text output of one job, and one parameter document.
+JOB_CONVERSATIONS = 50
+PARAMETER_CONVERSATIONS = 20
 
 
 def _plugin_entries(spark, sf):
@@ -40,20 +52,37 @@ def register_plugins_suppliers(spark, sf):
     return out.select("key", "seq", "status", "message")
 
 
+def _customer_wants(spark, sf):
+    c, n, r = table(spark, sf, "customer"), table(spark, sf, "nation"), table(spark, sf, "region")
+    return c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, F.col("n_regionkey") == r["r_regionkey"]) \
+        .select("c_custkey", F.col("n_name").alias("key"), F.col("r_name").alias("vo"))
+
+
 def lookup_registry_customers(spark, sf):
     """Each customer asks for its nation's plugin within its region's VO; VO entry first, then
     the global one (last registration wins)."""
     glob, per_vo = registry_tables(_plugin_entries(spark, sf), override=True)
-    c, n, r = table(spark, sf, "customer"), table(spark, sf, "nation"), table(spark, sf, "region")
-    wanted = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, F.col("n_regionkey") == r["r_regionkey"]) \
-        .select("c_custkey", F.col("n_name").alias("key"), F.col("r_name").alias("vo"))
-    return lookup_with_fallback(wanted, glob, per_vo).select("c_custkey", "key", "vo", "found", "scope")
+    return lookup_with_fallback(_customer_wants(spark, sf), glob, per_vo).select("c_custkey", "key", "vo", "found", "scope")
+
+
+def lookup_first_registration_customers(spark, sf):
+    """The same look-up where a second registration of a name is refused: a refused entry is found
+    neither through its VO nor globally."""
+    glob, per_vo = registry_tables(_plugin_entries(spark, sf), override=False)
+    return lookup_with_fallback(_customer_wants(spark, sf), glob, per_vo).select("c_custkey", "key", "vo", "found", "scope")
 
 
 def registry_summary_suppliers(spark, sf):
-    glob, _ = registry_tables(_plugin_entries(spark, sf), override=True)
-    s = registry_summary(glob)
-    return s.select("vo", "n_plugins", F.array_join("keys", ",").alias("keys"))
+    """Plugins per VO (a VO keeps a name that another VO registers later) and in all."""
+    return registry_summary(*registry_tables(_plugin_entries(spark, sf), override=True)).select("vo", "n_plugins")
+
+
+def list_plugins_suppliers(spark, sf):
+    """Every VO that has plugins with each of its plugin names, and the names an unknown VO gets."""
+    glob, per_vo = registry_tables(_plugin_entries(spark, sf), override=True)
+    vos = list_organizations(per_vo)
+    own = per_vo.join(vos, "vo", "left_semi").select("vo", "key")
+    return own.unionByName(list_plugins(glob, per_vo, "UNKNOWN").select(F.lit("UNKNOWN").alias("vo"), "key"))
 
 
 def _line_refs(spark, sf):
@@ -90,6 +119,24 @@ def rewrite_inputs_lineitem(spark, sf):
     return jobs.select("job_id", "n_catalog", "n_staged", "failed")
 
 
+def staged_inputs_lineitem(spark, sf):
+    """What every job input becomes: found catalog files as local names, all other references as
+    they were, lists as lists and the inputs of order status P as single files."""
+    li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    catalog = catalog_from_parts(li.filter(F.col("l_linestatus") == "F"), lineitem_dir(), lineitem_name())
+    lfn = F.concat(lineitem_dir(), F.lit("/"), lineitem_name())
+    refs = li.join(o, li["l_orderkey"] == o["o_orderkey"], "left").select(
+        F.col("l_orderkey").alias("job_id"), F.concat(F.lit("input-"), F.col("l_returnflag")).alias("input_name"),
+        lineitem_name().alias("pos"),
+        F.when(F.col("l_returnflag") == "N", F.concat(F.lit("lfn:"), lfn))
+         .when(F.col("l_returnflag") == "R", F.concat(F.lit("file://"), lfn)).alias("location"),
+        F.when(F.col("l_returnflag") == "A", lfn).alias("path"),
+        (F.coalesce("o_orderstatus", F.lit("")) != "P").alias("is_list"))
+    rows, _ = rewrite_inputs(refs, catalog)
+    files = F.transform("files", lambda f: F.concat_ws("|", F.coalesce(f["location"], F.lit("-")), F.coalesce(f["path"], F.lit("-"))))
+    return staged_inputs(rows).select("job_id", "input_name", "is_list", F.array_join(files, ", ").alias("files"))
+
+
 def _doc_files(spark, sf):
     d, lab = table(spark, sf, "documents"), table(spark, sf, "labels")
     j = d.join(lab, "doc_id", "left")
@@ -106,7 +153,7 @@ def sandbox_manifest_documents(spark, sf):
 
 def sandbox_summary_documents(spark, sf):
     _, summary = sandbox_manifest(_doc_files(spark, sf))
-    return summary.select(F.col("job_id").alias("source"), "n_files")
+    return summary.select(F.col("job_id").alias("source"), "n_files", "sandbox_id")
 
 
 def validate_documents(spark, sf):
@@ -124,64 +171,81 @@ def validate_documents(spark, sf):
     return out.select("doc_id", F.array_join("errors", "; ").alias("errors"), "valid")
 
 
-def _conversation_outputs(spark, sf) -> str:
-    """Write every conversation's turns as the text output of its job folder (one file per job)."""
-    import uuid
+def validate_descriptors_documents(spark, sf):
+    """Documents as descriptors of submissions: plugin from the language, class from the label,
+    scheduling key and group size from the source."""
+    d, lab = table(spark, sf, "documents"), table(spark, sf, "labels")
+    known = spark.createDataFrame([(k,) for k in KNOWN_PLUGINS], "key string")
+    number = F.regexp_extract("source", r"(\d+)$", 1)
+    odd = F.col("doc_id") % 2 == 1
+    t = d.join(lab, "doc_id", "left").select(
+        "doc_id", F.when(F.col("quality") == 0, F.lit("Operation")).otherwise(F.lit("CommandLineTool")).alias("task_class"),
+        F.col("lang").alias("hook_plugin"),
+        F.create_map(F.when(F.coalesce("toxic", F.lit(0)) == 1, F.lit("owner")).otherwise(F.lit("priority")), number).alias("scheduling"),
+        F.create_map(F.lit("input-data"), F.when(odd, F.col("source")).otherwise(number)).alias("group_size"))
+    out = validate_descriptors(t, known, kind="production")
+    return out.select("doc_id", F.array_join("errors", "; ").alias("errors"), "valid")
+
+
+def _conversation_outputs(spark, sf, root: str) -> None:
+    """Write the turns of every JOB_CONVERSATIONS conversations as the files of one job folder: user
+    turns as ``.out``, all others as ``.txt``."""
     conv = table(spark, sf, "conversations")
-    root = f"{checkpoint_dir(spark).rstrip('/')}/job-outputs-{uuid.uuid4().hex[:12]}"
-    (conv.select(F.col("conv_id").cast("string").alias("job"), "text").repartition("job")
-         .write.partitionBy("job").text(root))
-    return root
+    job = F.floor(F.col("conv_id") / JOB_CONVERSATIONS)
+    for kind, own in (("out", F.col("role") == "user"), ("txt", ~F.coalesce(F.col("role") == "user", F.lit(False)))):
+        rows = conv.filter(own).select(job.alias("job"), "conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+        (rows.repartition("job").sortWithinPartitions("job", "conv_id", "turn").select("job", "text")
+             .write.partitionBy("job").option("lineSep", "\n").text(f"{root}/{kind}"))
 
 
 def read_parameters_conversations(spark, sf):
-    """Every system turn written as one JSON parameter document (one file per conversation and
-    turn), read back as one row per parameter."""
-    import uuid
-    conv = table(spark, sf, "conversations").filter(F.col("role") == "system")
-    root = f"{checkpoint_dir(spark).rstrip('/')}/params-{uuid.uuid4().hex[:12]}"
-    doc = F.to_json(F.struct(F.col("text").alias("message"), "role", F.length("text").alias("n_chars")))
-    (conv.select("conv_id", "turn", doc.alias("value")).repartition("conv_id", "turn")
-         .write.partitionBy("conv_id", "turn").text(root))
-    params = read_parameters(spark, f"{root}/*/*")
-    where = F.regexp_extract("source", r"/conv_id=(\d+)/turn=(\d+)/", 1)
-    turn = F.regexp_extract("source", r"/conv_id=(\d+)/turn=(\d+)/", 2)
-    return params.select(where.cast("long").alias("conv_id"), turn.cast("long").alias("turn"), "key", "value")
+    """The turns of every PARAMETER_CONVERSATIONS conversations written as one JSON parameter
+    document, read back as one row per parameter."""
+    conv = table(spark, sf, "conversations")
+    key = F.concat(F.lit("turn-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    doc = F.floor(F.col("conv_id") / PARAMETER_CONVERSATIONS)
+    docs = conv.groupBy(doc.alias("doc")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(key, "text")))).alias("value"))
+    with scratch_dir(spark, "params") as root:
+        docs.repartition("doc").write.partitionBy("doc").text(root)
+        params = read_parameters(spark, root)
+        return kept_result(params.select(F.regexp_extract("source", r"/doc=(\d+)/", 1).cast("long").alias("doc"), "key", "value"))
 
 
 def write_with_fallback_orders(spark, sf):
     """An order summary stored on the first storage element that accepts it: the first one
     already holds data and refuses the write, so it lands on the second; read back from there."""
-    import os
-    import uuid
     o = table(spark, sf, "orders")
     summary = o.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_orders"),
                                              F.round(F.sum("o_totalprice"), 2).alias("total_price"))
-    base = f"{checkpoint_dir(spark).rstrip('/')}/storage-{uuid.uuid4().hex[:12]}"
-    targets = [f"{base}/SE-1", f"{base}/SE-2"]
-    spark.range(1).write.parquet(targets[0])
-    used = write_with_fallback(summary, targets)
-    return spark.read.parquet(used).withColumn("stored_on", F.lit(os.path.basename(used)))
+    with scratch_dir(spark, "storage") as base:
+        targets = [f"{base}/SE-1", f"{base}/SE-2"]
+        summary.limit(1).write.parquet(targets[0])
+        used = write_with_fallback(summary, targets)
+        return kept_result(spark.read.parquet(used).withColumn("stored_on", F.lit(used.rpartition("/")[2])))
 
 
 def list_files_conversations(spark, sf):
-    """The job output tree listed as a catalog (file contents never read): files per folder."""
-    cat = list_files(spark, _conversation_outputs(spark, sf))
-    return cat.groupBy("dir").agg(F.count(F.lit(1)).alias("n_files"),
-                                  F.sum(F.col("length")).alias("n_bytes"))
+    """The job output tree listed as a catalog (file contents never read): bytes per job folder."""
+    with scratch_dir(spark, "job-outputs") as root:
+        _conversation_outputs(spark, sf, root)
+        cat = list_files(spark, root)
+        job = F.regexp_extract("dir", r"/job=(\d+)$", 1).cast("long")
+        return kept_result(cat.groupBy(job.alias("job")).agg(F.countDistinct("dir").alias("n_dirs"),
+                                                             F.sum("length").alias("n_bytes")))
 
 
 def merge_text_outputs_conversations(spark, sf):
-    """Every conversation is a job folder holding one text output (its turns); the folders are
-    merged per job and the merged lines counted (headers and separators excluded)."""
-    root = _conversation_outputs(spark, sf)
-    merged = merge_text_outputs(spark, root)
-    body = (F.col("block") >= 0) & (F.col("block") < F.lit(2 ** 62))
-    per_job = merged.groupBy("job").agg(F.countDistinct("file").alias("n_files"),
-                                        F.count(F.when(body, 1)).alias("n_lines"),
-                                        F.count(F.lit(1)).alias("n_merged"))
-    return per_job.select(F.regexp_extract("job", r"^job=(.*)$", 1).cast("long").alias("conv_id"),
-                          "n_files", "n_lines", "n_merged")
+    """The merged output of every job folder, line by line: each file's header, its lines numbered
+    in order, and the empty line behind it (user turns in ``.out`` files, all others in ``.txt``)."""
+    with scratch_dir(spark, "job-outputs") as root:
+        _conversation_outputs(spark, sf, root)
+        merged = [merge_text_outputs(spark, f"{root}/{kind}").withColumn("kind", F.lit(kind)) for kind in ("out", "txt")]
+        lines = union_queries(*merged)
+        place = F.struct("rank", "file", "block", "line")
+        ranked = rank_within(lines.withColumn("place", place), ["kind", "job"], "place")
+        value = F.when(F.col("block") < 0, F.substring_index("value", " ", 1)).otherwise(F.col("value"))
+        return kept_result(ranked.select("kind", F.regexp_extract("job", r"^job=(.*)$", 1).cast("long").alias("job"),
+                                         F.col("rn").alias("line_no"), value.alias("value")))
 
 
 def run_hooks_documents(spark, sf):
@@ -203,20 +267,32 @@ SELECT e.key, e.seq, CASE WHEN e.seq = f.first THEN 'added' ELSE 'rejected' END
 FROM e JOIN f ON e.key = f.key
 """
 
+_WANTS_SQL = """w AS (SELECT c_custkey, n_name AS key, r_name AS vo
+      FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT w.c_custkey, w.key, w.vo, CASE WHEN v.key IS NOT NULL THEN v.d ELSE g.d END AS found,
+       CASE WHEN v.key IS NOT NULL THEN 'vo' WHEN g.key IS NOT NULL THEN 'global' END AS scope
+FROM w LEFT JOIN v ON w.vo = v.vo AND w.key = v.key LEFT JOIN g ON w.key = g.key
+"""
+
 _LOOKUP_SQL = "WITH " + _ENTRIES_SQL + """,
 g AS (SELECT key, arg_max(description, seq) AS d FROM e GROUP BY key),
 v AS (SELECT vo, key, arg_max(description, seq) AS d FROM e WHERE vo IS NOT NULL GROUP BY vo, key),
-w AS (SELECT c_custkey, n_name AS key, r_name AS vo
-      FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
-SELECT w.c_custkey, w.key, w.vo, coalesce(v.d, g.d) AS found,
-       CASE WHEN v.d IS NOT NULL THEN 'vo' WHEN g.d IS NOT NULL THEN 'global' END AS scope
-FROM w LEFT JOIN v ON w.vo = v.vo AND w.key = v.key LEFT JOIN g ON w.key = g.key
+""" + _WANTS_SQL
+
+_LOOKUP_FIRST_SQL = "WITH " + _ENTRIES_SQL + """,
+g AS (SELECT key, arg_min(description, seq) AS d FROM e GROUP BY key),
+v AS (SELECT vo, key, description AS d FROM e WHERE vo IS NOT NULL
+      AND NOT EXISTS (SELECT 1 FROM e AS earlier WHERE earlier.key = e.key AND earlier.seq < e.seq)),
+""" + _WANTS_SQL
+
+_SUMMARY_SQL = "WITH " + _ENTRIES_SQL + """
+SELECT vo, count(DISTINCT key) AS n_plugins FROM e WHERE vo IS NOT NULL GROUP BY vo
+UNION ALL SELECT NULL, count(DISTINCT key) FROM e
 """
 
-_SUMMARY_SQL = "WITH " + _ENTRIES_SQL + """,
-g AS (SELECT key, vo FROM (SELECT key, vo, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM e)
-      WHERE rn = 1)
-SELECT vo, count(*) AS n_plugins, string_agg(key, ',' ORDER BY key) AS keys FROM g GROUP BY vo
+_LIST_PLUGINS_SQL = "WITH " + _ENTRIES_SQL + """
+SELECT DISTINCT vo, key FROM e WHERE vo IS NOT NULL
+UNION ALL SELECT DISTINCT 'UNKNOWN', key FROM e
 """
 
 _LFN_SQL = """'/grid/data/' || l_returnflag || '/' || l_linestatus || '/' || CAST(year(l_shipdate) AS VARCHAR) || '/'
@@ -257,7 +333,15 @@ kept AS (SELECT f.job_id, f.pos, list_extract(string_split(f.name, '/'), -1) AS
          FROM f JOIN cut USING (job_id) WHERE cut.c IS NULL OR f.pos < cut.c)"""
 
 _MANIFEST_SQL = "WITH " + _DOC_FILES_SQL + "\nSELECT job_id AS source, pos AS doc_id, member FROM kept"
-_SB_SUMMARY_SQL = "WITH " + _DOC_FILES_SQL + "\nSELECT job_id AS source, count(*) AS n_files FROM kept GROUP BY job_id"
+_SB_SUMMARY_SQL = "WITH " + _DOC_FILES_SQL + """,
+h AS (SELECT job_id, sha256(member) AS h FROM kept),
+n AS (SELECT job_id, count(*) AS n_files, sum(CAST('0x' || substr(h, 1, 15) AS HUGEINT)) AS a,
+             sum(CAST('0x' || substr(h, 16, 15) AS HUGEINT)) AS b FROM h GROUP BY job_id),
+j AS (SELECT DISTINCT job_id FROM f)
+SELECT j.job_id AS source, coalesce(n_files, 0) AS n_files,
+       'sandbox_' || sha256(coalesce(n_files, 0) || ':' || coalesce(a, 0) || ':' || coalesce(b, 0)) AS sandbox_id
+FROM j LEFT JOIN n USING (job_id)
+"""
 
 _VALIDATE_SQL = """
 SELECT doc_id,
@@ -276,22 +360,51 @@ SELECT doc_id, md5(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqr
 FROM documents
 """
 
-_MERGE_SQL = """
-SELECT conv_id, CAST(1 AS BIGINT) AS n_files, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS n_lines,
-       CAST(sum(len(string_split(text, chr(10)))) + 2 AS BIGINT) AS n_merged
-FROM conversations GROUP BY conv_id
+_OUTPUT_LINES = """t AS (SELECT CASE WHEN role = 'user' THEN 'out' ELSE 'txt' END AS kind, conv_id // 50 AS job,
+              coalesce(text, '') AS text FROM conversations)"""
+
+_LIST_SQL = f"""WITH {_OUTPUT_LINES}
+SELECT CAST(job AS BIGINT) AS job, count(DISTINCT kind) AS n_dirs, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes
+FROM t GROUP BY job
 """
 
-_LIST_SQL = """
-SELECT '/job=' || conv_id AS dir, CAST(1 AS BIGINT) AS n_files,
-       CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes
-FROM conversations GROUP BY conv_id
+_MERGE_SQL = """
+WITH t AS (SELECT CASE WHEN role = 'user' THEN 'out' ELSE 'txt' END AS kind, conv_id // 50 AS job, conv_id, turn,
+                  string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations),
+l AS (SELECT kind, job, conv_id, turn, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS value FROM t),
+n AS (SELECT kind, job, 1 + row_number() OVER (PARTITION BY kind, job ORDER BY conv_id, turn, i) AS line_no, value FROM l)
+SELECT kind, CAST(job AS BIGINT) AS job, CAST(line_no AS BIGINT) AS line_no, value FROM n
+UNION ALL SELECT DISTINCT kind, job, 1, '############' FROM n
+UNION ALL SELECT kind, job, max(line_no) + 1, '' FROM n GROUP BY kind, job
 """
 
 _PARAMS_SQL = """
-SELECT conv_id, turn, 'message' AS key, text AS value FROM conversations WHERE role = 'system'
-UNION ALL SELECT conv_id, turn, 'role', role FROM conversations WHERE role = 'system'
-UNION ALL SELECT conv_id, turn, 'n_chars', CAST(length(text) AS VARCHAR) FROM conversations WHERE role = 'system'
+SELECT conv_id // 20 AS doc, 'turn-' || conv_id || '-' || turn AS key, text AS value FROM conversations
+"""
+
+_STAGED_SQL = f"""
+WITH c AS (SELECT DISTINCT {_LFN_SQL} AS k FROM lineitem WHERE l_linestatus = 'F'),
+r AS (SELECT l_orderkey AS job_id, 'input-' || l_returnflag AS input_name, {_NAME_SQL} AS pos, l_returnflag AS f,
+             {_LFN_SQL} AS lfn, coalesce(o_orderstatus, '') <> 'P' AS is_list
+      FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey)
+SELECT job_id, input_name, is_list,
+       string_agg(CASE WHEN f = 'N' AND c.k IS NOT NULL THEN '-|' || pos WHEN f = 'N' THEN 'lfn:' || lfn || '|-'
+                       WHEN f = 'R' THEN 'file://' || lfn || '|-' ELSE '-|' || lfn END, ', ' ORDER BY pos) AS files
+FROM r LEFT JOIN c ON r.lfn = c.k GROUP BY job_id, input_name, is_list
+"""
+
+_DESCRIPTORS_SQL = r"""
+WITH t AS (SELECT doc_id, lang, source, regexp_extract(source, '(\d+)$', 1) AS number, quality, coalesce(toxic, 0) AS toxic
+           FROM documents LEFT JOIN labels USING (doc_id)),
+e AS (SELECT doc_id, concat_ws('; ',
+    CASE WHEN quality = 0 THEN 'task is not a CommandLineTool, Workflow or ExpressionTool: Operation' END,
+    CASE WHEN coalesce(lang, 'QueryBasedPlugin') NOT IN ('en', 'de', 'fr')
+         THEN 'Unknown execution hooks plugin: ' || coalesce(lang, 'QueryBasedPlugin') END,
+    CASE WHEN toxic = 1 THEN 'unknown scheduling keys: owner' END,
+    CASE WHEN TRY_CAST(CASE WHEN doc_id % 2 = 1 THEN source ELSE number END AS INTEGER) IS NULL
+         THEN 'group_size is not an integer for: input-data' END,
+    'a production must be a Workflow') AS errors FROM t)
+SELECT doc_id, errors, errors = '' AS valid FROM e
 """
 
 _FALLBACK_SQL = """
@@ -301,6 +414,10 @@ FROM orders GROUP BY o_orderstatus
 
 QUERIES = {
     "write_with_fallback_orders": (write_with_fallback_orders, _FALLBACK_SQL),
+    "lookup_first_registration_customers": (lookup_first_registration_customers, _LOOKUP_FIRST_SQL),
+    "list_plugins_suppliers": (list_plugins_suppliers, _LIST_PLUGINS_SQL),
+    "staged_inputs_lineitem": (staged_inputs_lineitem, _STAGED_SQL),
+    "validate_descriptors_documents": (validate_descriptors_documents, _DESCRIPTORS_SQL),
     "read_parameters_conversations": (read_parameters_conversations, _PARAMS_SQL),
     "list_files_conversations": (list_files_conversations, _LIST_SQL),
     "merge_text_outputs_conversations": (merge_text_outputs_conversations, _MERGE_SQL),

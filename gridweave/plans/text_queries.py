@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridweave.functions.text import base64_text, caesar, md5_text, rot13
-from gridweave.session import checkpoint_dir
+from gridweave.session import kept_result, scratch_dir
 from gridweave.sources.points import read_points, write_points
 from gridweave.operators.points import estimate_pi
 from gridweave.operators.text import text_fanout
@@ -55,14 +55,13 @@ def estimate_pi_first_file(spark, sf):
 def read_points_lineitem(spark, sf):
     """Points written as ``x y`` text files (one per partition) to the shared folder, read back
     line by line and estimated over all files."""
-    import uuid
     pts = table(spark, sf, "lineitem").select((F.col("l_discount") * 10).alias("x"),
                                               (F.col("l_tax") * 12.5).alias("y"))
-    path = f"{checkpoint_dir(spark).rstrip('/')}/points-{uuid.uuid4().hex[:12]}"
-    write_points(pts, path)
-    est = estimate_pi(read_points(spark, path))
-    return est.select(F.round("pi_estimate", 10).alias("pi_estimate"), "n_points",
-                      F.col("n_inside").cast("long").alias("n_inside"))
+    with scratch_dir(spark, "points") as path:
+        write_points(pts, path)
+        est = estimate_pi(read_points(spark, path))
+        return kept_result(est.select(F.round("pi_estimate", 10).alias("pi_estimate"), "n_points",
+                                      F.col("n_inside").cast("long").alias("n_inside")))
 
 
 # DuckDB has no Unicode letter class or lower-case test per character that matches Python's;

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULT_CONF = {
     "spark.ui.enabled": "false",
@@ -60,3 +63,47 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="gridweave-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir() or configured
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path, jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool | None:
+    """Whether ``path`` exists in its Hadoop file system (None where that cannot be told)."""
+    try:
+        p, fs = _hadoop_path(spark, path)
+        return bool(fs.exists(p))
+    except Py4JJavaError:
+        return None
+
+
+def is_directory(spark: SparkSession, path: str) -> bool:
+    p, fs = _hadoop_path(spark, path)
+    return bool(fs.exists(p) and fs.getFileStatus(p).isDirectory())
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all in it (nothing happens where there is none)."""
+    p, fs = _hadoop_path(spark, path)
+    fs.delete(p, True)
+
+
+@contextmanager
+def scratch_dir(spark: SparkSession, name: str):
+    """A new folder below the checkpoint folder, deleted at the end of the block."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    try:
+        yield path
+    finally:
+        delete_path(spark, path)
+
+
+def kept_result(df: DataFrame) -> DataFrame:
+    """``df`` computed now into a reliable checkpoint, so that the folders it reads can go.
+
+    The session's cleaner removes the checkpoint once the frame is no longer referenced.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

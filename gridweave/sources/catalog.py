@@ -8,10 +8,12 @@ catalog is written ``partitionBy`` on it or on coarser columns).
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
+from pyspark.errors.exceptions.base import PySparkException as SparkException
 
 from gridweave.functions._cols import as_col
 
@@ -81,24 +83,26 @@ def empty_catalog(spark: SparkSession) -> DataFrame:
 
 
 def read_catalog(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Read a catalog; a missing path gives an empty catalog with the fixed schema.
+    """Read a catalog; a missing or unreadable one is an empty catalog with the fixed schema.
 
     ``fmt``: ``parquet`` (the stored form), ``json`` (one record per line, catalog schema) or
     ``document`` (the single JSON document ``{lfn: {"CreationDate": epoch}}``, imported with one
-    row per file via ``from_json`` + ``explode``).
+    row per file via ``from_json`` + ``explode``: the form of small legacy files).  Malformed JSON
+    lines and documents hold no entries.
     """
     try:
         if fmt == "parquet":
+            spark.read.parquet(path).schema  # an unreadable footer shows here
             return spark.read.schema(CATALOG_SCHEMA).parquet(path)
         if fmt == "json":
-            return spark.read.schema(CATALOG_SCHEMA).json(path)
+            return spark.read.schema(CATALOG_SCHEMA).json(path).filter(F.col("lfn").isNotNull())
         if fmt == "document":
             doc = spark.read.text(path, wholetext=True)
             entries = doc.select(F.explode(F.from_json("value", _DOCUMENT_SCHEMA)).alias("lfn", "m"))
             return catalog_from_lfns(entries.select("lfn", F.col("m.CreationDate").alias("epoch")),
                                      epoch_col="epoch")
-    except AnalysisException as exc:
-        if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
+    except (AnalysisException, SparkException, Py4JJavaError) as exc:
+        if any(x in str(exc) for x in ("PATH_NOT_FOUND", "Path does not exist", "FOOTER", "UNABLE_TO_INFER_SCHEMA")):
             return empty_catalog(spark)
         raise
     raise ValueError(f"unknown catalog format {fmt!r}")
@@ -175,8 +179,10 @@ def read_latest_catalog(spark: SparkSession, root: str) -> DataFrame:
         commits = (spark.read.schema("snapshot string, path string")
                         .option("recursiveFileLookup", "true").json(f"{base}/{COMMITS}"))
         latest = commits.agg(F.max_by("path", "snapshot").alias("p")).first()["p"]
-    except AnalysisException:
-        return empty_catalog(spark)
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
+            return empty_catalog(spark)
+        raise
     if not latest:
         return empty_catalog(spark)
     return spark.read.parquet(latest)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridweave.session import checkpoint_dir, delete_path, path_exists
+
 
 class StoreError(RuntimeError):
     pass
@@ -16,19 +21,31 @@ def write_with_fallback(df: DataFrame, targets: Sequence[str], fmt: str = "parqu
                         mode: str = "errorifexists", **options) -> str | None:
     """Write ``df`` to the first target that accepts it; return that target.
 
-    Targets are tried in order.  When all fail a ``StoreError`` lists every failure.  With no
-    target at all nothing is written and ``None`` is returned (the caller reports "not stored").
+    The rows are computed once, into the session's checkpoint folder; an error of the query itself
+    is raised there and never taken for a storage failure.  The stored copy is then written to the
+    targets in order; what a failed attempt has left on a target that was not there before is
+    removed.  When all fail a ``StoreError`` lists every failure.  With no target at all nothing is
+    written and ``None`` is returned (the caller reports "not stored").
     """
+    if not targets:
+        return None
+    spark = df.sparkSession
+    staged = f"{checkpoint_dir(spark).rstrip('/')}/staging/{uuid.uuid4().hex}"
+    df.write.parquet(staged)
     failures = []
-    for target in targets:
-        try:
-            df.write.format(fmt).mode(mode).options(**options).save(target)
-            return target
-        except Exception as exc:  # noqa: BLE001 - every failure is reported
-            failures.append(f"{target}: {type(exc).__name__}: {str(exc).splitlines()[0] if str(exc) else ''}")
-    if failures:
-        raise StoreError("could not store output; " + " | ".join(failures))
-    return None
+    try:
+        for target in targets:
+            there = path_exists(spark, target)
+            try:
+                spark.read.schema(df.schema).parquet(staged).write.format(fmt).mode(mode).options(**options).save(target)
+                return target
+            except Exception as exc:  # noqa: BLE001 - every failure of a target is reported
+                failures.append(f"{target}: {type(exc).__name__}: {str(exc).splitlines()[0] if str(exc) else ''}")
+                if there is False:
+                    delete_path(spark, target)
+    finally:
+        delete_path(spark, staged)
+    raise StoreError("could not store output; " + " | ".join(failures))
 
 
 # The merged file name, the header marker and the order of the patterns.
@@ -40,31 +57,42 @@ PATTERNS = ("*.out", "*.txt")
 def merge_text_outputs(spark: SparkSession, jobs_root: str) -> DataFrame:
     """Lines of the merged output of every job directory below ``jobs_root``.
 
-    For each job: all ``*.out`` files then all ``*.txt`` files (by name within a pattern; the
-    merged file itself excluded), each as a header line ``############ <file>``, its lines and an
-    empty line.  Returns ``(job, rank, file, block, line, value)`` ordered columns; write it with
-    :func:`write_merged`.  Line order inside a file is (block start, position in the block).
+    For each job: all ``*.out`` files then all ``*.txt`` files directly in its folder (by name
+    within a pattern; hidden files and the merged file itself excluded), each as a header line
+    ``############ <file>``, its lines and a line feed: an empty line, unless the file's last line
+    has no line feed of its own.  An empty file keeps its header and empty line.  Returns ``(job,
+    rank, file, block, line, value)``, ordered by these columns; write it with
+    :func:`write_merged`.  The texts are read once; the names come from the reader's own file
+    index, the only place that knows files without content.
     """
-    parts = []
-    for rank, pattern in enumerate(PATTERNS):
-        lines = (spark.read.option("pathGlobFilter", pattern).text(f"{jobs_root.rstrip('/')}/*")
-                 .select(F.col("_metadata.file_path").alias("file"),
-                         F.col("_metadata.file_block_start").alias("block"),
-                         F.monotonically_increasing_id().alias("line"), "value")
-                 .withColumn("rank", F.lit(rank)))
-        parts.append(lines)
-    lines = parts[0].unionByName(parts[1])
-    lines = lines.withColumn("file", F.regexp_replace("file", r"^file:(//)?", ""))
-    lines = lines.filter(F.substring_index("file", "/", -1) != GROUP_FILE)
-    lines = lines.withColumn("job", F.regexp_extract("file", r"([^/]+)/[^/]+$", 1))
-    files = lines.select("job", "rank", "file").distinct()
-    header = files.select("job", "rank", "file", F.lit(-1).cast("long").alias("block"),
-                          F.lit(-1).cast("long").alias("line"),
-                          F.concat(F.lit(HEADER), F.col("file")).alias("value"))
-    trailer = files.select("job", "rank", "file", F.lit(2**62).cast("long").alias("block"),
-                           F.lit(0).cast("long").alias("line"), F.lit("").alias("value"))
-    body = lines.select("job", "rank", "file", "block", "line", "value")
-    return header.unionByName(body).unionByName(trailer)
+    root = jobs_root.rstrip("/")
+    text = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{out,txt}").option("lineSep", "\n")
+            .text(root))
+    base = re.sub(r"^file:(//)?", "", root)
+    names = spark.createDataFrame([(unquote(re.sub(r"^file:(//)?", "", f)),) for f in text.inputFiles()], "file string")
+    inside = F.split(F.substring("file", F.lit(len(base) + 2), F.lit(2**31 - 1)), "/")
+    name = F.element_at(inside, -1)
+    files = (names.filter((F.size(inside) == 2) & (name != GROUP_FILE) & ~name.startswith("."))
+             .select(inside[0].alias("job"), F.when(name.endswith(".out"), 0).otherwise(1).alias("rank"), "file"))
+    lines = text.select(_plain_path(F.col("_metadata.file_path")).alias("file"),
+                        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"),
+                        "value", F.col("_metadata.file_size").alias("size"))
+    # a file ends with a line feed when its lines, each with one, make up its whole length
+    ends = lines.groupBy("file").agg((F.sum(F.octet_length("value").cast("long") + 1) == F.max("size")).alias("ends"))
+    whole = files.join(ends, "file", "left")
+    key = ["job", "rank", "file"]
+    frame = F.array(F.struct(F.lit(-1).cast("long").alias("block"), F.lit(-1).cast("long").alias("line"),
+                             F.concat(F.lit(HEADER), F.col("file")).alias("value")),
+                    F.when(F.coalesce("ends", F.lit(True)), F.struct(
+                        F.lit(2**62).cast("long").alias("block"), F.lit(0).cast("long").alias("line"), F.lit("").alias("value"))))
+    marks = whole.select(*key, F.inline(F.array_compact(frame)))
+    body = lines.join(files, "file").select(*key, "block", "line", "value")
+    return marks.unionByName(body)
+
+
+def _plain_path(uri):
+    """The path of a percent-encoded file URI."""
+    return F.url_decode(F.replace(F.regexp_replace(uri, r"^file:(//)?", ""), F.lit("+"), F.lit("%2B")))
 
 
 def write_merged(merged: DataFrame, out_dir: str, mode: str = "errorifexists") -> None:

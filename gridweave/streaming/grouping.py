@@ -13,10 +13,13 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from gridweave.operators._joins import null_safe_join
 from gridweave.session import checkpoint_dir
 from gridweave.sources.catalog import CATALOG_SCHEMA
+from gridweave.streaming.state import KeyedState
 
 
 def catalog_stream(spark: SparkSession, path: str, schema=CATALOG_SCHEMA, fmt: str = "parquet",
@@ -147,23 +150,16 @@ def stream_zip_groups(stream: DataFrame, keys: Sequence[str], input_col: str, in
         _zip_fn(keys, inputs, size), out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
 
 
-def _read_or_none(spark, path):
-    from pyspark.errors import AnalysisException
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
 def fixed_groups_batch_step(batch: DataFrame, batch_id: int, keys: Sequence[str], order: str, size: int,
                             value: str, out_path: str, state_path: str, method: str = "auto") -> None:
     """One micro-batch of :func:`stream_fixed_groups_batched` (also callable on its own).
 
-    Rows of this batch plus the tail carried from batch ``batch_id - 1`` are numbered per key by
-    (arrival batch, ``order``) with the batch ranking (which splits a hot key over many tasks),
-    cut into groups of ``size``; full groups are written to ``out_path/batch_id=<id>``, the
-    incomplete tail and the next group id per key to ``state_path/batch_id=<id>``.  Every write
-    overwrites its own batch folder, so a replayed batch gives the same files again.
+    Rows of this batch plus the tails of its keys are numbered per key by (arrival batch,
+    ``order``) with the batch ranking (which splits a hot key over many tasks) and cut into groups
+    of ``size``; full groups are written to ``out_path/batch_id=<id>``, the incomplete tail and the
+    next group id of the keys of this batch to the :class:`KeyedState` at ``state_path``.  Every
+    write overwrites its own batch folder, so a replayed batch gives the same files again; a batch
+    whose predecessor's state is missing raises.
     """
     from gridweave.operators.grouping import rank_within
 
@@ -171,33 +167,28 @@ def fixed_groups_batch_step(batch: DataFrame, batch_id: int, keys: Sequence[str]
     checkpoint_dir(spark)
     keys = list(keys)
     new = batch.select(*keys, F.lit(batch_id).cast("long").alias("_arrival"), F.col(order).alias("_o"),
-                       F.col(value).cast("string").alias("_v"))
-    prev = f"{state_path.rstrip('/')}/batch_id={batch_id - 1}"
-    tail = _read_or_none(spark, f"{prev}/tail") if batch_id > 0 else None
-    counters = _read_or_none(spark, f"{prev}/counters") if batch_id > 0 else None
-    rows = new if tail is None else new.unionByName(tail.select(*new.columns))
-    rows = rows.withColumn("_ord", F.struct("_arrival", "_o"))
-    ranked = rank_within(rows, keys, "_ord", method)
+                       F.col(value).cast("string").alias("_v")).checkpoint(eager=True)
+    own = [new.schema[k] for k in keys]
+    state = KeyedState(spark, state_path, own, [new.schema[c] for c in ("_arrival", "_o", "_v")])
+    before = state.load(batch_id)
+    touched = new.select(*keys).distinct()
+    rows = new.unionByName(null_safe_join(before[1], touched, keys, "left_semi").select(*new.columns))
+    ranked = rank_within(rows.withColumn("_ord", F.struct("_arrival", "_o")), keys, "_ord", method)
     ranked = ranked.withColumn("_g", F.floor((F.col("rn") - 1) / F.lit(size)).cast("long"))
     groups = ranked.groupBy(*keys, "_g").agg(
         F.array_sort(F.collect_list(F.struct("rn", "_arrival", "_o", "_v"))).alias("_m"),
         F.count(F.lit(1)).alias("n"))
     groups = groups.checkpoint(eager=True)
     full = groups.filter(F.col("n") == size)
-    made = full.groupBy(*keys).agg(F.count(F.lit(1)).alias("_made"))
-    if counters is None:
-        counters = made.filter(F.lit(False)).select(*keys, F.lit(0).cast("long").alias("next_gid"))
-    start = full.join(counters, keys, "left")
+    start = null_safe_join(full, before[0].withColumnRenamed("n", "next_gid"), keys, "left")
     out = start.select(*keys, (F.coalesce(F.col("next_gid"), F.lit(0)) + F.col("_g")).alias("gid"),
                        F.transform("_m", lambda m: m["_v"]).alias("members"), "n")
-    base_out = f"{out_path.rstrip('/')}/batch_id={batch_id}"
-    out.write.mode("overwrite").parquet(base_out)
-    new_tail = groups.filter(F.col("n") < size).select(*keys, F.inline("_m")).drop("rn")
-    next_counters = (counters.join(made, keys, "full")
-                     .select(*keys, (F.coalesce("next_gid", F.lit(0)) + F.coalesce("_made", F.lit(0))).alias("next_gid")))
-    here = f"{state_path.rstrip('/')}/batch_id={batch_id}"
-    new_tail.write.mode("overwrite").parquet(f"{here}/tail")
-    next_counters.write.mode("overwrite").parquet(f"{here}/counters")
+    out.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
+    made = full.groupBy(*keys).agg(F.count(F.lit(1)).alias("_made"))
+    counters = null_safe_join(null_safe_join(touched, made, keys, "left"), before[0], keys, "left")
+    counters = counters.select(*keys, (F.coalesce("n", F.lit(0)) + F.coalesce("_made", F.lit(0))).alias("n"))
+    tails = groups.filter(F.col("n") < size).select(*keys, F.inline("_m")).drop("rn")
+    state.store(batch_id, counters.checkpoint(eager=True), tails, before)
 
 
 def stream_fixed_groups_batched(stream: DataFrame, keys: Sequence[str], order: str, size: int,
@@ -206,9 +197,9 @@ def stream_fixed_groups_batched(stream: DataFrame, keys: Sequence[str], order: s
     """Start a query that cuts arriving entries into full groups with Spark jobs per micro-batch.
 
     The scale alternative to :func:`stream_fixed_groups`: no key is ever handled by one task
-    (the batch ranking splits hot keys), state is a pair of small tables per batch on shared
-    storage (the tail below ``size`` rows per key and the next group id), and output is exactly
-    once by batch id.  Same groups as :func:`stream_fixed_groups` for the same batches.
+    (the batch ranking splits hot keys), state is a pair of tables per batch on shared
+    storage (the tail below ``size`` rows per key and the next group id, of the keys that changed),
+    and output is exactly once by batch id.  Same groups as :func:`stream_fixed_groups` for the same batches.
     """
     value = value or order
 
@@ -225,32 +216,36 @@ def zip_groups_batch_step(batch: DataFrame, batch_id: int, task_keys: Sequence[s
     """One micro-batch of :func:`stream_zip_groups_batched`.
 
     The batch is cut into groups per (task, input) by :func:`fixed_groups_batch_step` (group ids
-    continue across batches); the new groups plus the groups still waiting from batch
-    ``batch_id - 1`` are zipped with :func:`~gridweave.operators.grouping.zip_groups` - a job
-    exists once every declared input has its group of that id - and the groups not used yet are
-    carried to the next batch; ``state_path/stats`` holds how many groups wait per task and input
-    (the backlog a slow input causes).  All writes overwrite their own batch folder.
+    continue across batches); the new groups plus those of the same tasks that still wait are
+    zipped with :func:`~gridweave.operators.grouping.zip_groups` - a job exists once every declared
+    input has its group of that id - and the groups not used yet are kept, per task, in a
+    :class:`KeyedState`; ``state_path/stats`` holds how many groups wait per input of this batch's
+    tasks (the backlog a slow input causes).  All writes overwrite their own batch folder.
     """
     from gridweave.operators.grouping import zip_groups
 
     spark = batch.sparkSession
     task_keys = list(task_keys)
     base = state_path.rstrip("/")
-    fixed_groups_batch_step(batch, batch_id, [*task_keys, input_col], order, size, value,
-                            f"{base}/groups", f"{base}/grouping", method)
-    new = spark.read.parquet(f"{base}/groups/batch_id={batch_id}").select(
-        *task_keys, input_col, "gid", "members")
-    waiting = _read_or_none(spark, f"{base}/waiting/batch_id={batch_id - 1}") if batch_id > 0 else None
-    groups = new if waiting is None else new.unionByName(waiting.select(*new.columns))
+    keys = [*task_keys, input_col]
+    fixed_groups_batch_step(batch, batch_id, keys, order, size, value, f"{base}/groups", f"{base}/grouping", method)
+    own = [batch.schema[k] for k in task_keys]
+    fields = [batch.schema[input_col], T.StructField("gid", T.LongType()),
+              T.StructField("members", T.ArrayType(T.StringType()))]
+    schema = T.StructType([*own, *fields])
+    new = spark.read.schema(schema).parquet(f"{base}/groups/batch_id={batch_id}")
+    state = KeyedState(spark, f"{base}/waiting", own, fields)
+    before = state.load(batch_id)
+    touched = new.select(*task_keys).distinct()
+    groups = new.unionByName(null_safe_join(before[1], touched, task_keys, "left_semi").select(*new.columns))
     groups = groups.checkpoint(eager=True)
     jobs = zip_groups(groups, inputs, task_keys, input_col=input_col).checkpoint(eager=True)
     jobs.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
-    left = groups.join(jobs.select(*task_keys, "gid"), [*task_keys, "gid"], "left_anti")
-    left.write.mode("overwrite").parquet(f"{base}/waiting/batch_id={batch_id}")
-    # the state grows with the slowest input: its size per task and input, for monitoring
-    (spark.read.parquet(f"{base}/waiting/batch_id={batch_id}")
-          .groupBy(*task_keys, input_col).agg(F.count(F.lit(1)).alias("waiting_groups"))
-          .write.mode("overwrite").parquet(f"{base}/stats/batch_id={batch_id}"))
+    left = null_safe_join(groups, jobs.select(*task_keys, "gid"), [*task_keys, "gid"], "left_anti").checkpoint(eager=True)
+    waits = null_safe_join(touched, left.groupBy(*task_keys).agg(F.count(F.lit(1)).alias("n")), task_keys, "left")
+    state.store(batch_id, waits.select(*task_keys, F.coalesce("n", F.lit(0)).alias("n")), left, before)
+    (left.groupBy(*keys).agg(F.count(F.lit(1)).alias("waiting_groups"))
+         .write.mode("overwrite").parquet(f"{base}/stats/batch_id={batch_id}"))
 
 
 def stream_zip_groups_batched(stream: DataFrame, task_keys: Sequence[str], input_col: str,

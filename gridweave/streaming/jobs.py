@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from gridweave.session import checkpoint_dir
+from gridweave.session import kept_result, scratch_dir
 
 # Fixed value: how often a waiting transformation looks for new catalog entries.
 POLL_INTERVAL = "5 seconds"
@@ -35,28 +32,29 @@ def run_to_table(stream: DataFrame, name: str, fmt: str = "parquet") -> DataFram
     """Run a streaming frame over everything available now; return what it wrote, as a table.
 
     Output and checkpoint go below the session's checkpoint folder (the shared folder on a
-    cluster), never through the driver.
+    cluster), never through the driver; they are removed once the result is checkpointed.
     """
     spark = stream.sparkSession
-    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
-    q = (stream.writeStream.format(fmt).outputMode("append")
-               .option("checkpointLocation", f"{base}/_checkpoint")
-               .option("path", f"{base}/data")
-               .trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
-    return spark.read.format(fmt).load(f"{base}/data")
+    with scratch_dir(spark, f"streams/{name}") as base:
+        q = (stream.writeStream.format(fmt).outputMode("append")
+                   .option("checkpointLocation", f"{base}/_checkpoint")
+                   .option("path", f"{base}/data")
+                   .trigger(availableNow=True).start())
+        _finish(q)
+        return kept_result(spark.read.schema(stream.schema).format(fmt).load(f"{base}/data"))
 
 
 def run_jobs_to_table(groups: DataFrame, name: str, to_jobs) -> DataFrame:
     spark = groups.sparkSession
-    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
-    q = stream_jobs(groups, f"{base}/data", f"{base}/_checkpoint", to_jobs)
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
-    return spark.read.parquet(f"{base}/data").drop("batch_id")
+    with scratch_dir(spark, f"streams/{name}") as base:
+        _finish(stream_jobs(groups, f"{base}/data", f"{base}/_checkpoint", to_jobs))
+        return kept_result(spark.read.parquet(f"{base}/data").drop("batch_id"))
+
+
+def _finish(query) -> None:
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
 
 
-__all__ = ["POLL_INTERVAL", "stream_jobs", "run_to_table", "run_jobs_to_table", "F"]
+__all__ = ["POLL_INTERVAL", "stream_jobs", "run_to_table", "run_jobs_to_table"]

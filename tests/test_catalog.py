@@ -75,7 +75,7 @@ def test_match_patterns_list_and_glob(spark):
     c = catalog(spark, ["/q/a", "/q/b", "/r/c", "/s1/d", "/s2/e", "/s2/.f"])
     got = rows(match_patterns(c, ["/q", "q", "/s*"]), "query_pos", "lfn")
     assert got == [(0, "/q/a"), (0, "/q/b"), (1, "/q/a"), (1, "/q/b"), (2, "/s1/d"), (2, "/s2/e")]
-    assert glob_to_regex("/a/[!x]?/*") == r"^/a/[^x][^/]/[^/]*$"
+    assert glob_to_regex("/a/[!x]?/*") == r"^/a/(?!\.)(?!/)[^x][^/]/(?!\.)[^/]*$"
 
 
 def test_find_files(spark):

@@ -9,7 +9,7 @@ from gridweave.operators.refs import (
     rewrite_inputs,
     sandbox_manifest,
 )
-from gridweave.operators.registry import list_plugins, lookup_with_fallback, register, registry_summary, registry_tables
+from gridweave.operators.registry import list_organizations, list_plugins, lookup_with_fallback, register, registry_summary, registry_tables
 from gridweave.operators.validate import check, unexpected_keys, wrong_type
 from gridweave.sources.catalog import catalog_from_lfns
 
@@ -85,7 +85,11 @@ def test_sandbox_manifest(spark):
     man, summ = sandbox_manifest(files)
     assert rows(man, "job_id", "member") == [("j", "x.txt"), ("j", "y.txt"), ("m", "m.txt")]
     s = {r.job_id: r for r in summ.collect()}
-    assert set(s) == {"j", "m"} and s["j"].n_files == 2 and s["j"].sandbox_id.startswith("sandbox_2_")
+    assert {k: r.n_files for k, r in s.items()} == {"j": 2, "k": 0, "m": 1}  # a list cut at once packs an empty sandbox
+    other = files.withColumn("pos", F.when(F.col("pos") < 2, 1 - F.col("pos")).otherwise(F.col("pos")))
+    assert {r.job_id: r.sandbox_id for r in sandbox_manifest(other)[1].collect()} == {k: r.sandbox_id for k, r in s.items()}
+    twice = files.unionByName(files.filter("job_id = 'm'").withColumn("pos", F.lit(6)))
+    assert {r.job_id: r for r in sandbox_manifest(twice)[1].collect()}["m"].sandbox_id not in (s["m"].sandbox_id, s["k"].sandbox_id)
 
 
 def _entries(spark):
@@ -112,8 +116,27 @@ def test_lookup_vo_first_then_global(spark):
                          key=lambda r: tuple("" if x is None else x for x in r))
     assert rows(list_plugins(g, v, "test_exp")) == [("TestVOPlugin",)]
     assert len(rows(list_plugins(g, v, "unknown"))) == 3
-    summ = {r.vo: r.n_plugins for r in registry_summary(g).collect()}
-    assert sum(summ.values()) == 3
+    summ = {r.vo: r.n_plugins for r in registry_summary(g, v).collect()}
+    assert summ == {"test_exp": 1, "exp2": 2, None: 3}
+    assert rows(list_organizations(v)) == [("exp2",), ("test_exp",)]
+
+
+def test_rejected_registration_is_found_nowhere(spark):
+    e = spark.createDataFrame([("k", "A", "first", 1), ("k", "B", "second", 2)], "key string, vo string, description string, seq int")
+    g, v = registry_tables(e, override=False)
+    wanted = spark.createDataFrame([("k", "A"), ("k", "B")], "key string, vo string")
+    assert rows(lookup_with_fallback(wanted, g, v), "vo", "found", "scope") == [("A", "first", "vo"), ("B", "first", "global")]
+    # with override a VO keeps its entry when another VO takes the name
+    g, v = registry_tables(e, override=True)
+    assert rows(lookup_with_fallback(wanted, g, v), "vo", "found", "scope") == [("A", "first", "vo"), ("B", "second", "vo")]
+    assert {r.vo: r.n_plugins for r in registry_summary(g, v).collect()} == {"A": 1, "B": 1, None: 1}
+
+
+def test_vo_entry_with_null_payload_is_a_hit(spark):
+    e = spark.createDataFrame([("k", "A", None, 2), ("k", None, "global", 1)], "key string, vo string, description string, seq int")
+    g, v = registry_tables(e, override=True)
+    wanted = spark.createDataFrame([("k", "A")], "key string, vo string")
+    assert rows(lookup_with_fallback(wanted, g, v), "found", "scope") == [(None, "vo")]
 
 
 def test_validate_rules(spark):
@@ -134,8 +157,10 @@ def test_staged_inputs_rebuilt_per_job(spark):
     ], REFS).withColumnRenamed("job", "job_id")
     cat = catalog_from_lfns(spark.createDataFrame([("/pi/1.sim",), ("/pi/2.sim",)], "lfn string"))
     r, _ = rewrite_inputs(refs, cat)
-    m = staged_inputs(r).first().inputs
-    assert m["data"] == ["1.sim", "2.sim"] and m["cfg"] == ["/tmp/c.txt"]
+    m = {x.input_name: (x.is_list, [tuple(f) for f in x.files]) for x in staged_inputs(r).collect()}
+    assert m == {"data": (True, [(None, "1.sim"), (None, "2.sim")]), "cfg": (False, [(None, "/tmp/c.txt")])}
+    other = spark.createDataFrame([("j", "u", 0, "file:///x/y.txt", None, True)], REFS).withColumnRenamed("job", "job_id")
+    assert [tuple(f) for f in staged_inputs(rewrite_inputs(other, cat)[0]).first().files] == [("file:///x/y.txt", None)]
 
 
 def test_validate_descriptors(spark):

@@ -1,16 +1,21 @@
 """Every registered query against its DuckDB oracle on the smallest tables (the driver runs the
 same comparison at sf0.01)."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
+from gridweave import plans
 from gridweave.plans.tables import TABLES
 from tools.oracle_check import compare
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = plans.queries()
+SQL = plans.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +37,17 @@ def test_query_matches_oracle(spark, con, name):
     assert r.get("ok", True), r
 
 
+def test_entry_registers_the_plans():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
+def test_entry_without_the_training_data_subpackage():
+    code = ("import sys; sys.modules['corpus_pipeline'] = None; sys.modules['gridweave.llm'] = None; import __spark_entry__ as e; "
+            "from gridweave import plans; assert set(e.queries()) == set(plans.queries()); e.oracle_sql()")
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     cols = df.columns
