@@ -136,13 +136,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
             kinds = [pa.int64()] * 7 + [pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-        for batch in batches:
-            names, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            ids, bounds = coder.encode(texts)
-            done = []
-            for i, doc in enumerate(names):
-                done += packer.add(doc, np.append(ids[bounds[i]:bounds[i + 1]], np.int32(end_id)))
-            yield rows(done)
+        for big in batches:
+            for lo in range(0, big.num_rows, 1000):
+                batch = big.slice(lo, 1000)
+                ids, bounds = coder.encode(batch.column("text").to_pylist())
+                done = []
+                for i, doc in enumerate(batch.column("doc_id").to_pylist()):
+                    done += packer.add(doc, np.append(ids[bounds[i]:bounds[i + 1]], np.int32(end_id)))
+                yield rows(done)
         yield rows(packer.close())
 
     return src.mapInArrow(run, SCHEMA)
