@@ -41,6 +41,8 @@ NAMES = frozenset("ad ads advert adverts advertisement adsense banner sponsor sp
                   "gdpr notice popup modal overlay sidebar widget widgets related recommended share sharing social nav navbar "
                   "navigation menu breadcrumb breadcrumbs masthead footer comment comments disqus reply replies respond "
                   "newsletter subscribe signup login toolbar pagination pager skip".split())
+#: Class names that begin so tell what an element has or is doing, not what it is.
+STATES = frozenset("has with without no is show hide js".split())
 MAIN_NAMES = frozenset("article content main post entry story".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|"
@@ -69,7 +71,8 @@ def _kind(tag: str, attrs: str) -> tuple[bool, bool]:
     if "hidden" in got or got.get("aria-hidden", "").lower() == "true" or "display:none" in style:
         return True, False
     role = got.get("role", "").lower()
-    words = set(_NAME.findall(f"{got.get('class', '')} {got.get('id', '')}".lower()))
+    names = f"{got.get('class', '')} {got.get('id', '')}".lower().split()
+    words = {w for parts in map(_NAME.findall, names) if parts and parts[0] not in STATES for w in parts}
     if role in ROLES or tag not in ("body", "html", "article", "main") and words & NAMES or words & {"comment", "comments"}:
         return True, False
     return False, tag in BLOCK and (role in ("main", "article") or bool(words & MAIN_NAMES))

@@ -56,6 +56,7 @@ def _text(html):
      "T 1 2"),
     ("<main><p>m</p><section id=comments><article class=comment>c</article></section></main>", "m"),
     ("<div id=content><h1>T</h1><p>x</p></div><div class='sidebar'>s</div><div class='cookie-notice'>c</div>", "T x"),
+    ("<div id=content class='has-sidebar no-ads'><p>x</p></div><div class=widget-area>w</div>", "x"),
     ("<script>var a='<p>no</p>';</script><style>p{}</style><p>yes</p><!-- <p>no</p> -->", "yes"),
     ("<div hidden>h</div><div style='display: none'>h</div><p>v</p>", "v"),
     ("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "a b c d"),
