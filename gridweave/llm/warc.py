@@ -64,10 +64,12 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
                                                   F.col("first_id")).otherwise(clash)).drop("a", "b", "s", "l")
     stored = materialize(stored, "warc-keys")
 
-    one = stored.select(F.col("key").alias("k"), F.col("first_id").alias("i"))
-    (src.select("key", "page_id", "payload")
-     .join(one, (F.col("key") == F.col("k")) & F.col("page_id").eqNullSafe(F.col("i")), "left_semi")
-     .dropDuplicates(["key", "page_id"]).select("key", "payload")
+    # one column names the stored row, so joining and taking one of its repeats share a shuffle
+    def pick(id_col):
+        return F.concat_ws(":", "key", F.coalesce(F.col(id_col).cast("string"), F.lit("-"))).alias("pick")
+
+    (src.select(pick("page_id"), "key", "payload").join(stored.select(pick("first_id")), "pick", "left_semi")
+     .dropDuplicates(["pick"]).select("key", "payload")
      .write.option("compression", "zstd").parquet(f"{path}/payloads"))
 
     r = records.join(stored, "key")
