@@ -8,14 +8,23 @@ from pyspark.sql import functions as F
 from gridweave.llm.common import materialize
 
 
-def _star(edges: DataFrame, keep_own: bool) -> DataFrame:
-    """Point every neighbour ``v`` of ``u`` at the smallest node among ``u`` and its neighbours."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    linked = edges.join(least, "u")
-    out = linked.select(F.col("v").alias("u"), F.col("m").alias("v"))
-    if keep_own:
-        out = out.unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+def _least_neighbour(edges: DataFrame) -> DataFrame:
+    """(u, m): the smallest node among every ``u`` and its neighbours ``v``."""
+    return edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Point every neighbour larger than ``u`` at the smallest node around ``u``."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return (both.where("v > u").join(_least_neighbour(both), "u")
+            .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Point every ``u`` and its smaller neighbours at the smallest of them (edges go downwards)."""
+    least = _least_neighbour(edges)
+    out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return out.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -36,14 +45,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if now[0] == 0 or now == mark:
             break
         mark = now
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star_large(both)
-        e = materialize(_star(large, keep_own=True), "edges")
+        e = materialize(_small_star(_large_star(e)), "edges")
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
-
-def _star_large(both: DataFrame) -> DataFrame:
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return (both.where("v > u").join(least, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())

@@ -99,9 +99,8 @@ def _first_meeting(ci: np.ndarray, cj: np.ndarray, table: int, code: int | np.nd
 
 
 def _compare_large(x, c, part, weight, table, code, a, b, threshold):
-    """(link count per row, smallest linked row) of one cell, a block of rows at a time."""
+    """(weight linked to each row, smallest row linked to it directly or not) in one cell, by blocks."""
     n = len(x)
-    count, mate = np.zeros(n, np.int64), np.arange(n)
     adjacent = np.zeros((n, n), bool)
     for lo in range(0, n, 256):
         hi = min(n, lo + 256)
@@ -114,7 +113,6 @@ def _compare_large(x, c, part, weight, table, code, a, b, threshold):
             own, oth = i[k:k + _PAIRS], j[k:k + _PAIRS]
             ok = _first_meeting(c[lo + own], c[oth], table, code)
             adjacent[lo + own[ok], oth[ok]] = True
-    count = adjacent @ weight
     label = np.arange(n)
     while True:
         low = np.minimum(label, np.where(adjacent, label[None, :], n).min(axis=1, initial=n))
@@ -122,15 +120,14 @@ def _compare_large(x, c, part, weight, table, code, a, b, threshold):
         if (low == label).all():
             break
         label = low
-    mate = label
-    return count, mate
+    return adjacent @ weight, label
 
 
 class _Cells:
-    """Rows of whole cells, compared together when enough of them have come."""
+    """Compares the rows of whole cells: large ones alone, small ones of one size together."""
 
-    def __init__(self, threshold: float, shape: tuple[int, int]):
-        self.threshold, self.shape = threshold, shape
+    def __init__(self, threshold: float):
+        self.threshold = threshold
 
     def compare(self, rows: dict, bounds: np.ndarray):
         """(ids, counts, edges a, edges b) of consecutive cells given by ``bounds``."""
@@ -263,7 +260,7 @@ def _compare(dealt: DataFrame, threshold: float, tables: int, width: int, single
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        cells, held = _Cells(threshold, (tables, width)), None
+        cells, held = _Cells(threshold), None
 
         def out(rows):
             col = {k: rows.column(k).to_numpy() for k in (*keys, "node", "weight", "part")}
