@@ -33,7 +33,7 @@ def summarise(text: str) -> dict:
                           "columns": len(re.findall(r"[a-z_]+:", schema.group(1))) if schema else 0})
     joins = [n for n in nodes if n.endswith("Join") or "Join " in n]
     return {"exchanges": count("Exchange"), "broadcasts": count("BroadcastExchange"),
-            "joins": sorted(set(joins)), "aggregates": sum(1 for n in nodes if n.endswith("Aggregate")),
+            "joins": sorted(set(joins)), "aggregates": sum(1 for n in nodes if n.endswith("Aggregate")), "sort_aggregates": count("SortAggregate"),
             "windows": count("Window"), "codegen_spans": len(set(re.findall(r"codegen id : (\d+)", text))),
             "python": sum(1 for n in nodes if "Python" in n or "InPandas" in n), "scans": scans}
 
@@ -42,9 +42,9 @@ def main(argv):
     sf_dir = argv[1] if len(argv) > 1 and argv[1].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in argv[1:] if not a.startswith("/")]
     from gridweave.session import get_spark
-    import __spark_entry__ as e
+    from gridweave import plans
     spark = get_spark("local[8]", 8)
-    for name, fn in e.queries().items():
+    for name, fn in plans.queries().items():
         if (names and name not in names) or name.startswith("stream_"):
             continue
         buf = io.StringIO()
