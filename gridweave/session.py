@@ -65,7 +65,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or configured
 
 
-def _hadoop_path(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """(path, file system) of a path, as Hadoop objects."""
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path, jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -73,20 +74,20 @@ def _hadoop_path(spark: SparkSession, path: str):
 def path_exists(spark: SparkSession, path: str) -> bool | None:
     """Whether ``path`` exists in its Hadoop file system (None where that cannot be told)."""
     try:
-        p, fs = _hadoop_path(spark, path)
+        p, fs = hadoop_path(spark, path)
         return bool(fs.exists(p))
     except Py4JJavaError:
         return None
 
 
 def is_directory(spark: SparkSession, path: str) -> bool:
-    p, fs = _hadoop_path(spark, path)
+    p, fs = hadoop_path(spark, path)
     return bool(fs.exists(p) and fs.getFileStatus(p).isDirectory())
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a folder and all in it (nothing happens where there is none)."""
-    p, fs = _hadoop_path(spark, path)
+    p, fs = hadoop_path(spark, path)
     fs.delete(p, True)
 
 
