@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.session import checkpoint_dir
+from gridweave.session import checkpoint_dir, delete_path, hadoop_path
 
 _written: list[str] = []
 
@@ -15,23 +15,31 @@ _written: list[str] = []
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder of ``spark.checkpoint.dir`` and read it back.
 
-    Cuts lineage like a reliable checkpoint, but columnar and compressed.  The folder is named by
-    a fresh id; ``release_scratch`` deletes every folder this Python process has written.
+    Cuts lineage like a reliable checkpoint, but columnar and compressed.  The folder is removed
+    when the driver's JVM ends, or earlier by ``release_scratch``.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder, removed at the end of the driver's JVM."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/llm-{spark.sparkContext.applicationId}"
+    p, fs = hadoop_path(spark, folder)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def release_scratch(spark: SparkSession) -> int:
-    """Delete the tables written by ``materialize`` (frames read from them become unusable)."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    """Delete the scratch folders of this Python process (frames read from them become unusable)."""
     n = len(_written)
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        delete_path(spark, _written.pop())
     return n
 
 

@@ -20,11 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm.common import materialize
+from gridweave.operators._joins import broadcast_if_small
 
 #: A subtree is a template on hosts with at least this many different pages, if it is on this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.5
-#: Template lists of up to this many hosts are broadcast, joined by shuffle beyond.
-BROADCAST_HOSTS = 2_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math select".split())
@@ -278,10 +277,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     parsed = materialize(page_blocks(pages, id_col, url_col, html_col), "page-blocks")
     gone = materialize(templates(parsed, min_pages, min_share), "templates")
-    if gone.count() <= BROADCAST_HOSTS:
-        gone = F.broadcast(gone)
     kept = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["path"], F.col("gone")))
-    return parsed.join(gone, "host", "left").select(
+    return parsed.join(broadcast_if_small(gone), "host", "left").select(
         "page_id", "url", F.concat_ws(" ", F.transform(kept, lambda b: b["text"])).alias("text"))
 
 

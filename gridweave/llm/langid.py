@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm.common import id_crc32
+from gridweave.operators._joins import broadcast_if_small
 
 #: Families of common language codes; a code not named here is a family of its own.
 FAMILIES = {
@@ -133,17 +134,13 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
     """Fit on about ``per_lang`` rows of each language, picked by a hash of the id.
 
     Learns from text and lang only, of rows that have both and an id whose crc32 mod 4 is not 2.
-    The driver gets the number of rows of each language and the sample's feature vectors.
+    The driver gets the sample's feature vectors only.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_crc32() % 4 != 2)
                        ).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return Model()
-    dice = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30))
-    pick = F.lit(False)
-    for lang, n in counts.items():
-        pick = pick | ((F.col("lang") == lang) & (dice < int((1 << 30) * min(1.0, per_lang / n))))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    dice = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
+    picked = known.join(broadcast_if_small(counts), "lang").where(dice * F.col("n") < per_lang).select("lang", "text")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -154,7 +151,7 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array(
                 [features(r[1]).astype(np.float16).tobytes() for r in rows], pa.binary())], ["lang", "x"])
 
-    got = known.where(pick).select("lang", "text").mapInArrow(run, "lang string, x binary").orderBy("lang", "x").collect()
+    got = picked.mapInArrow(run, "lang string, x binary").orderBy("lang", "x").collect()
     if not got:
         return Model()
     x = np.frombuffer(b"".join(r["x"] for r in got), np.float16).reshape(len(got), DIM).astype(np.float32)

@@ -10,12 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm.common import materialize, text_or_empty
+from gridweave.operators._joins import broadcast_if_small
 
 _SYMBOLS = "[#*$%&|<>]"
 
-#: Hosts rejected by name are broadcast up to this many (a name is short), joined by shuffle beyond.
-BROADCAST_HOSTS = 20_000
-
 
 def _repeat_words(df: DataFrame, words: str, out: str, hash_bits: int = 64) -> DataFrame:
     """Add the number of words inside 3-word windows that occur twice or more in the row.
@@ -126,9 +124,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """
     feats = materialize(base_rules(docs, id_col, text_col, host_col, **rules), "quality-rules")
     verdicts = materialize(host_verdicts(feats, max_host_rate), "host-verdicts")
-    if verdicts.count() <= BROADCAST_HOSTS:
-        verdicts = F.broadcast(verdicts)
-    return (feats.join(verdicts.select("host", F.col("n").alias("host_n"), F.col("failed").alias("host_failed"),
+    return (feats.join(broadcast_if_small(verdicts).select("host", F.col("n").alias("host_n"), F.col("failed").alias("host_failed"),
                                        "host_rejected"), "host", "left")
             .withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
             .withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")))
@@ -142,9 +138,7 @@ def keep_good(docs: DataFrame, max_host_rate: float = 0.5, **options) -> DataFra
     """
     flagged = materialize(base_rules(docs, carry=True, **options).select("row", "host", "base_failed"), "quality-rows")
     bad = materialize(host_verdicts(flagged, max_host_rate).where("host_rejected").select("host"), "bad-hosts")
-    if bad.count() <= BROADCAST_HOSTS:
-        bad = F.broadcast(bad)
-    return flagged.where(~F.col("base_failed")).join(bad, "host", "left_anti").select("row.*")
+    return flagged.where(~F.col("base_failed")).join(broadcast_if_small(bad), "host", "left_anti").select("row.*")
 
 
 def query(spark, sf_dir):

@@ -9,7 +9,6 @@ the (document, start) of every segment.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.llm import bpe
-from gridweave.llm.common import checkpoint_dir, text_or_empty
+from gridweave.llm.common import scratch_path, text_or_empty
 
 WINDOW, END_ID, PAD_ID = 2048, 50256, 50256
 #: Ids a task holds before it packs and writes them.
@@ -170,6 +169,6 @@ def _little(hexed):
 
 def query(spark, sf_dir):
     """All documents tokenised, packed, written as binary windows and read back by segment."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm/tokens-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     return segments(read_tokens(spark, path))

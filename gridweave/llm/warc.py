@@ -7,12 +7,10 @@ header bytes and the key of its payload.  Reading joins the two.  DataFrame func
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import checkpoint_dir, materialize, text_or_empty
+from gridweave.llm.common import materialize, scratch_path, text_or_empty
 
 #: Fixed: the base32 alphabet of payload digests, and its stand-in digits of ``conv``.
 _BASE32, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -125,7 +123,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 def query(spark, sf_dir):
     """All pages written as a content-addressed archive and read back."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm/warc-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "warc")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
