@@ -42,12 +42,15 @@ def route_outputs_events(spark, sf):
     ok, _ = succeeded(_jobs(spark, sf))
     outs = parse_outputs(ok, ["job_id"])
     uid = F.col("user_id").cast("string")
-    paths = ok.select("job_id", F.lit("result").alias("output_name"),
-                      F.concat(F.lit("lfn:/store/"), uid).alias("lfn")).unionByName(
-        ok.filter(F.col("event_type") == "purchase").select(
-            "job_id", F.lit("data").alias("output_name"), F.concat(F.lit("lfn:/data/"), uid).alias("lfn")))
-    sandbox = ok.filter(F.col("event_type") == "view").select("job_id", F.lit("result").alias("output_name")) \
-        .unionByName(ok.filter(F.col("event_type") == "purchase").select("job_id", F.lit("data").alias("output_name")))
+    purchase = F.col("event_type") == "purchase"
+
+    def entry(output, folder):
+        return F.struct(F.lit(output).alias("output_name"), F.concat(F.lit(folder), uid).alias("lfn"))
+
+    paths = ok.select("job_id", F.inline(F.array_compact(F.array(
+        entry("result", "lfn:/store/"), F.when(purchase, entry("data", "lfn:/data/"))))))
+    kept = F.when(F.col("event_type") == "view", F.lit("result")).when(purchase, F.lit("data"))
+    sandbox = ok.select("job_id", kept.alias("output_name")).filter(F.col("output_name").isNotNull())
     routed = route_outputs(outs, paths, sandbox, ["job_id"])
     return routed.select("job_id", "output_name", "pos", "path", "to_catalog", "to_sandbox", "target", "error")
 

@@ -46,7 +46,7 @@ def estimate_pi_lineitem(spark, sf):
 def estimate_pi_first_file(spark, sf):
     """The payload's original behaviour: only the first file (smallest ship year) per flag."""
     pts = table(spark, sf, "lineitem").select(
-        "l_returnflag", F.year("l_shipdate").cast("string").alias("file"),
+        "l_returnflag", F.year("l_shipdate").alias("file"),
         (F.col("l_discount") * 10).alias("x"), (F.col("l_tax") * 12.5).alias("y"))
     est = estimate_pi(pts, ["l_returnflag"], first_file_only=True)
     return est.select("l_returnflag", F.round("pi_estimate", 10).alias("pi_estimate"), "n_points")
