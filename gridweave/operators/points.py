@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.operators._joins import null_safe_join
+
 
 def inside_unit_circle(x: str = "x", y: str = "y"):
     return F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y)) <= 1
@@ -25,7 +27,7 @@ def estimate_pi(points: DataFrame, keys: Sequence[str] = (), x: str = "x", y: st
         gk = keys or ["_all"]
         pts = points if keys else points.withColumn("_all", F.lit(0))
         first = pts.groupBy(*gk).agg(F.min(file_col).alias("_first"))
-        points = (pts.join(first, gk).filter(F.col(file_col) == F.col("_first"))
+        points = (null_safe_join(pts, first, gk).filter(F.col(file_col) == F.col("_first"))
                      .drop("_first", *([] if keys else ["_all"])))
     inside = F.when(inside_unit_circle(x, y), 1).otherwise(0)
     aggs = [(F.lit(4.0) * F.avg(inside)).alias("pi_estimate"),
