@@ -5,8 +5,8 @@ children.  Spark counts, per host, on how many different pages a subtree occurs,
 subtrees that recur on a large share of them.  What menus, adverts, forms and the like are by tag,
 role or class name is dropped while the page is read.
 
-The article container (article, main, or an element named like one) is what is kept where a page
-has one.  Inside it only boxes (div, section, lists, tables ...) may be a template, never running
+The article container (article, main, or a box named like one) is what is kept where a page has one
+that holds at least half of the page's paragraph text; else the whole body is.  Inside it only boxes (div, section, lists, tables ...) may be a template, never running
 text such as paragraphs and headings, so an article copied to many pages of a host stays whole.
 """
 
@@ -43,6 +43,12 @@ NAMES = frozenset("ad ads advert adverts advertisement adsense banner sponsor sp
 #: Class names that begin so tell what an element has or is doing, not what it is.
 STATES = frozenset("has with without no is show hide js".split())
 MAIN_NAMES = frozenset("article content main post entry story".split())
+#: A box is named like an article by a whole name of these, or by a name of several words that ends in one of MAIN_ENDS.
+MAIN_ENDS, MAIN_BOXES = frozenset(("content", "body")), frozenset("div section td center".split())
+NOT_MAIN = frozenset("title subtitle headline heading header head meta byline author date info".split())
+#: Text directly in these (outside links) is paragraph text; a container with less than this share of it is none.
+PROSE = frozenset("#root html body article main section div center td p pre blockquote li dd".split())
+MAJOR_SHARE = 0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|"
                     r"<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+|[^<>]*+)>", re.S)
@@ -53,10 +59,13 @@ _HOST = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 
 class _Node:
-    __slots__ = ("tag", "parts", "dropped", "main", "named", "digest", "texts")
+    __slots__ = ("tag", "parts", "dropped", "main", "named", "digest", "prose", "within", "size")
 
-    def __init__(self, tag, dropped, main, named):
+    def __init__(self, tag, dropped, main, named, up=None):
         self.tag, self.parts, self.dropped, self.main, self.named, self.digest = tag, [], dropped, main, named, 0
+        #: Whether its own text is paragraph text, whether it is in a container, and its characters of paragraph text.
+        self.prose = tag in PROSE if tag in BLOCK or not up else up.prose and tag != "a"
+        self.within, self.size = main or named or bool(up and up.within), 0
 
 
 def _kind(tag: str, attrs: str) -> tuple[bool, bool]:
@@ -74,7 +83,14 @@ def _kind(tag: str, attrs: str) -> tuple[bool, bool]:
     words = {w for parts in map(_NAME.findall, names) if parts and parts[0] not in STATES for w in parts}
     if role in ROLES or tag not in ("body", "html", "article", "main") and words & NAMES or words & {"comment", "comments"}:
         return True, False
-    return False, tag in BLOCK and (role in ("main", "article") or bool(words & MAIN_NAMES))
+    return False, tag in MAIN_BOXES and (role in ("main", "article") or any(map(_names_article, names)))
+
+
+def _names_article(name: str) -> bool:
+    parts = _NAME.findall(name)
+    if len(parts) < 2:
+        return bool(parts) and parts[0] in MAIN_NAMES
+    return parts[-1] in MAIN_ENDS and parts[0] not in STATES and not NOT_MAIN.intersection(parts)
 
 
 def parse(page: str) -> _Node:
@@ -109,7 +125,7 @@ def parse(page: str) -> _Node:
         if tag in CLOSES:
             _close_open(stack, CLOSES[tag], SCOPE - CLOSES[tag] if tag != "li" else SCOPE)
         dropped, named = _kind(tag, m[3])
-        node = _Node(tag, dropped or stack[-1].dropped, tag in ("article", "main"), named)
+        node = _Node(tag, dropped or stack[-1].dropped, tag in ("article", "main"), named, stack[-1])
         stack[-1].parts.append(node)
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
@@ -148,22 +164,17 @@ def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[int], int]:
     import xxhash
 
     root = parse(page)
-    order, todo = [], [(root, None)]
-    found = {"tag": [], "name": []}
+    order, todo = [], [root]
     while todo:  # without recursion: markup may be nested to any depth
-        node, up = todo.pop()
+        node = todo.pop()
         order.append(node)
-        if not node.dropped and up is None and (node.main or node.named):
-            found["tag" if node.main else "name"].append(node)
-        inner = up or (node if node.main else None)
-        todo += [(p, inner) for p in reversed(node.parts) if isinstance(p, _Node)]
+        todo += [p for p in reversed(node.parts) if isinstance(p, _Node)]
     for node in reversed(order):
         if not node.dropped:
+            node.size = sum(p.size if isinstance(p, _Node) else node.prose and len("".join(p.split())) for p in node.parts)
             inner = "\x1f".join(str(p.digest) if isinstance(p, _Node) else " ".join(p.split()) for p in node.parts)
             node.digest = xxhash.xxh64_intdigest(f"{node.tag}\x1e{inner}".encode("utf-8", "replace"))
-    articles = [n for n in found["tag"] if n.tag == "article"] or found["tag"]
-    tops = articles or found["name"] or [root]
-    tops = _outermost(tops)
+    tops = _containers(root, [n for n in order if not n.dropped])
     inside = tops != [root]
     out: list[tuple[str, list[int]]] = []
     seen: set[int] = set()
@@ -173,6 +184,16 @@ def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[int], int]:
     return out, sorted(seen), _signed(signature)
 
 
+def _containers(root, nodes):
+    """The articles outside main, else main, else the boxes named like one, if they hold enough; else the root."""
+    tagged = _outermost([n for n in nodes if n.main])
+    for tops in ([n for n in tagged if n.tag == "article"], [n for n in tagged if n.tag == "main"],
+                 _outermost([n for n in nodes if n.named])):
+        if tops and sum(n.size for n in tops) >= MAJOR_SHARE * root.size:
+            return tops
+    return [root]
+
+
 def _outermost(tops):
     """Containers that stand in no other of them, in page order."""
     inner = set()
@@ -208,7 +229,7 @@ def _collect(top, inside, out, seen):
                 path.pop()
         elif node.tag in ("br", "hr"):
             finish(path)
-        elif not node.dropped and not (node.tag == "header" and not inside):
+        elif not node.dropped and not (node.tag == "header" and not inside and not node.within):
             if node.tag in BLOCK:
                 finish(path)
             if node is not top and _may_be_template(node, inside):
@@ -222,7 +243,7 @@ def _collect(top, inside, out, seen):
 
 
 def _may_be_template(node, inside) -> bool:
-    return node.tag in BLOCK and node.tag not in ("body", "html") and not (inside and node.tag in TEXT_FLOW)
+    return node.tag in BLOCK and node.tag not in ("body", "html") and not ((inside or node.within) and node.tag in TEXT_FLOW)
 
 
 def host_of(url: str | None) -> str | None:

@@ -68,6 +68,24 @@ def test_blocks_of_one_page(html, want):
     assert _text(html) == want
 
 
+STORY = "a long story " * 30
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    (f"<h1 class='entry-title'>T</h1><div class='text'><p>{STORY}</p></div>", f"T {STORY}"),
+    (f"<div class='post-meta'>By X</div><div class='text'>{STORY}</div>", f"By X {STORY}"),
+    (f"<div class='content'><p>short</p></div><div class='text'><p>{STORY}</p></div>", f"short {STORY}"),
+    (f"<div>Top</div><div class='entry-content'><p>{STORY}</p></div>", STORY),
+    (f"<div>Top</div><div id='post-12'><p>{STORY}</p></div>", STORY),
+    (f"<div>Top</div><main><h1>T</h1><p>{STORY}</p><article><h3>Teaser</h3><p>card</p></article></main>",
+     f"T {STORY} Teaser card"),
+    (f"<article><h3>Teaser</h3><p>card</p></article><main><h1>T</h1><p>{STORY}</p></main>", f"T {STORY}"),
+    (f"<body><header>Site</header><p>{STORY}</p><article><header>Teaser</header><p>card</p></article>", f"{STORY} Teaser card"),
+])
+def test_a_container_holds_most_of_the_text(html, want):
+    assert _text(html) == " ".join(want.split())
+
+
 def test_templates_go_articles_stay(spark):
     rows = []
     for i in range(40):
