@@ -8,11 +8,16 @@ role or class name is dropped while the page is read.
 The article container (article, main, or a box named like one) is what is kept where a page has one
 that holds at least half of the page's paragraph text; else the whole body is.  Inside it only boxes (div, section, lists, tables ...) may be a template, never running
 text such as paragraphs and headings, so an article copied to many pages of a host stays whole.
+
+A form or a box with a boilerplate class name that turns out to hold the page's container or most of
+its paragraph text is a wrapper and is read as if it had no name.
 """
 
 from __future__ import annotations
 
+import heapq
 import html as _html
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -45,6 +50,11 @@ STATES = frozenset("has with without no is show hide js".split())
 MAIN_NAMES = frozenset("article content main post entry story".split())
 #: A box is named like an article by a whole name of these, or by a name of several words that ends in one of MAIN_ENDS.
 MAIN_ENDS, MAIN_BOXES = frozenset(("content", "body")), frozenset("div section td center".split())
+#: How an element is dropped: not; by name or as a form, unless it wraps the page; by tag; always.
+KEPT, NAMED, TAGGED, ALWAYS = range(4)
+#: A wrapper has this many times the paragraph text outside the dropped elements (second: if an article is there).
+WRAPS, WRAPS_BESIDE_ARTICLE = 2, 4
+ADVERTS = frozenset("ad ads advert adverts advertisement adsense sponsor sponsored promo promotion".split())
 NOT_MAIN = frozenset("title subtitle headline heading header head meta byline author date info".split())
 #: Text directly in these (outside links) is paragraph text; a container with less than this share of it is none.
 PROSE = frozenset("#root html body article main section div center td p pre blockquote li dd".split())
@@ -59,31 +69,39 @@ _HOST = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 
 class _Node:
-    __slots__ = ("tag", "parts", "dropped", "main", "named", "digest", "prose", "within", "size")
-
-    def __init__(self, tag, dropped, main, named, up=None):
-        self.tag, self.parts, self.dropped, self.main, self.named, self.digest = tag, [], dropped, main, named, 0
-        #: Whether its own text is paragraph text, whether it is in a container, and its characters of paragraph text.
+    __slots__ = ("tag", "parts", "dropped", "main", "named", "digest", "prose", "within", "own", "size", "drop", "best")
+
+    def __init__(self, tag, drop, main, named, up=None):
+        self.tag, self.parts, self.drop, self.main, self.named, self.digest = tag, [], drop, main, named, 0
+        #: Set by _keep: whether it or one above it is dropped, and the largest article or main in it.
+        self.dropped, self.best = True, None
+        #: Whether its own text is paragraph text, whether it is in a container, and its characters of paragraph text
+        #: without and with its children's.
         self.prose = tag in PROSE if tag in BLOCK or not up else up.prose and tag != "a"
-        self.within, self.size = main or named or bool(up and up.within), 0
+        self.within, self.own, self.size = main or named or bool(up and up.within), 0, 0
 
 
-def _kind(tag: str, attrs: str) -> tuple[bool, bool]:
-    """(dropped, named like an article) of an element by tag, role, class and id."""
-    if tag in DROPPED:
-        return True, False
+def _kind(tag: str, attrs: str) -> tuple[int, bool]:
+    """(how it is dropped, named like an article) of an element by tag, role, class and id."""
+    if tag in ("body", "html"):
+        return KEPT, False
+    by_tag = KEPT if tag not in DROPPED else NAMED if tag == "form" else TAGGED
     if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return False, False
+        return by_tag, False
     got = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
     style = got.get("style", "").replace(" ", "").lower()
     if "hidden" in got or got.get("aria-hidden", "").lower() == "true" or "display:none" in style:
-        return True, False
+        return ALWAYS, False
     role = got.get("role", "").lower()
     names = f"{got.get('class', '')} {got.get('id', '')}".lower().split()
     words = {w for parts in map(_NAME.findall, names) if parts and parts[0] not in STATES for w in parts}
-    if role in ROLES or tag not in ("body", "html", "article", "main") and words & NAMES or words & {"comment", "comments"}:
-        return True, False
-    return False, tag in MAIN_BOXES and (role in ("main", "article") or any(map(_names_article, names)))
+    if words & {"comment", "comments"}:
+        return (ALWAYS if tag in ("article", "main") else TAGGED), False
+    if by_tag or role in ROLES or tag not in ("article", "main") and words & NAMES:
+        return by_tag or NAMED, False
+    if tag in ("article", "main"):
+        return KEPT, bool(words & ADVERTS)  # an advert's name, see _keep
+    return KEPT, tag in MAIN_BOXES and (role in ("main", "article") or any(map(_names_article, names)))
 
 
 def _names_article(name: str) -> bool:
@@ -95,7 +113,7 @@ def _names_article(name: str) -> bool:
 
 def parse(page: str) -> _Node:
     """Tree of a page; parts of a node are child nodes and decoded text."""
-    root = _Node("#root", False, False, False)
+    root = _Node("#root", KEPT, False, False)
     stack, at, size = [root], 0, len(page)
     while at < size:
         m = _TOKEN.search(page, at)
@@ -124,8 +142,10 @@ def parse(page: str) -> _Node:
             _close_open(stack, {"p"}, SCOPE | {"button"})
         if tag in CLOSES:
             _close_open(stack, CLOSES[tag], SCOPE - CLOSES[tag] if tag != "li" else SCOPE)
-        dropped, named = _kind(tag, m[3])
-        node = _Node(tag, dropped or stack[-1].dropped, tag in ("article", "main"), named, stack[-1])
+        if tag in BLOCK and stack[-1].tag == "head":
+            stack.pop()  # its end tag may be left out
+        drop, named = _kind(tag, m[3])
+        node = _Node(tag, drop, tag in ("article", "main"), named, stack[-1])
         stack[-1].parts.append(node)
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
@@ -169,9 +189,10 @@ def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[int], int]:
         node = todo.pop()
         order.append(node)
         todo += [p for p in reversed(node.parts) if isinstance(p, _Node)]
+    _keep(root, order)
     for node in reversed(order):
         if not node.dropped:
-            node.size = sum(p.size if isinstance(p, _Node) else node.prose and len("".join(p.split())) for p in node.parts)
+            node.size = node.own + sum(p.size for p in node.parts if isinstance(p, _Node) and not p.dropped)
             inner = "\x1f".join(str(p.digest) if isinstance(p, _Node) else " ".join(p.split()) for p in node.parts)
             node.digest = xxhash.xxh64_intdigest(f"{node.tag}\x1e{inner}".encode("utf-8", "replace"))
     tops = _containers(root, [n for n in order if not n.dropped])
@@ -184,11 +205,52 @@ def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[int], int]:
     return out, sorted(seen), _signed(signature)
 
 
+def _keep(root, order):
+    """Clear ``dropped`` of what is kept, wrappers of the page among it.
+
+    A form or a box dropped by name is a wrapper if it holds a larger article or main than is outside,
+    or most paragraph text.  What is dropped by tag stays so, but for an article or main in it when
+    there is none elsewhere and it is most of the text.  Adverts and comments are no such article.
+    """
+    for node in reversed(order):
+        inner = [p for p in node.parts if isinstance(p, _Node) and p.drop < TAGGED]
+        if node.prose:
+            node.own = sum(len("".join(p.split())) for p in node.parts if not isinstance(p, _Node))
+        node.size = node.own + sum(p.size for p in inner)
+        if node.main and not node.named and node.drop == KEPT and node.size:
+            node.best = node
+        else:
+            node.best = max((p.best for p in inner if p.best), key=lambda n: n.size, default=None)
+    text = articles = 0  # kept so far
+    waiting, number, open_ = [], itertools.count(), root
+    while open_:
+        todo = [(open_, False)]
+        while todo:
+            node, inside = todo.pop()
+            if node.drop and node is not open_:
+                if node.drop == NAMED or node.drop == TAGGED and node.best:
+                    heapq.heappush(waiting, (-(node.size if node.drop == NAMED else node.best.size), next(number), node))
+                continue
+            node.dropped = False
+            inside = inside or node.main and not node.named
+            text += node.own
+            articles += node.own if inside else 0
+            todo += [(p, inside) for p in node.parts if isinstance(p, _Node)]
+        open_ = None
+        while waiting and not open_:
+            node = heapq.heappop(waiting)[2]
+            if node.drop == NAMED and (node.best and node.best.size > articles
+                                       or node.size > text * (WRAPS_BESIDE_ARTICLE if articles else WRAPS)):
+                open_ = node
+            elif node.drop == TAGGED and not articles and node.best.size > text:
+                open_ = node.best
+
+
 def _containers(root, nodes):
     """The articles outside main, else main, else the boxes named like one, if they hold enough; else the root."""
     tagged = _outermost([n for n in nodes if n.main])
     for tops in ([n for n in tagged if n.tag == "article"], [n for n in tagged if n.tag == "main"],
-                 _outermost([n for n in nodes if n.named])):
+                 _outermost([n for n in nodes if n.named and not n.main])):
         if tops and sum(n.size for n in tops) >= MAJOR_SHARE * root.size:
             return tops
     return [root]

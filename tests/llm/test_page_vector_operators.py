@@ -86,6 +86,24 @@ def test_a_container_holds_most_of_the_text(html, want):
     assert _text(html) == " ".join(want.split())
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    (f"<form id=aspnet><nav>n</nav><article><h1>T</h1><p>{STORY}</p></article><div class=sidebar>s</div></form>", f"T {STORY}"),
+    (f"<div class='layout sidebar-left'><nav>n</nav><main><p>{STORY}</p></main></div>", STORY),
+    (f"<div id=page class='widget-ready'><p>{STORY}</p><div class=widget>w</div></div>", STORY),
+    (f"<form><div class='layout sidebar-left'><p>{STORY}</p><form>f</form></div></form><div>Top</div>", f"{STORY} Top"),
+    ("<div class='layout sidebar-left'><article><p>short</p></article></div>", "short"),
+    (f"<div class='comments-open'><article><p>{STORY}</p></article></div>", STORY),
+    (f"<nav><ul><li>n</li></ul><article><p>{STORY}</p></article>", STORY),
+    (f"<head><title>t</title><body class='comments-open'><p>{STORY}</p>", STORY),
+    (f"<article><p>{STORY}</p></article><div class=related><article>card</article><article>card</article></div>", STORY),
+    (f"<article><p>{STORY}</p></article><aside><article>card</article></aside><form><p>Name</p></form>", STORY),
+    (f"<article><p>short</p></article><div id=comments><p>{STORY}</p><article class=comment>{STORY}</article></div>", "short"),
+    (f"<p>short</p><div class=ad-slot><article class=ad>{STORY[:6]}</article></div>", "short"),
+])
+def test_a_wrapper_of_the_page_is_not_dropped(html, want):
+    assert _text(html) == " ".join(want.split())
+
+
 def test_templates_go_articles_stay(spark):
     rows = []
     for i in range(40):
