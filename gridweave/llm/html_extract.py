@@ -2,7 +2,8 @@
 
 Each page becomes a tree; every element's subtree is hashed from its tag, its text and its
 children.  Spark counts, per host, on how many different pages a subtree occurs, and deletes the
-subtrees that recur on a large share of them.  What menus, adverts, forms and the like are by tag,
+subtrees that recur on a large share of them; boxes outside running text also go when they recur on a
+few pages, however many pages the host has.  What menus, adverts, forms and the like are by tag,
 role or class name is dropped while the page is read.
 
 The article container (article, main, or a box named like one) is what is kept where a page has one
@@ -27,8 +28,12 @@ from pyspark.sql import functions as F
 from gridweave.llm.common import materialize
 from gridweave.operators._joins import broadcast_if_small
 
-#: A subtree is a template on hosts with at least this many different pages, if it is on this share of them.
+#: A subtree is a template on hosts with at least this many different pages, if it is on this share of them; a
+#: box outside running text also if it is on this many of them.
 MIN_PAGES, MIN_SHARE = 5, 0.5
+#: Such boxes, unless they hold most of a page's text and more than this many characters (an article with new dates).
+BOXES = frozenset("div section ul ol dl table details fieldset figure header hgroup center address".split())
+LONG_BOX = 500
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math select".split())
@@ -176,10 +181,11 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[int], int]:
-    """(text blocks with the hashes of the boxes around them, distinct hashes of boxes, signature).
+def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[int], int, list[int]]:
+    """(text blocks with the hashes of the boxes around them, distinct hashes of boxes, signature, countable boxes).
 
     Only the article container's blocks where there is one; the signature is a hash of all of them.
+    Countable are the boxes that are templates by a number of pages.
     """
     import xxhash
 
@@ -198,11 +204,17 @@ def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[int], int]:
     tops = _containers(root, [n for n in order if not n.dropped])
     inside = tops != [root]
     out: list[tuple[str, list[int]]] = []
-    seen: set[int] = set()
+    seen: dict[int, str] = {}
     for top in tops:
         _collect(top, inside, out, seen)
+    held = dict.fromkeys(seen, 0)
+    for words, path in out:
+        for box in set(path):
+            held[box] += len(words)
+    most = max(LONG_BOX, sum(len(words) for words, _ in out) / 2)
+    countable = sorted(box for box, tag in seen.items() if tag in BOXES and 0 < held[box] <= most)
     signature = xxhash.xxh64_intdigest("\x1e".join(t for t, _ in out).encode("utf-8", "replace"))
-    return out, sorted(seen), _signed(signature)
+    return out, sorted(seen), _signed(signature), countable
 
 
 def _keep(root, order):
@@ -269,7 +281,7 @@ def _outermost(tops):
 
 
 def _collect(top, inside, out, seen):
-    """Add the blocks of ``top`` to ``out`` and the hashes of its boxes to ``seen``."""
+    """Add the blocks of ``top`` to ``out`` and the hashes and tags of its boxes to ``seen``."""
     text: list[str] = []
 
     def finish(path):
@@ -296,7 +308,7 @@ def _collect(top, inside, out, seen):
                 finish(path)
             if node is not top and _may_be_template(node, inside):
                 path.append(_signed(node.digest))
-                seen.add(_signed(node.digest))
+                seen[_signed(node.digest)] = node.tag
             todo.append(("close", node))
             todo += [("open" if isinstance(p, _Node) else "text", p) for p in reversed(node.parts)]
         elif node.tag in BLOCK or node.tag in DROPPED:
@@ -314,7 +326,7 @@ def host_of(url: str | None) -> str | None:
 
 
 def page_blocks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, host, blocks, boxes, signature) of every page; null html is empty."""
+    """(page_id, url, host, blocks, boxes, signature, countable) of every page; null html is empty."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -328,29 +340,46 @@ def page_blocks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("page_id"), batch.column("url"), pa.array([host_of(u) for u in urls], pa.string()),
                      pa.array([[{"text": t, "path": p} for t, p in g[0]] for g in got], kind),
-                     pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.int64())],
-                    ["page_id", "url", "host", "blocks", "boxes", "signature"])
+                     pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.int64()),
+                     pa.array([g[3] for g in got], pa.list_(pa.int64()))],
+                    ["page_id", "url", "host", "blocks", "boxes", "signature", "countable"])
 
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                        F.col(html_col).cast("string").alias("html"))
     return src.mapInArrow(run, "page_id long, url string, host string, blocks array<struct<text: string, path: array<long>>>, "
-                               "boxes array<long>, signature long")
+                               "boxes array<long>, signature long, countable array<long>")
 
 
-def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, gone): the hashes of each host's template boxes.
+def different_pages(parsed: DataFrame) -> DataFrame:
+    """(host, signature, boxes, countable): pages with equal text count once, so copies of one page make no template."""
+    return (parsed.where("host is not null").groupBy("host", "signature")
+            .agg(F.first("boxes").alias("boxes"), F.first("countable").alias("countable")))
 
-    Pages with equal text count once, so copies of one page make no template.  At most
-    1 / min_share times the mean number of boxes of a page can be in a host's list.
+
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """(host, gone): the hashes of each host's template boxes by share of its pages.
+
+    At most 1 / min_share times the mean number of boxes of a page can be in a host's list.
     """
-    pages = parsed.where("host is not null").groupBy("host", "signature").agg(F.first("boxes").alias("boxes"))
-    pages = materialize(pages, "different-pages")
     sizes = pages.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     boxes = pages.select("host", F.explode("boxes").alias("box")).groupBy("host", "box").agg(F.count("*").alias("on"))
     return (boxes.where(F.col("on") >= min_pages * min_share).join(sizes, "host").where(F.col("on") >= min_share * F.col("n"))
             .groupBy("host").agg(F.collect_set("box").alias("gone")))
 
 
+def counted_templates(parsed: DataFrame, pages: DataFrame, gone: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, boxes_hash, also): the template boxes by number of pages that are not in ``gone``, per list of boxes.
+
+    A host may have any number of them, so every page gets its own only.
+    """
+    many = (pages.select("host", F.explode("countable").alias("box")).groupBy("host", "box").agg(F.count("*").alias("on"))
+            .where(F.col("on") >= min_pages).drop("on"))
+    by_share = gone.select("host", F.explode("gone").alias("box"))
+    many = many.join(by_share, ["host", "box"], "left_anti")
+    own = parsed.where("host is not null").select("host", "boxes_hash", F.explode("boxes").alias("box")).distinct()
+    return own.join(many, ["host", "box"]).groupBy("host", "boxes_hash").agg(F.collect_set("box").alias("also"))
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
             min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(page_id, url, text): the main text of every row, blocks joined by one space.
@@ -359,10 +388,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     get equal texts; an empty table gives no rows.
     """
     parsed = materialize(page_blocks(pages, id_col, url_col, html_col), "page-blocks")
-    gone = materialize(templates(parsed, min_pages, min_share), "templates")
-    kept = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["path"], F.col("gone")))
-    return parsed.join(broadcast_if_small(gone), "host", "left").select(
-        "page_id", "url", F.concat_ws(" ", F.transform(kept, lambda b: b["text"])).alias("text"))
+    parsed = parsed.withColumn("boxes_hash", F.xxhash64("boxes"))
+    different = materialize(different_pages(parsed), "different-pages")
+    gone = materialize(templates(different, min_pages, min_share), "templates")
+    also = materialize(counted_templates(parsed, different, gone, min_pages), "counted-templates")
+    kept = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["path"], F.col("gone")), F.lit(False))
+                    & ~F.coalesce(F.arrays_overlap(b["path"], F.col("also")), F.lit(False)))
+    return (parsed.join(broadcast_if_small(gone), "host", "left").join(broadcast_if_small(also), ["host", "boxes_hash"], "left")
+            .select("page_id", "url", F.concat_ws(" ", F.transform(kept, lambda b: b["text"])).alias("text")))
 
 
 def query(spark, sf_dir):

@@ -122,6 +122,25 @@ def test_templates_go_articles_stay(spark):
     assert html_extract.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_templates_of_a_part_of_a_large_host_go(spark):
+    rows = []
+    for i in range(60):
+        promo = f"<div><p>All about section {i % 6}</p><ul><li>now</li></ul></div>"
+        rows.append(_page(i, f"<body><article><p>story {i}</p>{promo}<p>Said before {i % 6}.</p></article>"))
+        rows.append(_page(100 + i, f"<body><p>story {i}</p>{promo}<p>Said before {i % 6}.</p>", "http://b.example/"))
+        again = f"<div>{'told again ' * 60}</div>" if i < 8 else ""
+        rows.append(_page(200 + i, f"<body><article><p>day {i}</p>{again}<table><tr><td>yes<td>{i}</table></article>",
+                          "http://c.example/"))
+        few = "<div>rare</div>" if i < 4 else ""
+        rows.append(_page(300 + i, f"<article><p>story {i}</p>{few}</article>", "http://d.example/"))
+    got = {x["page_id"]: x["text"] for x in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert len(got) == len(rows)
+    for i in range(60):
+        assert got[i] == got[100 + i] == f"story {i} Said before {i % 6}."
+        assert got[200 + i].startswith(f"day {i}") and ("told again" in got[200 + i]) == (i < 8)
+        assert got[300 + i] == f"story {i}" + (" rare" if i < 4 else "")
+
+
 def test_page_query_gives_the_articles(spark):
     import html as H
     import re
