@@ -1,6 +1,6 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a small network.
 
-Every token falls into one of BUCKETS by hash and has a sparse ternary index vector.  A bucket's
+Every token falls into one of BUCKETS by a hash of all its bytes and has a sparse ternary index vector.  A bucket's
 word vector is the sum of the index vectors of its neighbours within RADIUS tokens over the whole
 corpus; tasks add them up as integers and Spark sums the tasks, so the result does not depend on
 order.  A document is the mean and the spread of its unit word vectors.  The driver fits a
@@ -22,9 +22,20 @@ BUCKETS, DIM, NONZERO, RADIUS = 1 << 14, 32, 4, 2
 #: Labelled rows that the network is fitted on, at most about this many.
 SAMPLE_ROWS = 20_000
 _CHUNK_BYTES = 4_000_000
+#: Word vectors gathered at once to be pooled, unless one text has more.
+_POOL_TOKENS = 300_000
 
 _CLASS = np.array([0 if b in (9, 10, 11, 12, 13, 32) else 1 if b >= 128 or chr(b).isalnum() else 2 for b in range(256)],
                   np.uint8)
+_UNSPACED = 3
+#: Code points from U+0800 up that are not letters of spaced words: (first, last, class).
+_RANGES = np.array([(0x0E00, 0x0FFF, _UNSPACED), (0x1000, 0x109F, _UNSPACED), (0x1780, 0x17FF, _UNSPACED),
+                    (0x200B, 0x200B, 0), (0x2E80, 0x2FFF, _UNSPACED), (0x3000, 0x3000, 0), (0x3001, 0x3004, 2),
+                    (0x3005, 0x3007, _UNSPACED), (0x3008, 0x3020, 2), (0x3021, 0x302F, _UNSPACED), (0x3030, 0x3030, 2),
+                    (0x3031, 0x303C, _UNSPACED), (0x303D, 0x303F, 2), (0x3040, 0x312F, _UNSPACED), (0x31A0, 0xA4CF, _UNSPACED),
+                    (0xF900, 0xFAFF, _UNSPACED), (0xFE30, 0xFE4F, 2), (0xFF01, 0xFF0F, 2), (0xFF1A, 0xFF20, 2),
+                    (0xFF3B, 0xFF40, 2), (0xFF5B, 0xFF65, 2), (0xFF66, 0xFF9F, _UNSPACED), (0x1B000, 0x1B16F, _UNSPACED),
+                    (0x20000, 0x3FFFF, _UNSPACED)])
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
@@ -38,23 +49,41 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of every token, first token of every text and the total).
 
-    A token is a run of letters and digits (bytes from 128 up count as letters) or a run of other
-    signs between white space; its bucket comes from its first 24 bytes and its length.  A token
-    equal to the one before it in its text goes to the last bucket, whatever it is.
+    A token is a run of letters and digits (other bytes from 128 up count as letters) or a run of
+    other signs between white space; runs of letters that are written without spaces (Chinese,
+    Japanese, Thai ...) are their pairs of neighbouring letters instead.  Its bucket comes from all
+    its bytes and its length.  A token equal to the one before it in its text goes to the last
+    bucket, whatever it is.
     """
+    import xxhash
+
     raw = b" ".join(texts) + b" "
     b = np.frombuffer(raw, np.uint8)
     cls = _CLASS[b]
+    letter, width = _mark_wide(b, cls)
     edge = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
     stop = np.append(edge[1:], len(b))
-    real = cls[edge] > 0
+    real = (cls[edge] > 0) & (cls[edge] != _UNSPACED)
     start, size = edge[real], (stop - edge)[real]
+    if len(letter):
+        near = letter[:-1] + width[:-1] == letter[1:]
+        alone = ~(np.append(near, False) | np.append(False, near))
+        start = np.concatenate([start, letter[:-1][near], letter[alone]])
+        size = np.concatenate([size, (width[:-1] + width[1:])[near], width[alone]])
+        order = np.argsort(start)
+        start, size = start[order], size[order]
     words = np.ndarray((len(raw) + 17,), "<u8", raw + bytes(24), strides=(1,))
     h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for o in (0, 8, 16):
         h ^= words[np.minimum(start + o, len(raw))] & _MASK[np.clip(size - o, 0, 8)]
         h *= np.uint64(0xC2B2AE3D27D4EB4F)
         h ^= h >> np.uint64(29)
+    long = np.flatnonzero(size > 24)
+    if len(long):
+        rest = np.fromiter((xxhash.xxh64_intdigest(raw[i + 24:i + n]) for i, n in zip(start[long].tolist(), size[long].tolist(),
+                                                                                     strict=True)), np.uint64, len(long))
+        mixed = (h[long] ^ rest) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h[long] = mixed ^ (mixed >> np.uint64(29))
     ends = (np.fromiter(map(len, texts), np.int64, len(texts)) + 1).cumsum()
     first = np.searchsorted(start, np.append(0, ends))
     bucket = (h % np.uint64(BUCKETS - 1)).astype(np.int64)
@@ -64,6 +93,26 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return bucket, first
 
 
+def _mark_wide(b: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Set the class of the characters of _RANGES in UTF-8 bytes; (place, bytes) of the letters written without spaces."""
+    at = np.flatnonzero(b >= 0xE0)
+    if not len(at):
+        return at, at
+    far = np.append(b, np.zeros(3, np.uint8))
+    four = b[at] >= 0xF0
+    tail = [far[at + k].astype(np.int64) for k in (1, 2, 3)]
+    whole = (tail[0] >> 6 == 2) & (tail[1] >> 6 == 2) & (~four | (tail[2] >> 6 == 2))
+    cp = (b[at].astype(np.int64) & 15) << 12 | (tail[0] & 63) << 6 | tail[1] & 63
+    cp = np.where(four, (cp & 0x7FFF) << 6 | tail[2] & 63, cp)
+    spot = np.searchsorted(_RANGES[:, 0], cp, "right") - 1
+    known = whole & (spot >= 0) & (cp <= _RANGES[spot, 1])
+    at, width, kind = at[known], 3 + four[known], _RANGES[spot[known], 2]
+    for k in range(4):
+        own = width > k
+        cls[at[own] + k] = kind[own]
+    return at[kind == _UNSPACED], width[kind == _UNSPACED]
+
+
 def _chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
     at = 0
     while at < len(texts):
@@ -123,15 +172,19 @@ def pool(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
     at = 0
     for part in _chunks(texts):
         token, first = tokens(part)
-        n = np.diff(first)
-        full = np.flatnonzero(n)
-        if len(full):
-            v = vectors[token]
-            heads = first[:-1][full]
-            size = n[full, None]
-            mean = np.add.reduceat(v, heads, axis=0, dtype=np.float64) / size
-            square = np.add.reduceat(v * v, heads, axis=0, dtype=np.float64) / size
-            out[at + full] = np.hstack([mean, np.sqrt(np.maximum(square - mean**2, 0))])
+        lo = 0
+        while lo < len(part):
+            hi = max(lo + 1, int(np.searchsorted(first, first[lo] + _POOL_TOKENS, "right")) - 1)
+            n = np.diff(first[lo:hi + 1])
+            full = np.flatnonzero(n)
+            if len(full):
+                v = vectors[token[first[lo]:first[hi]]]
+                heads = first[lo:hi][full] - first[lo]
+                size = n[full, None]
+                mean = np.add.reduceat(v, heads, axis=0, dtype=np.float64) / size
+                square = np.add.reduceat(v * v, heads, axis=0, dtype=np.float64) / size
+                out[at + lo + full] = np.hstack([mean, np.sqrt(np.maximum(square - mean**2, 0))])
+            lo = hi
         at += len(part)
     return out
 

@@ -263,6 +263,43 @@ def test_contexts_against_a_plain_loop():
     assert np.diff(first).tolist() == [5, 0, 1, 6]
 
 
+def _tokens(text):
+    token, first = quality_model.tokens([text.encode()])
+    assert first.tolist() == [0, len(token)]
+    return token.tolist()
+
+
+def test_whole_tokens_are_hashed():
+    same = "x" * 30
+    assert _tokens(same + "a" * 50) != _tokens(same + "b" * 50) and _tokens(same + "a" * 50) == _tokens(same + "a" * 50)
+    assert len(_tokens("a" * 300_000 + "b")) == 1
+
+
+def test_letters_without_spaces_are_pairs():
+    text = "今日は東京で新しい本を読んだ"
+    pairs = [_tokens(text[i:i + 2])[0] for i in range(len(text) - 1)]
+    assert _tokens(text) == pairs and len(set(pairs)) == len(pairs)
+    assert _tokens("今日\u3000東京。本") == [*_tokens("今日"), *_tokens("東京"), *_tokens("。"), *_tokens("本")]
+    assert _tokens("abc東京でdéf") == [*_tokens("abc"), *_tokens("東京"), *_tokens("京で"), *_tokens("déf")]
+    assert len(_tokens("สวัสดีครับ")) == 9 and len(_tokens("\U00020000\U00020001\U00020002")) == 2
+    assert len(_tokens("don’t привет 한국어 élève")) == 4  # spaced scripts keep their words
+    bad = b"a \xe3\x81 b \xe6"
+    assert np.diff(quality_model.tokens([bad, b"x"])[1]).tolist() == [4, 1]
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(quality_model.BUCKETS, quality_model.DIM)).astype(np.float32)
+    own, other = quality_model.pool([(text + "終").encode(), (text + "止").encode()], v)
+    assert not np.allclose(own, other)
+
+
+def test_pool_in_parts_is_the_same(monkeypatch):
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(quality_model.BUCKETS, quality_model.DIM)).astype(np.float32)
+    texts = [b"", b"a b a", b"q", b"  ", b"", b"z y x !", "東京で本".encode()] * 3
+    whole = quality_model.pool(texts, v)
+    monkeypatch.setattr(quality_model, "_POOL_TOKENS", 2)
+    assert np.array_equal(quality_model.pool(texts, v), whole)
+
+
 def test_pool_of_each_text_alone():
     rng = np.random.default_rng(0)
     v = rng.normal(size=(quality_model.BUCKETS, quality_model.DIM)).astype(np.float32)
