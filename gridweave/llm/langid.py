@@ -28,6 +28,9 @@ FAMILIES = {
 DIM = 4096
 #: Labelled rows per language that the models are fitted on.
 SAMPLE_PER_LANG = 400
+#: A text is of no learned language if its letter sequences are less likely, by this many nats each on average, than
+#: those of all but a thousandth of the sample (README: held-out figures); a smaller sample than this tells nothing.
+UNLIKELY, FLOOR_ROWS = 0.8, 50
 
 
 def family_of(lang: str) -> str:
@@ -87,12 +90,28 @@ class Model:
     families: dict[str, list[str]] = field(default_factory=dict)
     rest: dict[str, tuple] = field(default_factory=dict)
     pairs: dict[tuple[str, str], tuple] = field(default_factory=dict)
+    #: Log share of every feature over the languages, and the least likelihood of a text in any of them.
+    log_share: np.ndarray | None = None
+    floor: float = -np.inf
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, probability); ``und`` and 0 for no text, no letter or no model."""
         if not text or not self.families or not any(map(str.isalpha, text)):
             return "und", 0.0
+        return self._tell(features(text))
+
+    def knows(self, text: str | None, min_score: float) -> bool:
+        """Whether the text is told with ``min_score`` and as likely as texts in the learned languages are."""
+        if not text or not self.families or not any(map(str.isalpha, text)):
+            return False
         x = features(text)
+        return self._tell(x)[1] >= min_score and self.likelihood(x) >= self.floor
+
+    def likelihood(self, x: np.ndarray) -> float:
+        """Mean log share of the text's letter sequences; about the same in a mix of learned languages."""
+        return float(x.astype(float) ** 2 @ self.log_share)
+
+    def _tell(self, x: np.ndarray) -> tuple[str, float]:
         prob = {f: _prob(x, self.rest[f]) for f in self.rest} or {f: 1.0 for f in self.families}
         family = max(sorted(prob), key=prob.get)
         langs = self.families[family]
@@ -122,6 +141,11 @@ def fit(x: np.ndarray, lang: list[str]) -> Model:
     if len(model.families) > 1:
         for f in model.families:
             model.rest[f] = fit_svm(x, np.where(family == f, 1.0, -1.0).astype(np.float32))
+    if len(lang):
+        share = np.mean([(x[lang == a].astype(float) ** 2).mean(0) for a in sorted(set(lang))], axis=0) + 1e-6
+        model.log_share = np.log(share / share.sum())
+    if len(lang) >= FLOOR_ROWS:
+        model.floor = float(np.quantile([model.likelihood(row) for row in x], 0.001)) - UNLIKELY
     for langs in model.families.values():
         for i, a in enumerate(langs):
             for b in langs[i + 1:]:
@@ -181,7 +205,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def keep_known(docs: DataFrame, min_score: float = 0.3, model: Model | None = None) -> DataFrame:
     """The rows of ``docs`` whose language is told with at least ``min_score``, columns as they were.
 
-    Rows without a letter go; a document in two known languages scores near one half and stays.
+    Rows without a letter go, and rows in no learned language by their likelihood; a document in two
+    known languages scores near one half and stays.
     """
     model = model or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -191,8 +216,7 @@ def keep_known(docs: DataFrame, min_score: float = 0.3, model: Model | None = No
         import pyarrow as pa
 
         for batch in batches:
-            keep = [lang != "und" and score >= min_score for lang, score in
-                    (shared.value.predict(t.as_py()) for t in batch.column(at))]
+            keep = [shared.value.knows(t.as_py(), min_score) for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, schema)

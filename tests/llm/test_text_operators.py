@@ -512,3 +512,20 @@ def test_language_of_messy_rows(spark, messy, nothing):
     assert {r["lang_pred"] for r in langid.predict(messy, langid.Model()).collect()} == {"und"}
     kept = langid.keep_known(messy)
     assert kept.columns == messy.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 1, 2, 6, 7, 8]
+
+
+def test_texts_in_no_learned_language_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs)
+    known = [r["text"] for r in docs.where(F.length("text") > 60).orderBy("doc_id").limit(400).collect()]
+    mixed = [a[:500] + " " + b[:500] for a, b in zip(known, known[1:], strict=False)]
+    rng = random.Random(3)
+    other = ["w szczebrzeszynie chrząszcz brzmi w trzcinie i szczebrzeszyn z tego słynie",
+             "Příliš žluťoučký kůň úpěl ďábelské ódy a pak šel domů spát do postele",
+             "Все люди рождаются свободными и равными в своём достоинстве и правах",
+             "人人生而自由在尊严和权利上一律平等他们赋有理性和良心", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι"]
+    other += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(400)) for _ in range(20)]
+    texts = known + mixed + other
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in langid.keep_known(df, model=model).collect()}
+    assert kept == set(range(len(known) + len(mixed)))
