@@ -24,7 +24,9 @@ from pyspark.sql import types as T
 from gridweave.llm.common import materialize
 from gridweave.llm.components import connected_components
 
-TABLES, HASHES, PROBES = 8, 3, 2
+#: Tables: this many for every doubling of the vectors' width, and at least so many (README: recall at the threshold).
+TABLES_PER_DOUBLING, MIN_TABLES = 2, 8
+HASHES, PROBES = 3, 2
 #: Rows of a part of a bucket; larger buckets are compared part by part.
 CELL = 1000
 #: Pairs of small cells compared at once in a task.
@@ -41,11 +43,17 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
-def codes(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, seed: int = 7) -> np.ndarray:
+def tables_for(width: int) -> int:
+    """Tables that find about 99.9 % of the pairs at cosine 0.95."""
+    return max(MIN_TABLES, TABLES_PER_DOUBLING * (width - 1).bit_length())
+
+
+def codes(x: np.ndarray, tables: int | None = None, hashes: int = HASHES, probes: int = PROBES, seed: int = 7) -> np.ndarray:
     """Bucket numbers (rows, tables, 1 + probes): the own bucket, then the nearest other ones.
 
     The rotations depend on ``seed`` and the width alone, so all tasks use the same.
     """
+    tables = tables or tables_for(x.shape[1])
     width = 1 << max(1, (x.shape[1] - 1).bit_length())
     padded = np.zeros((len(x), width))
     padded[:, :x.shape[1]] = x
@@ -172,7 +180,7 @@ class _Cells:
 
 
 def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95,
-                   tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, cell: int = CELL) -> DataFrame:
+                   tables: int | None = None, hashes: int = HASHES, probes: int = PROBES, cell: int = CELL) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per input row.
 
     Rows link at cosine >= ``threshold``; ``n_links`` counts the other rows linked directly, equal
@@ -199,7 +207,7 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
               .withColumn("a", F.least("part", "other")).withColumn("b", F.greatest("part", "other")).drop("other", "parts"))
     key = ["view", "code", "dim", "a", "b"]
     dealt = placed.repartition(*key).sortWithinPartitions(*key)
-    found = materialize(_compare(dealt, threshold, tables, 1 + probes, single), "links")
+    found = materialize(_compare(dealt, threshold, 1 + probes, single), "links")
     counts = found.where("edge is null").groupBy("node").agg(F.sum("n").alias("n"))
     groups = connected_components(found.where("edge is not null").select(F.col("node").alias("a"), F.col("edge").alias("b")))
     groups = groups.join(classes.select("node", "low"), "node")
@@ -223,7 +231,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _entries(classes: DataFrame, tables: int, hashes: int, probes: int, single: bool) -> DataFrame:
+def _entries(classes: DataFrame, tables: int | None, hashes: int, probes: int, single: bool) -> DataFrame:
     """One row per class, table and probed bucket, with the vector's bytes and all its codes."""
 
     def run(batches: Iterator) -> Iterator:
@@ -238,11 +246,12 @@ def _entries(classes: DataFrame, tables: int, hashes: int, probes: int, single:
                     own = np.flatnonzero(width == d)
                     x = np.array([raw[i] for i in own], np.float32 if single else np.float64)
                     c = codes(_unit(x.astype(np.float64)), tables, hashes, probes)
-                    per = tables * (1 + probes)
+                    views = c.shape[1]
+                    per = views * (1 + probes)
                     node = np.array(batch.column("node").to_pylist())[own]
                     weight = np.array(batch.column("weight").to_pylist())[own]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), 1 + probes), len(own))),
+                        [pa.array(np.tile(np.repeat(np.arange(views, dtype=np.int32), 1 + probes), len(own))),
                          pa.array(c.ravel()), pa.array(np.full(len(own) * per, d, np.int32)),
                          pa.array(np.repeat(node, per)), pa.array(np.repeat(weight, per)),
                          pa.array([r.tobytes() for r in x for _ in range(per)], pa.binary()),
@@ -253,7 +262,7 @@ def _entries(classes: DataFrame, tables: int, hashes: int, probes: int, single:
         run, "view int, code long, dim int, node long, weight long, x binary, codes binary")
 
 
-def _compare(dealt: DataFrame, threshold: float, tables: int, width: int, single: bool) -> DataFrame:
+def _compare(dealt: DataFrame, threshold: float, width: int, single: bool) -> DataFrame:
     """(node, n, edge): link counts (edge null) and forest edges of every cell of sorted ``dealt``."""
     keys = ["view", "code", "dim", "a", "b"]
 
@@ -276,11 +285,12 @@ def _compare(dealt: DataFrame, threshold: float, tables: int, width: int, single
             size = np.diff(bounds)[~lone]
             bounds = np.concatenate([[0], size.cumsum()])
             xs, cs = rows.column("x").to_pylist(), rows.column("codes").to_pylist()
-            col["codes"] = np.frombuffer(b"".join(cs), np.int64).reshape(len(cs), tables, width)
             for d in np.unique(col["dim"]):
                 own = col["dim"] == d
                 mine = {k: v[own] for k, v in col.items()}
                 mine["x"] = _unit(_matrix([x for x, o in zip(xs, own.tolist(), strict=True) if o], single))
+                raw = [c for c, o in zip(cs, own.tolist(), strict=True) if o]
+                mine["codes"] = np.frombuffer(b"".join(raw), np.int64).reshape(len(raw), -1, width)
                 cell_own = own[bounds[:-1]]
                 ids, n, ea, eb = cells.compare(mine, np.concatenate([[0], size[cell_own].cumsum()]))
                 node, back = np.unique(ids, return_inverse=True)

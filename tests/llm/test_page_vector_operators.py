@@ -271,6 +271,18 @@ def test_recall_near_the_threshold(spark):
     assert sum(got) >= 0.9 * 1200
 
 
+@pytest.mark.parametrize(("width", "n"), [(64, 4000), (768, 800)])
+def test_pairs_at_the_threshold_meet(width, n):
+    rng = np.random.default_rng(0)
+    a = rng.normal(size=(n, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=(n, width))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = embed_dedup.codes(a), embed_dedup.codes(0.9501 * a + np.sqrt(1 - 0.9501**2) * b)
+    assert ((x == y[:, :, :1]).any(2) | (y == x[:, :, :1]).any(2)).any(1).mean() >= 0.998
+
+
 def test_vectors_that_link_with_nothing(spark):
     good = [1.0, 0.5] + [0.0] * 6
     rows = [(1, good), (2, good), (2, good), (3, None), (4, []), (5, [0.0] * 8), (6, [float("nan")] + good[1:]),
