@@ -72,6 +72,25 @@ def test_stream_new_entries(spark, tmpdir_path):
     assert sorted(r.lfn for r in out.collect()) == [str(i) for i in range(7)]
 
 
+def test_new_entries_of_old_lines_in_a_late_file(spark, tmpdir_path):
+    import datetime
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from gridweave.plans.stream_queries import FILES_PER_BATCH, stream_new_entries_lineitem
+
+    folder = os.path.join(tmpdir_path, "lineitem.parquet")
+    os.makedirs(folder)
+    for i in range(2 * FILES_PER_BATCH + 1):  # the last files hold lines thirty years older
+        day = datetime.date(2020 if i < FILES_PER_BATCH else 1990, 1, 1)
+        path = os.path.join(folder, f"part-{i:05}.parquet")
+        pq.write_table(pa.table({"l_orderkey": [i, 0], "l_shipdate": [day, day]}), path)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    got = sorted(r.lfn for r in stream_new_entries_lineitem(spark, tmpdir_path).collect())
+    assert got == [f"/orders/{i}" for i in range(2 * FILES_PER_BATCH + 1)]
+
+
 def test_batched_stream_groups_equal_stateful(spark, tmpdir_path):
     from gridweave.streaming.grouping import stream_fixed_groups_batched
 
