@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gridweave.llm import (
+    best_two_fit,
     embed_dedup,
     html_extract,
     langid,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_warc_archive": (warc.query, warc.SQL),
     "op9_sos_packing": (sos_packing.query, None),
     "op10_embedding_dedup": (embed_dedup.query, embed_dedup.SQL),
+    "op11_best_two_fit": (best_two_fit.query, None),
 }
 
 
