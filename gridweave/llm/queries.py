@@ -5,6 +5,7 @@ from __future__ import annotations
 from gridweave.llm import (
     best_two_fit,
     embed_dedup,
+    hard_negatives,
     html_extract,
     langid,
     quality_model,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_sos_packing": (sos_packing.query, None),
     "op10_embedding_dedup": (embed_dedup.query, embed_dedup.SQL),
     "op11_best_two_fit": (best_two_fit.query, None),
+    "op13_hard_negatives": (hard_negatives.query, hard_negatives.SQL),
 }
 
 
