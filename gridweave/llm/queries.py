@@ -8,6 +8,7 @@ from gridweave.llm import (
     hard_negatives,
     html_extract,
     langid,
+    phrase_mining,
     quality_model,
     quality_rules,
     sentencepiece_viterbi,
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_sos_packing": (sos_packing.query, None),
     "op10_embedding_dedup": (embed_dedup.query, embed_dedup.SQL),
     "op11_best_two_fit": (best_two_fit.query, None),
+    "op12_phrase_mining": (phrase_mining.query, phrase_mining.SQL),
     "op13_hard_negatives": (hard_negatives.query, hard_negatives.SQL),
 }
 
