@@ -34,6 +34,19 @@ def test_ids_equal_the_library_on_whole_texts(whole):
             assert ids[a:b].tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_words_merged_here_equal_the_library(whole):
+    """Every entry of the vocabulary, and random words of the characters that are split here."""
+    rng = random.Random(6)
+    own = word_bpe.WordBPE(word_bpe.default_path())
+    chars = [chr(c) for c in range(0x21, 0x7F)] + list("abcdefghij" * 6) + list(word_bpe.ACCENTED)
+    words = ["".join(rng.choice(chars) for _ in range(rng.randint(1, 14))) for _ in range(60_000)]
+    words += [c for c in chars] + [w for w in whole.get_vocab()] + [w.removesuffix("</w>") for w in whole.get_vocab()]
+    words = [w for w in words if own._plain(w)]
+    assert len(words) > 100_000
+    for w, e in zip(words, whole.encode_batch(words, add_special_tokens=False), strict=True):
+        assert own._code(w.encode()) == e.ids, w
+
+
 def test_cache_limit_does_not_change_ids(whole, monkeypatch):
     monkeypatch.setattr(word_bpe, "CACHE_WORDS", 3)
     coder = word_bpe.WordBPE(word_bpe.default_path())
