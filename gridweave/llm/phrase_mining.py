@@ -1,15 +1,15 @@
 """Phrase collocations by direct-address tiling.
 
-Texts become *chunks*: long runs of numbers that stand for words, with breaks between pieces.  In a
-chunk, the symbols that are frequent in the whole corpus are ranked by that frequency, so that the
-pairs of neighbours fall into the tiles of a square table, crowded near its corner.  A crowded tile is
-counted with one dense bincount over its addresses, all others together as sorted coordinates.  Spark
-adds up the chunks' counts; the pairs that are frequent become the symbols of the next round, in which
-neighbours are phrases one word longer.  A phrase can only be frequent if its two parts are, so nothing
-else is ever counted.
-
-No vocabulary is collected or broadcast: a chunk holds a bounded number of words, and gets back by a
-join the frequent symbols it holds itself.
+Texts become *chunks*: long runs of numbers that stand for words, with breaks between pieces.  The
+frequent words are ranked by their count in the corpus, and the pairs of neighbours get addresses in
+a square table of ranks that is cut into small tiles.  Addresses of a crowded tile are counted with a
+dense bincount, all others as sorted coordinates, first in each task, then for each share of the tiles
+from the blocks of all tasks; a block is a compressed sorted list, so little is shuffled.  The pairs
+that are frequent are ranked anew and become the symbols of the next round, in which neighbours are
+phrases one word longer.  A phrase can only be frequent if its two parts are, so nothing else is counted.
+
+A table of frequent symbols goes to all tasks only if its counted rows are few; a larger one goes back
+to the chunks by joins.
 """
 
 from __future__ import annotations
@@ -26,8 +26,12 @@ from gridweave.llm.common import materialize, text_or_empty
 LONGEST, MIN_COUNT, TOP = 5, 100, 2000
 #: Words after which a chunk ends, and bytes of a long text taken at once (cut between pieces).
 CHUNK_WORDS, CUT_BYTES = 2_000_000, 4_000_000
-#: Side of a tile; a tile with at least a sixteenth as many pairs as addresses is counted densely.
-TILE = 1024
+#: Bits of a tile's side; a tile with a quarter as many pairs as addresses is counted densely.
+TILE_BITS = 6
+#: Distinct pairs a task gathers before it sends them, and pairs (at most) of one share of the tiles.
+SEND_PAIRS, SHARE_PAIRS = 4_000_000, 8_000_000
+#: Frequent symbols up to which their table is broadcast (16 bytes each, words some more).
+BROADCAST_SYMBOLS = 1_000_000
 #: Parts in which a language's phrases are ranked first.
 RANK_PARTS = 64
 
@@ -53,37 +57,73 @@ def without_repeated_breaks(seq: np.ndarray) -> np.ndarray:
     return out[:-1] if len(out) and out[-1] < 0 else out
 
 
-def count_pairs(a: np.ndarray, b: np.ndarray, symbols: int, tile: int = TILE):
-    """Distinct pairs of the ranks ``a`` and ``b``: (first, second, count), and each pair's number among them."""
-    side = -(-max(symbols, 1) // tile)
-    where = (a // tile) * side + b // tile
-    cell = (a % tile) * tile + b % tile
-    order = np.argsort(where, kind="stable")
-    tiles, first, size = np.unique(where[order], return_index=True, return_counts=True)
-    number, keys, counts, n = np.empty(len(a), np.int64), [], [], 0
-    sparse = np.ones(len(a), bool)
-    for t in np.flatnonzero(size * 16 >= tile * tile):
-        own = order[first[t]:first[t] + size[t]]
-        sparse[own] = False
-        dense = np.bincount(cell[own], minlength=tile * tile)
-        used = np.flatnonzero(dense)
-        slot = np.zeros(tile * tile, np.int64)
-        slot[used] = np.arange(n, n + len(used))
-        number[own] = slot[cell[own]]
-        keys.append(tiles[t] * tile * tile + used)
-        counts.append(dense[used])
-        n += len(used)
-    rest, back, many = np.unique(where[sparse] * tile * tile + cell[sparse], return_inverse=True, return_counts=True)
-    number[sparse] = n + back
-    key, count = np.concatenate([*keys, rest]).astype(np.int64), np.concatenate([*counts, many]).astype(np.int64)
-    at, inside = key // (tile * tile), key % (tile * tile)
-    return at // side * tile + inside // tile, at % side * tile + inside % tile, count, number
+def addresses(a: np.ndarray, b: np.ndarray, symbols: int) -> np.ndarray:
+    """The address of each pair of ranks: its tile, then its place in the tile."""
+    side, low = (symbols >> TILE_BITS) + 1, (1 << TILE_BITS) - 1
+    tile = (a.astype(np.int64) >> TILE_BITS) * side + (b >> TILE_BITS)
+    return (tile << 2 * TILE_BITS) | ((a & low) << TILE_BITS) | (b & low)
+
+
+def ranks(address: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that have these addresses."""
+    side, low = (symbols >> TILE_BITS) + 1, (1 << TILE_BITS) - 1
+    tile = address >> 2 * TILE_BITS
+    return ((tile // side << TILE_BITS) | (address >> TILE_BITS & low), (tile % side << TILE_BITS) | (address & low))
+
+
+def count_addresses(address: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct addresses, rising, and the sum of their weights (their number, without weights)."""
+    size = 1 << 2 * TILE_BITS
+    tiles, tile, many = np.unique(address >> 2 * TILE_BITS, return_inverse=True, return_counts=True)
+    crowded = many * 4 >= size
+    dense = crowded[tile]
+    slot = (crowded.cumsum() - 1)[tile[dense]] * size + (address[dense] & size - 1)
+    table = np.bincount(slot, None if weight is None else weight[dense], crowded.sum() * size)
+    used = np.flatnonzero(table)
+    from_dense = (tiles[crowded][used // size] << 2 * TILE_BITS) | (used % size)
+    rest, back = np.unique(address[~dense], return_inverse=True)
+    n = np.bincount(back, None if weight is None else weight[~dense], len(rest))
+    key, n = np.concatenate([from_dense, rest]).astype(np.int64), np.concatenate([table[used], n]).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    return key[order], n[order]
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers as compressed planes of bytes."""
+    import pyarrow as pa
+
+    return pa.compress(np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    import pyarrow as pa
+
+    planes = np.frombuffer(pa.decompress(raw, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
+def _stored(seq: np.ndarray) -> tuple[int, bytes]:
+    import pyarrow as pa
+
+    return len(seq), pa.compress(seq.astype("<i4").tobytes(), "zstd", asbytes=True)
+
+
+def _sequence(n: int, raw: bytes) -> np.ndarray:
+    import pyarrow as pa
+
+    return np.frombuffer(pa.decompress(raw, 4 * n, "zstd", asbytes=True), "<i4")
+
+
+def _neighbours(seq: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where two symbols stand side by side, and the addresses of these pairs."""
+    here = (seq[:-1] >= 0) & (seq[1:] >= 0)
+    return here, addresses(seq[:-1][here], seq[1:][here], symbols)
 
 
 def _chunks(docs: DataFrame, chunk_words: int) -> DataFrame:
-    """Chunks and their words: (chunk, idx, lang, word, n, seq), a chunk's sequence with idx -1.
+    """Chunks and their words: (chunk, idx, lang, word, n, seq), a chunk's sequence and its length with idx -1.
 
-    ``seq`` holds 32-bit numbers of words, -1 between pieces; a chunk numbers its words by itself.
+    ``seq`` holds numbers of words, -1 between pieces; a chunk numbers its words by itself.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -103,8 +143,8 @@ def _chunks(docs: DataFrame, chunk_words: int) -> DataFrame:
                     k = len(part := names[lo:lo + 20_000])
                     yield row_batch(np.full(k, chunk), np.arange(base + lo, base + lo + k), [lang] * k, part, n[lo:lo + k], [None] * k)
                 base += len(names)
-            flat = without_repeated_breaks(np.concatenate(seq))
-            yield row_batch([chunk], [-1], [None], [None], [0], [flat.tobytes()])
+            n, raw = _stored(without_repeated_breaks(np.concatenate(seq)))
+            yield row_batch([chunk], [-1], [None], [None], [n], [raw])
 
         def row_batch(*cols):
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.int64(), pa.binary()]
@@ -134,58 +174,142 @@ def _chunks(docs: DataFrame, chunk_words: int) -> DataFrame:
     return src.mapInArrow(run, "chunk long, idx int, lang string, word binary, n long, seq binary")
 
 
-def _neighbours(symbols: DataFrame, chunks: DataFrame, tile: int) -> DataFrame:
-    """Counted pairs of every chunk and its sequence of pairs: (chunk, idx, left, right, n, seq).
+def _ranked(found: DataFrame, name: str) -> DataFrame:
+    """``found`` with ``gid``: 0, 1, ... in the order of falling f, written to the shared folder."""
+    keys = [c for c in found.columns if c != "f"]
+    order = [F.desc("f"), *keys]
+    here = F.monotonically_increasing_id()
+    own = (found.repartitionByRange(*order).sortWithinPartitions(*order)
+           .withColumn("task", F.shiftright(here, 33)).withColumn("nth", here.bitwiseAND((1 << 33) - 1)))
+    own = materialize(own, name)
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
+    starts = own.groupBy("task").agg(F.count("*").alias("n")).select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return own.join(F.broadcast(starts), "task").withColumn("gid", F.col("start") + F.col("nth")).drop("task", "nth", "start")
+
 
-    ``symbols`` (chunk, idx, gid, f) are the frequent symbols that a chunk's sequence holds.
+def _renamed(chunks: DataFrame, names: DataFrame, symbols: int) -> DataFrame:
+    """(chunk, n, seq): the chunks' sequences in the symbols that ``names`` (chunk, code, gid) gives them.
+
+    A code is a number of the sequence, or with ``symbols`` the address of two neighbours.
     """
 
     def run(key, own, seq):
         import pyarrow as pa
 
-        idx, gid, f = (own.column(c).to_numpy() for c in ("idx", "gid", "f"))
-        order = np.lexsort((gid, -f))
-        s = np.frombuffer(seq.column("seq")[0].as_py(), np.int32) if seq.num_rows else np.empty(0, np.int32)
-        rank = np.full(max(int(idx.max(initial=-1)), int(s.max(initial=-1))) + 2, -1, np.int64)  # the last one is for -1
-        rank[idx[order]] = np.arange(len(order))
-        s = rank[s]
-        here = (s[:-1] >= 0) & (s[1:] >= 0)
-        a, b, n, number = count_pairs(s[:-1][here], s[1:][here], len(order), tile)
-        pairs = np.full(len(here), -1, np.int32)
-        pairs[here] = number
-        gid, k = gid[order], len(n)
-        none, raw = pa.nulls(k, pa.binary()), pa.array([without_repeated_breaks(pairs).tobytes()], pa.binary())
+        if not own.num_rows or not seq.num_rows:
+            return pa.table({"chunk": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "seq": pa.array([], pa.binary())})
+        code, gid = own.column("code").to_numpy(), own.column("gid").to_numpy()
+        order = np.argsort(code)
+        out = _look_up(_sequence(seq.column("n")[0].as_py(), seq.column("seq")[0].as_py()), code[order], gid[order], symbols)
+        n, raw = _stored(out)
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([n], pa.int64()), "seq": pa.array([raw], pa.binary())})
+
+    own = names.select(F.col("chunk").alias("of"), F.col("code").cast("long").alias("code"), F.col("gid").cast("long").alias("gid"))
+    return (own.groupBy("of").cogroup(chunks.select("chunk", "n", "seq").groupBy("chunk"))
+            .applyInArrow(run, "chunk long, n long, seq binary"))
+
+
+def _look_up(seq, code, gid, symbols):
+    """``seq`` with each code replaced by its gid (codes rising), -1 for all others."""
+    if symbols:
+        here, own = _neighbours(seq, symbols)
+    else:
+        here, own = seq >= 0, seq[seq >= 0]
+    at = np.minimum(np.searchsorted(code, own), len(code) - 1)
+    out = np.full(len(here), -1, np.int64)
+    out[here] = np.where(code[at] == own, gid[at], -1) if len(code) else -1
+    return without_repeated_breaks(out)
+
+
+def _paired(chunks: DataFrame, symbols: int, pairs: DataFrame, many: int) -> DataFrame:
+    """(chunk, n, seq): the chunks' sequences of the frequent ``pairs`` (code, gid), of which there are ``many``."""
+    if many > BROADCAST_SYMBOLS:
+        def held(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for chunk, n, raw in zip(*(batch.column(c).to_pylist() for c in ("chunk", "n", "seq")), strict=True):
+                    own = np.unique(_neighbours(_sequence(n, raw), symbols)[1])
+                    for lo in range(0, len(own), 100_000):
+                        part = own[lo:lo + 100_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(part)], ["chunk", "code"])
+
+        return _renamed(chunks, chunks.mapInArrow(held, "chunk long, code long").join(pairs.select("code", "gid"), "code"), symbols)
+    table = pairs.select("code", "gid").toArrow()
+    code, gid = table.column("code").to_numpy(), table.column("gid").to_numpy()
+    order = np.argsort(code)
+    fixed = chunks.sparkSession.sparkContext.broadcast((code[order], gid[order]))
+
+    def run(batches):
+        import pyarrow as pa
+
+        code, gid = fixed.value
+        for batch in batches:
+            for chunk, n, raw in zip(*(batch.column(c).to_pylist() for c in ("chunk", "n", "seq")), strict=True):
+                n, raw = _stored(_look_up(_sequence(n, raw), code, gid, symbols))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([n]), pa.array([raw], pa.binary())], ["chunk", "n", "seq"])
+
+    return chunks.mapInArrow(run, "chunk long, n long, seq binary")
+
+
+def _pairs(chunks: DataFrame, symbols: int, min_count: int) -> DataFrame:
+    """(code, left, right, f): neighbours found at least ``min_count`` times, by address and by ranks."""
+    shares = max(1, -(-(chunks.agg(F.sum("n")).first()[0] or 0) // SHARE_PAIRS))
+
+    def send(batches):
+        import pyarrow as pa
+
+        held, size = [], 0
 
-        def col(values, last, kind=None):
-            return pa.array(np.append(values, last).astype(kind or np.int64))
+        def flush():
+            key, n = held[0] if len(held) == 1 else count_addresses(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            share = (key >> 2 * TILE_BITS) * 0x9E3779B1 % 0x7FFFFFFF % shares
+            order = np.argsort(share, kind="stable")  # the addresses of a share stay in order
+            for own in np.split(order, np.flatnonzero(np.diff(share[order])) + 1):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(share[own[0]])]), pa.array([len(own)]), pa.array([packed(np.diff(key[own], prepend=0))], pa.binary()),
+                     pa.array([packed(n[own])], pa.binary())], ["share", "n", "code", "f"])
 
-        return pa.table([col(np.full(k, key[0].as_py()), key[0].as_py()), col(np.arange(k), -1, np.int32), col(gid[a], -1),
-                         col(gid[b], -1), col(n, 0), pa.concat_arrays([none, raw])],
-                        ["chunk", "idx", "left", "right", "n", "seq"])
+        for batch in batches:
+            for n, raw in zip(batch.column("n").to_pylist(), batch.column("seq").to_pylist(), strict=True):
+                own = count_addresses(_neighbours(_sequence(n, raw), symbols)[1])
+                if len(own[0]):
+                    held.append(own)
+                    size += len(own[0])
+                if size >= SEND_PAIRS:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
 
-    own = symbols.select(F.col("chunk").alias("of"), "idx", "gid", "f")
-    return (own.groupBy("of").cogroup(chunks.where("idx = -1").select("chunk", "seq").groupBy("chunk"))
-            .applyInArrow(run, "chunk long, idx int, left long, right long, n long, seq binary"))
+    def add(blocks):
+        import pyarrow as pa
 
+        key, f = [], []
+        for n, code, count in zip(*(blocks.column(c).to_pylist() for c in ("n", "code", "f")), strict=True):
+            key.append(unpacked(code, n).cumsum())
+            f.append(unpacked(count, n))
+        key, f = count_addresses(np.concatenate(key), np.concatenate(f))
+        key, f = key[f >= min_count], f[f >= min_count]
+        left, right = ranks(key, symbols)
+        return pa.table({"code": pa.array(key), "left": pa.array(left), "right": pa.array(right), "f": pa.array(f)})
 
-def _frequent(counted: DataFrame, keys: list[str], min_count: int) -> DataFrame:
-    """(gid, *keys, f): what occurs at least ``min_count`` times in all chunks together."""
-    total = counted.where("idx >= 0").groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-    return total.withColumn("gid", F.monotonically_increasing_id())
+    return (chunks.select("n", "seq").mapInArrow(send, "share long, n long, code binary, f binary")
+            .groupBy("share").applyInArrow(add, "code long, left long, right long, f long"))
 
 
 def _longer(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The phrases of frequent ``pairs`` (gid, left, right, f), named and with the counts of their parts."""
+    """The phrases of frequent ``pairs`` (gid, code, left, right, f), named and with the counts of their parts."""
     a = parts.select(F.col("gid").alias("left"), "lang", "phrase", "heads")
     b = parts.select(F.col("gid").alias("right"), F.col("last"), "tails")
     grown = pairs.join(a, "left").join(b, "right")
     return grown.select("gid", "lang", F.concat("phrase", F.lit(b" "), "last").alias("phrase"), "last", "f",
                         F.concat("heads", F.array("f")).alias("heads"), F.concat("tails", F.array("f")).alias("tails"),
-                        "left", "right")
+                        "left", "right", "code")
 
 
 def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, min_count: int = MIN_COUNT,
-            chunk_words: int = CHUNK_WORDS, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+            chunk_words: int = CHUNK_WORDS) -> tuple[DataFrame, DataFrame]:
     """All frequent phrases and the words of each language.
 
     Phrases: (lang, words, phrase, f, heads, tails, contained): ``heads`` and ``tails`` are the counts
@@ -196,17 +320,25 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lon
     chunks = materialize(_chunks(src, chunk_words), "phrase-words")
     words = chunks.where("idx >= 0")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    level = materialize(_frequent(words, ["lang", "word"], min_count)
-                        .select("gid", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f",
-                                F.array("f").alias("heads"), F.array("f").alias("tails")), "phrases-1")
-    known = words.join(level.withColumnRenamed("phrase", "word").select("lang", "word", "gid", "f"), ["lang", "word"])
+    found = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+    level = materialize(_ranked(found, "frequent-words").select(
+        "gid", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("heads"),
+        F.array("f").alias("tails")), "phrases-1")
+    many = level.count()
+    names = level.select("lang", F.col("phrase").alias("word"), "gid")
+    names = words.join(F.broadcast(names) if many <= BROADCAST_SYMBOLS else names, ["lang", "word"])
+    chunks = _renamed(chunks.where("idx = -1"), names.select("chunk", F.col("idx").alias("code"), "gid"), 0)
     levels = []
     for n in range(2, longest + 1):
-        chunks = materialize(_neighbours(known.select("chunk", "idx", "gid", "f"), chunks, tile), f"phrase-pairs-{n}")
-        pairs = _frequent(chunks, ["left", "right"], min_count)
+        chunks, symbols = materialize(chunks, f"chunks-{n}"), many
+        pairs = _ranked(_pairs(chunks, symbols, min_count), f"frequent-pairs-{n}")
         level = materialize(_longer(pairs, level), f"phrases-{n}")
         levels.append(level.withColumn("words", F.lit(n)))
-        known = chunks.where("idx >= 0").join(level.select("left", "right", "gid", "f"), ["left", "right"])
+        many = level.count()
+        if not many:
+            break
+        if n < longest:
+            chunks = _paired(chunks, symbols, level, many)
     out = []
     for n, own in enumerate(levels):
         if n + 1 < len(levels):
@@ -224,8 +356,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lon
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST,
-                 min_count: int = MIN_COUNT, percent: int = 100, top: int = TOP, chunk_words: int = CHUNK_WORDS,
-                 tile: int = TILE) -> DataFrame:
+                 min_count: int = MIN_COUNT, percent: int = 100, top: int = TOP, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` collocations of each language.
 
     ASCII letters count in lower case; pieces end at ``. , ; : ! ?`` and line ends, words at spaces
@@ -241,7 +372,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """
     if longest < 2:
         raise ValueError("longest must be at least 2")
-    every, totals = phrases(docs, text_col, lang_col, longest, min_count, chunk_words, tile)
+    every, totals = phrases(docs, text_col, lang_col, longest, min_count, chunk_words)
     every = every.where(100 * F.col("contained") < percent * F.col("f")).join(totals, "lang")
     cut = F.expr("""array_min(transform(sequence(1, words - 1), k -> named_struct(
         'score', (1000BD * cast(f as decimal(17,0)) * cast(n as decimal(17,0)))

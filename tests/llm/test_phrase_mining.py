@@ -53,10 +53,12 @@ def _docs(seed, n=150):
     return docs
 
 
-@pytest.mark.parametrize(("seed", "chunk", "tile"), [(1, 2_000_000, 1024), (2, 50, 2), (3, 7, 1), (4, 300, 4)])
-def test_equals_brute_force(spark, seed, chunk, tile):
+@pytest.mark.parametrize(("seed", "chunk", "broadcast"), [(1, 2_000_000, 1000), (2, 50, 1000), (3, 7, 0)])
+def test_equals_brute_force(spark, monkeypatch, seed, chunk, broadcast):
+    monkeypatch.setattr(pm, "BROADCAST_SYMBOLS", broadcast)
+    monkeypatch.setattr(pm, "SHARE_PAIRS", 200)
     docs = [*_docs(seed), (None, None), ("en", ""), ("xx", "..."), ("yy", "only one")]
-    got = pm.collocations(_frame(spark, docs).repartition(4), min_count=5, chunk_words=chunk, tile=tile).collect()
+    got = pm.collocations(_frame(spark, docs).repartition(4), min_count=5, chunk_words=chunk).collect()
     want = _brute(docs, 5)
     assert len(want) > 20 and sorted(map(tuple, got)) == want
 
@@ -88,15 +90,21 @@ def test_scores_beyond_64_bits(spark):
 
 
 @pytest.mark.parametrize("seed", range(20))
-def test_count_pairs(seed):
+@pytest.mark.parametrize("bits", [1, 3, 6])
+def test_counted_addresses(monkeypatch, seed, bits):
+    monkeypatch.setattr(pm, "TILE_BITS", bits)
     rng = np.random.default_rng(seed)
-    symbols, tile = int(rng.integers(1, 40)), int(rng.integers(1, 9))
-    n = int(rng.integers(0, 300))
-    a, b = (np.minimum(rng.geometric(0.2, n) - 1, symbols - 1) for _ in range(2))
-    first, second, count, number = pm.count_pairs(a, b, symbols, tile)
-    assert dict(zip(zip(first.tolist(), second.tolist(), strict=True), count.tolist(), strict=True)) == Counter(
-        zip(a.tolist(), b.tolist(), strict=True))
-    assert (first[number] == a).all() and (second[number] == b).all()
+    symbols = int(rng.integers(1, 400))
+    n = int(rng.integers(0, 6000))
+    a, b = (np.minimum(rng.geometric(0.1, n) - 1, symbols - 1) for _ in range(2))
+    key, count = pm.count_addresses(pm.addresses(a, b, symbols))
+    want = Counter(zip(a.tolist(), b.tolist(), strict=True))
+    first, second = pm.ranks(key, symbols)
+    assert dict(zip(zip(first.tolist(), second.tolist(), strict=True), count.tolist(), strict=True)) == want
+    assert (np.diff(key) > 0).all()
+    twice = pm.count_addresses(np.concatenate([key, key]), np.concatenate([count, 3 * count]))
+    assert (twice[0] == key).all() and (twice[1] == 4 * count).all()
+    assert (pm.unpacked(pm.packed(key), len(key)) == key).all()
 
 
 def test_long_text_is_cut_between_pieces_only(monkeypatch):
