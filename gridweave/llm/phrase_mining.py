@@ -14,11 +14,12 @@ to the chunks by joins.
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.llm.common import materialize, text_or_empty
@@ -121,9 +122,9 @@ def _neighbours(seq: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunks(docs: DataFrame, chunk_words: int) -> DataFrame:
-    """Chunks and their words: (chunk, idx, lang, word, n, seq), a chunk's sequence and its length with idx -1.
+    """(chunk, words, counts, n, seq): each chunk's words with their counts, its sequence and its length.
 
-    ``seq`` holds numbers of words, -1 between pieces; a chunk numbers its words by itself.
+    ``words`` are compressed lines of language and word; ``seq`` holds their numbers, -1 between pieces.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -133,23 +134,18 @@ def _chunks(docs: DataFrame, chunk_words: int) -> DataFrame:
         chunk, words, parts, size = TaskContext.get().partitionId() << 32, {}, defaultdict(list), 0
 
         def flush():
-            base, seq = 0, []
+            seq, lines, counts = [], [], []
             for lang, known in words.items():
                 own = np.concatenate(parts[lang])
-                n = np.bincount(own, minlength=len(known))[1:]
-                seq += [np.where(own > 0, own + (base - 1), -1).astype(np.int32), np.array([-1], np.int32)]
-                names = list(known)[1:]
-                for lo in range(0, len(names), 20_000):
-                    k = len(part := names[lo:lo + 20_000])
-                    yield row_batch(np.full(k, chunk), np.arange(base + lo, base + lo + k), [lang] * k, part, n[lo:lo + k], [None] * k)
-                base += len(names)
+                seq += [np.where(own > 0, own + (len(lines) - 1), -1).astype(np.int32), np.array([-1], np.int32)]
+                counts.append(np.bincount(own, minlength=len(known))[1:])
+                lines += [lang + b" " + w for w in itertools.islice(known, 1, None)]
+            lines = b"\n".join(lines)  # neither languages as written here nor words hold a line end
             n, raw = _stored(without_repeated_breaks(np.concatenate(seq)))
-            yield row_batch([chunk], [-1], [None], [None], [n], [raw])
-
-        def row_batch(*cols):
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                                              ["chunk", "idx", "lang", "word", "n", "seq"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([chunk]), pa.array([len(lines)]), pa.array([pa.compress(lines, "zstd", asbytes=True)], pa.binary()),
+                 pa.array([packed(np.concatenate(counts))], pa.binary()), pa.array([n]), pa.array([raw], pa.binary())],
+                ["chunk", "bytes", "words", "counts", "n", "seq"])
 
         for batch in batches:
             langs, texts = batch.column("lang").to_pylist(), batch.column("text")
@@ -163,15 +159,67 @@ def _chunks(docs: DataFrame, chunk_words: int) -> DataFrame:
                     parts[lang].append(np.fromiter(map(known.__getitem__, own), np.int32, len(own)))
                     size += len(own)
                     if size >= chunk_words:
-                        yield from flush()
+                        yield flush()
                         chunk, size = chunk + 1, 0
                         words.clear()
                         parts.clear()
         if words:
-            yield from flush()
+            yield flush()
+
+    # a language is kept in hexadecimal, so that it has no space or line end
+    src = docs.select(F.hex("lang").cast("binary").alias("lang"), text_or_empty("text").cast("binary").alias("text"))
+    return src.mapInArrow(run, "chunk long, bytes long, words binary, counts binary, n long, seq binary")
+
+
+def _lines(raw: bytes, size: int) -> list[bytes]:
+    import pyarrow as pa
+
+    return pa.decompress(raw, size, "zstd", asbytes=True).split(b"\n") if size else []
+
+
+def _words(chunks: DataFrame) -> DataFrame:
+    """(chunk, code, line, n): a row per word of a chunk."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for chunk, size, raw, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "bytes", "words", "counts")), strict=True):
+                lines = _lines(raw, size)
+                n = unpacked(counts, len(lines))
+                for lo in range(0, len(lines), 20_000):
+                    k = len(part := lines[lo:lo + 20_000])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(k, chunk)), pa.array(np.arange(lo, lo + k)), pa.array(part, pa.binary()), pa.array(n[lo:lo + k])],
+                        ["chunk", "code", "line", "n"])
 
-    src = docs.select("lang", text_or_empty("text").cast("binary").alias("text"))
-    return src.mapInArrow(run, "chunk long, idx int, lang string, word binary, n long, seq binary")
+    return chunks.select("chunk", "bytes", "words", "counts").mapInArrow(run, "chunk long, code long, line binary, n long")
+
+
+def _language(line: str = "line") -> Column:
+    return F.unhex(F.substring_index(F.col(line).cast("string"), " ", 1)).cast("string")
+
+
+def _named(chunks: DataFrame, words: DataFrame, level: DataFrame, many: int) -> DataFrame:
+    """(chunk, n, seq): the chunks' sequences in frequent words, given by ``level`` (line, gid)."""
+    if many > BROADCAST_SYMBOLS:
+        return _renamed(chunks, words.select("chunk", "code", "line").join(level.select("line", "gid"), "line"), 0)
+    table = level.select("line", "gid").toArrow().combine_chunks()
+    fixed = chunks.sparkSession.sparkContext.broadcast((table.column("line").combine_chunks(), table.column("gid").to_numpy()))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known, gid = fixed.value
+        for batch in batches:
+            for chunk, size, raw, n, seq in zip(*(batch.column(c).to_pylist() for c in ("chunk", "bytes", "words", "n", "seq")), strict=True):
+                at = pc.index_in(pa.array(_lines(raw, size), known.type), value_set=known)
+                code = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+                n, raw = _stored(_look_up(_sequence(n, seq), code, gid[at.drop_null().to_numpy()], 0))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([n]), pa.array([raw], pa.binary())], ["chunk", "n", "seq"])
+
+    return chunks.mapInArrow(run, "chunk long, n long, seq binary")
 
 
 def _ranked(found: DataFrame, name: str) -> DataFrame:
@@ -318,16 +366,15 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lon
     """
     src = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     chunks = materialize(_chunks(src, chunk_words), "phrase-words")
-    words = chunks.where("idx >= 0")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    found = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-    level = materialize(_ranked(found, "frequent-words").select(
-        "gid", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("heads"),
+    words = _words(chunks)
+    counts = materialize(words.groupBy("line").agg(F.sum("n").alias("f")), "word-counts")
+    totals = counts.groupBy(_language().alias("lang")).agg(F.sum("f").alias("n"))
+    named = F.expr("substring(line, locate(' ', cast(line as string)) + 1)")
+    level = materialize(_ranked(counts.where(F.col("f") >= min_count), "frequent-words").select(
+        "gid", "line", _language().alias("lang"), named.alias("phrase"), named.alias("last"), "f", F.array("f").alias("heads"),
         F.array("f").alias("tails")), "phrases-1")
     many = level.count()
-    names = level.select("lang", F.col("phrase").alias("word"), "gid")
-    names = words.join(F.broadcast(names) if many <= BROADCAST_SYMBOLS else names, ["lang", "word"])
-    chunks = _renamed(chunks.where("idx = -1"), names.select("chunk", F.col("idx").alias("code"), "gid"), 0)
+    chunks = _named(chunks, words, level, many)
     levels = []
     for n in range(2, longest + 1):
         chunks, symbols = materialize(chunks, f"chunks-{n}"), many

@@ -22,7 +22,7 @@ from collections import defaultdict
 import numpy as np
 
 #: A worker forgets its words beyond this many, or this many bytes of them.
-CACHE_WORDS, CACHE_BYTES = 400_000, 16_000_000
+CACHE_WORDS, CACHE_BYTES = 600_000, 16_000_000
 #: Fixed: the split pattern of the vocabulary file, for lower-case words of the characters below.
 ACCENTED = "".join(chr(c) for c in range(0xC0, 0x180) if c not in (0xD7, 0xF7, 0x130, 0x149, 0x17F))
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[a-z" + ACCENTED.lower() + "]+|[0-9]|[^a-z" + ACCENTED.lower() + "0-9]+"
@@ -91,7 +91,8 @@ class WordBPE:
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self._row) > CACHE_WORDS or self._bytes > CACHE_BYTES:
             self._reset()
-        split = [t.split() for t in texts]
+        # the vocabulary is of lower-case words; only an added token must keep its case
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         words = list(itertools.chain.from_iterable(split))
         row = np.fromiter(map(self._row.__getitem__, words), np.int64, len(words))
         new = list(itertools.islice(reversed(self._row), len(self._row) - len(self._size)))

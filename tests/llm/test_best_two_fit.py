@@ -19,7 +19,7 @@ def whole():
 
 def _random_text(rng):
     alphabet = ["a", "B", "é", "ß", "Σ", "İ", "日", "本", "9", "²", "'s", "'re", ".", "!?", " ", "  ", "\n", "\t", "\x0b", "\x0c",
-                "\x1c", "\x85", "\xa0", " ", "́", "̸", "=", "<|endoftext|>", "<|startoftext|>", "<|", "\U0001f600", "\0"]
+                "\x1c", "\x85", "\xa0", " ", "́", "̸", "=", "<|endoftext|>", "<|startoftext|>", "<|", "<|ENDOFTEXT|>", "I", "İ", "K", "\U0001f600", "\0"]
     return "".join(rng.choice(alphabet) for _ in range(rng.randrange(40)))
 
 
