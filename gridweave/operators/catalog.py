@@ -22,6 +22,13 @@ def _not_hidden(name_col: str = "name"):
     return ~F.col(name_col).startswith(".")
 
 
+def no_clash(df: DataFrame, taken: Sequence[str]) -> None:
+    """Refuse a frame that has columns of the names an operator returns itself."""
+    clash = sorted({c.lower() for c in df.columns} & {c.lower() for c in taken})
+    if clash:
+        raise ValueError(f"columns {', '.join(clash)} are also columns of the result: rename them")
+
+
 def query_key(col) -> F.Column:
     """Directory key of a query path: canonical absolute form, no trailing slash."""
     return F.regexp_replace(canonical_lfn(col), r"(.)/+$", "$1")
@@ -35,8 +42,10 @@ def match_query(catalog: DataFrame, queries: DataFrame, query_col: str = "query"
     its entries twice, as a concatenated list of query results does.  The match is an equality
     join on the stored ``dir`` column.  The query table (one row per task input) is broadcast
     when its measured bytes allow it (``broadcast_queries=None``), so the catalog is scanned once
-    and never shuffled for the match; beyond that the planner picks a shuffle join.
+    and never shuffled for the match; beyond that the planner picks a shuffle join.  A column that
+    both frames have is refused.
     """
+    no_clash(queries, catalog.columns)
     q = queries.withColumn("_qdir", query_key(query_col))
     if broadcast_queries is None:
         q = broadcast_if_small(q)
@@ -138,8 +147,10 @@ def find_files(catalog: DataFrame, wanted: DataFrame, lfn_col: str = "lfn",
     as a whole.  For a batch of the catalog's own size the plain join is cheaper.
 
     Returns the wanted rows plus ``status`` (``Successful``/``Failed``), ``message``
-    (``File <lfn> not found``) and the catalog's ``creation_date``/``metadata`` when found.
+    (``File <lfn> not found``, or ``File without a name``) and the catalog's ``creation_date`` and
+    ``metadata`` (as ``cat_...``) when found.  Wanted rows that have such columns are refused.
     """
+    no_clash(wanted, ["status", "message", "cat_creation_date", "cat_metadata"])
     w = wanted.withColumn("_key", canonical_lfn(lfn_col))
     c = catalog.select(F.col("lfn").alias("_key"), F.lit(True).alias("_hit"),
                        F.col("creation_date").alias("cat_creation_date"),
@@ -152,6 +163,7 @@ def find_files(catalog: DataFrame, wanted: DataFrame, lfn_col: str = "lfn",
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     return (j.withColumn("status", F.when(hit, F.lit(FOUND)).otherwise(F.lit(NOT_FOUND)))
              .withColumn("message", F.when(hit, F.lit(None).cast("string"))
+                         .when(F.col(lfn_col).isNull(), F.lit("File without a name"))
                          .otherwise(F.concat(F.lit("File "), F.col(lfn_col), F.lit(" not found"))))
              .drop("_key", "_hit"))
 
@@ -167,8 +179,10 @@ def add_entries(catalog: DataFrame, new: DataFrame, key: str = "lfn", seq: str =
     minimum a hash aggregate.  First/last rows come from an aggregation joined back, so a key
     repeated very often is split by the join (adaptive skew handling) rather than ranked in one
     task.  ``prefilter=True`` semi-joins the catalog to the batch's keys first (small batch,
-    huge catalog), as in :func:`find_files`.
+    huge catalog), as in :func:`find_files`.  New rows that have a column ``status``, ``replaced``
+    or ``message`` are refused.
     """
+    no_clash(new, ["status", "replaced", "message"])
     pick = F.max(seq) if override else F.min(seq)
     chosen = new.groupBy(key).agg(pick.alias("_chosen"))
     existing = catalog.select(F.col(key).alias(key))

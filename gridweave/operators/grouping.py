@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.operators._joins import broadcast_if_small, null_safe_join
+from gridweave.operators.catalog import no_clash
 from gridweave.session import checkpoint_dir
 
 # Rows above which one key is numbered with the split method.
@@ -39,9 +40,11 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: str, method: str = "a
     """Add ``rn`` (1, 2, ...) numbering the rows of every key by ``order`` (unique per key).
 
     Null is a key like any other, in both methods.  With ``first`` only the first rows of every
-    key are kept; in the window method Spark then drops the others before its shuffle.
+    key are kept; in the window method Spark then drops the others before its shuffle.  The columns
+    ``rn``, ``_pid``, ``_pos``, ``_first`` and ``_before`` are refused in the input.
     """
     keys = list(keys)
+    no_clash(df, ["rn", "_pid", "_pos", "_first", "_before"])
     if method == "auto":
         # no key is larger than the whole input: a count (no column read) settles small inputs
         if df.count() <= hot_rows:
@@ -87,28 +90,35 @@ def fixed_groups(df: DataFrame, keys: Sequence[str], order: str, size: int | str
     Returns ``keys..., gid, members, n``: ``gid`` counts from 0, ``members`` holds ``value``
     (default ``order``) in order.  Keys with fewer than ``size`` rows give no group; the tail
     after the last full group is dropped.  ``max_groups`` keeps the first groups of every key and
-    ranks no more rows than those need.
+    ranks no more rows than those need.  The input may have columns of any name; keys named
+    ``gid``, ``members`` or ``n`` are refused, as the result has such columns itself.
     """
     keys = list(keys)
+    no_clash(df.select(*keys), ["gid", "members", "n"])
     value = value or order
     if isinstance(size, str):
         if max_groups is not None:
             raise ValueError("max_groups needs one size for all keys")
-        df = df.withColumn("_size", F.col(size).cast("long"))
-        df = df.filter(F.when(F.col("_size") > 0, True).otherwise(F.when(
-            F.col("_size").isNotNull(), F.raise_error(F.lit("group size must be positive")).cast("boolean"))))
+        own_size = F.col(size).cast("long")
     elif size <= 0:
         raise ValueError("group size must be positive")
     else:
-        df = df.withColumn("_size", F.lit(size).cast("long"))
-    base = df.select(*dict.fromkeys([*keys, order, value]), "_size")
-    ranked = rank_within(base, keys, order, method, hot_rows, None if max_groups is None else max_groups * size)
+        own_size = F.lit(size).cast("long")
+    # own names from here on, so that no column of the caller's is in the way
+    own = [f"_k{i}" for i in range(len(keys))]
+    base = df.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(order).alias("_order"),
+                     *([F.col(value).alias("_value")] if value != order else []), own_size.alias("_size"))
+    if isinstance(size, str):
+        base = base.filter(F.when(F.col("_size") > 0, True).otherwise(F.when(
+            F.col("_size").isNotNull(), F.raise_error(F.lit("group size must be positive")).cast("boolean"))))
+    ranked = rank_within(base, own, "_order", method, hot_rows, None if max_groups is None else max_groups * size)
     ranked = ranked.withColumn("gid", F.floor((F.col("rn") - 1) / F.col("_size")).cast("long"))
-    groups = ranked.groupBy(*keys, "gid", "_size").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("rn"), F.col(value).alias("v")))).alias("_m"),
+    groups = ranked.groupBy(*own, "gid", "_size").agg(
+        F.array_sort(F.collect_list(F.struct("rn", F.col("_value" if value != order else "_order").alias("v")))).alias("_m"),
         F.count(F.lit(1)).alias("n"))
     return (groups.filter(F.col("n") == F.col("_size"))
-                  .select(*keys, "gid", F.transform("_m", lambda m: m["v"]).alias("members"), "n"))
+                  .select(*[F.col(o).alias(k) for k, o in zip(keys, own, strict=True)], "gid",
+                          F.transform("_m", lambda m: m["v"]).alias("members"), "n"))
 
 
 def group_limit(groups: DataFrame, n: int) -> DataFrame:

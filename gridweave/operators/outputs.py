@@ -67,7 +67,7 @@ def route_outputs(outputs: DataFrame, output_paths: DataFrame, output_sandbox: D
 
     ``output_paths`` is ``(keys..., output_name, lfn)``, ``output_sandbox`` ``(keys...,
     output_name)``.  Returns the output rows with ``to_catalog``, ``to_sandbox``, ``target``
-    (catalog LFN of the file) and ``error`` (an output without source path is rejected).  An output
+    (catalog LFN of the file) and ``error`` (an output whose source path is null or empty is rejected).  An output
     named several times in ``output_paths`` takes the smallest LFN.
     """
     keys = list(keys)
@@ -76,7 +76,7 @@ def route_outputs(outputs: DataFrame, output_paths: DataFrame, output_sandbox: D
              .unionByName(output_sandbox.select(*k, F.lit(None).cast("string").alias("_lfn"), F.lit(True).alias("_sb"))))
     sides = sides.groupBy(*k).agg(F.min("_lfn").alias("_lfn"), F.bool_or("_sb").alias("_sb"))
     j = outputs.join(sides, k, "left")
-    no_src = F.col("path").isNull() & F.col("error").isNull()
+    no_src = (F.coalesce("path", F.lit("")) == "") & F.col("error").isNull()
     return (j.withColumn("to_catalog", F.col("_lfn").isNotNull() & ~no_src)
              .withColumn("to_sandbox", F.coalesce(F.col("_sb"), F.lit(False)) & ~no_src)
              .withColumn("target", F.when(F.col("_lfn").isNotNull() & ~no_src, target_name(F.col("_lfn"), F.col("path"))))

@@ -14,6 +14,7 @@ from gridweave.operators.catalog import (
     upsert_metadata,
 )
 from gridweave.operators.grouping import HOT_ROWS, fixed_groups, group_limit, union_queries, zip_groups
+from gridweave.operators.patterns import match_pattern_table
 from gridweave.operators.jobs import EXECUTABLE_LINE, render_job_text
 from gridweave.plans.inputs import (
     FLAGSHIP_GROUP,
@@ -105,6 +106,23 @@ def catalog_import_lineitem(spark, sf):
         return kept_result(union_queries(*counted).select("form", "dir", "n_files", "n_names", "epochs"))
 
 
+def match_pattern_table_events(spark, sf):
+    """One directory query with wildcards per (user, kind of pattern), taken from a table, against the
+    catalog ``/events/<event_type>/<user_id>/<event_id>``."""
+    ev = table(spark, sf, "events")
+    user = F.col("user_id").cast("string")
+    cat = catalog_from_parts(ev, F.concat(F.lit("/events/"), F.col("event_type"), F.lit("/"), user), F.col("event_id").cast("string"))
+
+    def row(kind, before, after=""):
+        return F.struct(F.lit(kind).alias("kind"), F.concat(F.lit(before), user, F.lit(after)).alias("pattern"))
+
+    kinds = F.array(row("any", "lfn:/events/*/"), row("one", "/events/c[kl-n]ic?/"), row("not", "/events/[!a-r]i*/"),
+                    row("below", "/events/view/", "?"), row("plain", "/events/signup/", "/"), row("none", "/events/", "/*"),
+                    row("root", "/*/error/"))
+    asked = ev.select("user_id").distinct().select("user_id", F.inline(kinds))
+    return match_pattern_table(cat, asked).select("user_id", "kind", "pattern", "lfn")
+
+
 def find_files_lineitem(spark, sf):
     """Look up every line's file (written with ``lfn:``, ``LFN:`` or no prefix) in a catalog that
     holds only the finished lines (linestatus F)."""
@@ -304,7 +322,20 @@ UNION ALL SELECT 2, '/events/click/' || event_id FROM events WHERE event_type =
 UNION ALL SELECT 3, '/events/' || event_type || '/' || event_id FROM events WHERE event_type LIKE 's%'
 """
 
+_PATTERNS_SQL = """
+WITH u AS (SELECT DISTINCT user_id FROM events),
+e AS (SELECT user_id AS own, event_type, '/events/' || event_type || '/' || user_id || '/' || event_id AS lfn FROM events)
+SELECT user_id, 'any' AS kind, 'lfn:/events/*/' || user_id AS pattern, lfn FROM u JOIN e ON own = user_id
+UNION ALL SELECT user_id, 'one', '/events/c[kl-n]ic?/' || user_id, lfn FROM u JOIN e ON own = user_id AND event_type = 'click'
+UNION ALL SELECT user_id, 'not', '/events/[!a-r]i*/' || user_id, lfn FROM u JOIN e ON own = user_id AND event_type IN ('view', 'signup')
+UNION ALL SELECT user_id, 'below', '/events/view/' || user_id || '?', lfn
+          FROM u JOIN e ON own // 10 = user_id AND own >= 10 AND event_type = 'view'
+UNION ALL SELECT user_id, 'plain', '/events/signup/' || user_id || '/', lfn FROM u JOIN e ON own = user_id AND event_type = 'signup'
+UNION ALL SELECT user_id, 'root', '/*/error/' || user_id, lfn FROM u JOIN e ON own = user_id AND event_type = 'error'
+"""
+
 QUERIES = {
+    "match_pattern_table_events": (match_pattern_table_events, _PATTERNS_SQL),
     "transformation_jobs": (transformation_jobs, _FLAGSHIP_SQL),
     "catalog_match_lineitem": (catalog_match_lineitem, _MATCH_SQL),
     "catalog_snapshot_lineitem": (catalog_snapshot_lineitem, _SNAPSHOT_SQL),

@@ -21,7 +21,7 @@ def _stdout():
                             eid, F.lit('/b.txt"}], "empty": []}')))
              .when(F.col("event_type") == "purchase",
                    F.concat(F.lit('{"result": [null], "data": {"path": "/out/'), eid, F.lit("/k"), k,
-                            F.lit('.dat"}}')))
+                            F.lit('.dat"}, "note": {"path": ""}}')))
              .when(F.col("event_type") == "signup", F.lit('{"result": ""}'))
              .otherwise(F.concat(F.lit("Traceback: job "), eid, F.lit(" failed"))))
 
@@ -38,7 +38,8 @@ def parse_outputs_events(spark, sf):
 
 def route_outputs_events(spark, sf):
     """Successful jobs only; ``result`` goes to the user's catalog folder (and to the sandbox for
-    views), ``data`` of purchases to the catalog and the sandbox."""
+    views), ``data`` and ``note`` of purchases to the catalog and ``data`` to the sandbox; a note has an
+    empty path."""
     ok, _ = succeeded(_jobs(spark, sf))
     outs = parse_outputs(ok, ["job_id"])
     uid = F.col("user_id").cast("string")
@@ -48,7 +49,7 @@ def route_outputs_events(spark, sf):
         return F.struct(F.lit(output).alias("output_name"), F.concat(F.lit(folder), uid).alias("lfn"))
 
     paths = ok.select("job_id", F.inline(F.array_compact(F.array(
-        entry("result", "lfn:/store/"), F.when(purchase, entry("data", "lfn:/data/"))))))
+        entry("result", "lfn:/store/"), F.when(purchase, entry("data", "lfn:/data/")), F.when(purchase, entry("note", "lfn:/note/"))))))
     kept = F.when(F.col("event_type") == "view", F.lit("result")).when(purchase, F.lit("data"))
     sandbox = ok.select("job_id", kept.alias("output_name")).filter(F.col("output_name").isNotNull())
     routed = route_outputs(outs, paths, sandbox, ["job_id"])
@@ -74,7 +75,7 @@ def first_target_events(spark, sf):
 _STDOUT_SQL = """CASE event_type
   WHEN 'click' THEN '{"result": {"path": "/out/' || event_id || '/click.txt"}, "log": null}'
   WHEN 'view' THEN '{"result": [{"path": "/out/' || event_id || '/a.txt"}, null, {"path": "/out/' || event_id || '/b.txt"}], "empty": []}'
-  WHEN 'purchase' THEN '{"result": [null], "data": {"path": "/out/' || event_id || '/k' || json_extract_string(props, '$.k') || '.dat"}}'
+  WHEN 'purchase' THEN '{"result": [null], "data": {"path": "/out/' || event_id || '/k' || json_extract_string(props, '$.k') || '.dat"}, "note": {"path": ""}}'
   WHEN 'signup' THEN '{"result": ""}'
   ELSE 'Traceback: job ' || event_id || ' failed' END"""
 
@@ -105,15 +106,16 @@ _PARSE_SQL = "WITH " + _parse_sql() + "\nSELECT * FROM parsed"
 
 _ROUTE_SQL = "WITH " + _parse_sql("WHERE event_type <> 'error'") + """,
 paths AS (SELECT job_id, 'result' AS output_name, 'lfn:/store/' || user_id AS lfn FROM s
-          UNION ALL SELECT job_id, 'data', 'lfn:/data/' || user_id FROM s WHERE event_type = 'purchase'),
+          UNION ALL SELECT job_id, 'data', 'lfn:/data/' || user_id FROM s WHERE event_type = 'purchase'
+          UNION ALL SELECT job_id, 'note', 'lfn:/note/' || user_id FROM s WHERE event_type = 'purchase'),
 sb AS (SELECT job_id, 'result' AS output_name FROM s WHERE event_type = 'view'
        UNION ALL SELECT job_id, 'data' FROM s WHERE event_type = 'purchase')
 SELECT p.job_id, p.output_name, p.pos, p.path,
-       (paths.lfn IS NOT NULL AND NOT (p.path IS NULL AND p.error IS NULL)) AS to_catalog,
-       (sb.job_id IS NOT NULL AND NOT (p.path IS NULL AND p.error IS NULL)) AS to_sandbox,
-       CASE WHEN paths.lfn IS NOT NULL AND NOT (p.path IS NULL AND p.error IS NULL)
+       (paths.lfn IS NOT NULL AND NOT (coalesce(p.path, '') = '' AND p.error IS NULL)) AS to_catalog,
+       (sb.job_id IS NOT NULL AND NOT (coalesce(p.path, '') = '' AND p.error IS NULL)) AS to_sandbox,
+       CASE WHEN paths.lfn IS NOT NULL AND NOT (coalesce(p.path, '') = '' AND p.error IS NULL)
             THEN paths.lfn || '/' || list_extract(string_split(p.path, '/'), -1) END AS target,
-       CASE WHEN p.path IS NULL AND p.error IS NULL
+       CASE WHEN coalesce(p.path, '') = '' AND p.error IS NULL
             THEN 'src_path parameter required for filesystem storage of ' || p.output_name ELSE p.error END AS error
 FROM parsed p
 LEFT JOIN paths ON p.job_id = paths.job_id AND p.output_name = paths.output_name
