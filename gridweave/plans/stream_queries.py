@@ -21,6 +21,7 @@ from gridweave.streaming.grouping import (
     stream_zip_groups_batched,
 )
 from gridweave.streaming.jobs import run_jobs_to_table, run_to_table
+from gridweave.streaming.seen import stream_new_entries_batched
 
 # Files of a table taken per micro-batch, and the sizes of the groups of one user's events.
 FILES_PER_BATCH = 4
@@ -141,6 +142,13 @@ SELECT c.user_id, c.gid,
        'InputData = ' || c.refs || ', ' || v.refs || ';' AS jdl
 {_PAIRS}"""
 
+def stream_new_entries_batched_lineitem(spark, sf):
+    """Every order announced by its lines, once: the seen keys as a filtered table on shared storage."""
+    li = _table_stream(spark, sf, "lineitem").select(F.concat(F.lit("/orders/"), F.col("l_orderkey").cast("string")).alias("lfn"))
+    return _batched(spark, "new-entries", lambda base: stream_new_entries_batched(
+        li, "lfn", f"{base}/data", f"{base}/state", f"{base}/_checkpoint")).select("lfn")
+
+
 QUERIES = {
     "stream_fixed_groups_events": (stream_fixed_groups_events, _USER_GROUPS_SQL),
     "stream_fixed_groups_batched_events": (stream_fixed_groups_batched_events, _GROUPS_SQL),
@@ -148,5 +156,7 @@ QUERIES = {
     "stream_zip_groups_batched_events": (stream_zip_groups_batched_events, _USER_ZIP_SQL),
     "stream_new_entries_lineitem": (stream_new_entries_lineitem,
                                     "SELECT DISTINCT '/orders/' || l_orderkey AS lfn FROM lineitem"),
+    "stream_new_entries_batched_lineitem": (stream_new_entries_batched_lineitem,
+                                            "SELECT DISTINCT '/orders/' || l_orderkey AS lfn FROM lineitem"),
     "stream_jobs_events": (stream_jobs_events, _STREAM_JOBS_SQL),
 }
