@@ -2,8 +2,9 @@
 
 A batch is cut into pretokens with array operations on its code points, every distinct pretoken is
 merged once, and the ids are gathered back.  The ids equal those of the ``tokenizers`` library on
-the same file (tested); a text with a code point whose class has changed between Unicode versions,
-or outside the basic plane, is encoded by that library itself.
+the same file, with its default settings (tested); a text with a code point whose class has changed
+between Unicode versions, or outside the basic plane, or with the string of an added token, is
+encoded by that library itself.
 """
 
 from __future__ import annotations
@@ -65,6 +66,7 @@ class ByteBPE:
             spec = json.load(f)
         alphabet = _byte_alphabet()
         special = {t["content"] for t in spec.get("added_tokens", ())}
+        self._special = sorted(special)
         self.ranks = {bytes(alphabet[c] for c in word): i
                       for word, i in spec["model"]["vocab"].items() if word not in special}
         self._merge = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=self.ranks,
@@ -78,7 +80,6 @@ class ByteBPE:
 
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             self._whole = Tokenizer.from_file(self.path)
-            self._whole.encode_special_tokens = True
         return self._whole.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +99,8 @@ class ByteBPE:
     def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cps, cls, ends = self._classes(texts)
         doubtful = np.unique(np.searchsorted(ends, np.flatnonzero(cls == UNSURE)))
-        slow = {int(i): np.array(self._slow(texts[i]), np.int32) for i in doubtful}
+        marked = [i for i, t in enumerate(texts) if any(s in t for s in self._special)]
+        slow = {int(i): np.array(self._slow(texts[i]), np.int32) for i in {*doubtful.tolist(), *marked}}
         if slow:
             texts = ["" if i in slow else t for i, t in enumerate(texts)]
             cps, cls, ends = self._classes(texts)

@@ -3,8 +3,10 @@
 Every task packs its own rows as they come.  Whole windows are cut off a document first; its tail
 goes to the open window whose use makes the sum over fill levels of (open windows at that level)
 squared smallest, or to a new window if that is smaller.  ``levels[h]`` counts the open windows
-with h ids, and at the end of a task the open windows are closed into each other by cutting, so a
-task leaves at most one window short.
+with h ids.  Cuts are free: when a task holds as many open windows as it may, a tail that fits none of
+them fills one up, of the level where that lowers the sum of squares most, and its rest is placed
+again.  At the end of a task the open windows are closed into each other by cutting, so a task leaves
+at most one window short.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from gridweave.llm import bpe
 from gridweave.llm.common import text_or_empty
 
 WINDOW, END_ID = 2048, 1
-#: Open windows a task may hold; at that number they are closed into each other (nothing is lost).
-MAX_OPEN = 4096
+#: Open windows a task may hold; at that number tails are cut rather than given a new window.
+MAX_OPEN = 1024
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, ids binary")
@@ -39,8 +41,8 @@ class Packer:
         self.open: dict[int, list] = {}
         self.n_open = 0
 
-    def place(self, size: int) -> int:
-        """The fill level that takes ``size`` ids at the least sum of squares (0: a new window).
+    def place(self, size: int, fresh: bool = True) -> int:
+        """The fill level that takes ``size`` ids at the least sum of squares (0: a new window, or without ``fresh`` none).
 
         Moving a window from h to h + size changes the sum by 2 (levels[h + size] - levels[h]) + 2,
         a full window by -2 levels[h] + 1, a new one by 2 levels[size] + 1.  Ties go to the fullest.
@@ -50,7 +52,7 @@ class Packer:
             return 0
         cost = 2 * (self.levels[size:self.window + 1] - self.levels[:room + 1]) + 2
         cost[room] = 1 - 2 * self.levels[room]
-        cost[0] = 2 * self.levels[size] + 1
+        cost[0] = 2 * self.levels[size] + 1 if fresh else np.iinfo(np.int64).max
         cost[1:][self.levels[1:room + 1] == 0] = np.iinfo(np.int64).max
         return int(room - np.argmin(cost[::-1]))
 
@@ -59,22 +61,27 @@ class Packer:
         whole = n - n % self.window
         for at in range(0, whole, self.window):
             done.append([(doc, at, ids[at:at + self.window], n)])
-        size = n - whole
-        if size:
-            h = self.place(size)
+        at = whole
+        while at < n:
+            size = n - at
+            fresh = self.n_open < self.max_open
+            h = self.place(size, fresh)
+            if not fresh and self.levels[h] == 0:  # it fits no open window: the level that loses most by one filled up
+                least = max(1, self.window - size + 1)
+                h = least + int(np.argmax(self.levels[least:self.window]))
+                size = self.window - h
             win = self.open[h].pop() if h else []
             if h:
                 self.levels[h] -= 1
                 self.n_open -= 1
-            win.append((doc, whole, ids[whole:].copy(), n))
+            win.append((doc, at, ids[at:at + size].copy(), n))
+            at += size
             if h + size == self.window:
                 done.append(win)
             else:
                 self.open.setdefault(h + size, []).append(win)
                 self.levels[h + size] += 1
                 self.n_open += 1
-                if self.n_open >= self.max_open:
-                    done += self.close()
         return done
 
     def close(self) -> list[list]:
