@@ -164,7 +164,7 @@ def _line_seq():
 
 def add_entries_orders(spark, sf):
     """Insert-if-absent of one entry per line into a catalog of the orders before 1998."""
-    out = add_entries(_orders_catalog(spark, sf), _line_updates(spark, sf), key="lfn", seq="seq")
+    out = add_entries(_orders_catalog(spark, sf), _line_updates(spark, sf).drop("status"), key="lfn", seq="seq")
     return out.select("lfn", "l_linenumber", "l_partkey", "l_suppkey", "status", "message")
 
 
