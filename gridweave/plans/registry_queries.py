@@ -15,6 +15,7 @@ from gridweave.operators.refs import (
     staged_inputs,
 )
 from gridweave.operators.grouping import rank_within, union_queries
+from gridweave.operators.plugin_fields import validate_plugin_fields
 from gridweave.operators.registry import (
     list_organizations,
     list_plugins,
@@ -187,6 +188,38 @@ def validate_descriptors_documents(spark, sf):
     return out.select("doc_id", F.array_join("errors", "; ").alias("errors"), "valid")
 
 
+# Fixed values of the stand-in: the fields of the known plugins (plugin, field, type, required).
+PLUGIN_FIELDS = [(p, *f) for p in KNOWN_PLUGINS for f in (
+    ("campaign", "str", True), ("events", "int", True), ("input", "File", True), ("sandbox", "list[str]", False))]
+
+
+def validate_plugin_fields_documents(spark, sf):
+    """Documents as descriptors of the plugin named after their language: some without a campaign,
+    with a number of events that is none, a file without a path, a sandbox that is no list, an owner
+    that the plugin does not know, and some that are no objects."""
+    d, lab = table(spark, sf, "documents"), table(spark, sf, "labels")
+    j, n = d.join(lab, "doc_id", "left"), F.col("doc_id")
+
+    def field(name, value):
+        return F.concat(F.lit(f'"{name}": '), value)
+
+    def quoted(c):
+        return F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+
+    path = F.when(F.col("quality") == 0, F.lit("")).otherwise(F.concat(F.lit("/docs/"), n.cast("string")))
+    fields = F.concat_ws(
+        ", ", F.when(n % 5 != 0, field("campaign", quoted(n))),
+        field("events", F.when(n % 3 == 0, n.cast("string")).when(n % 3 == 1, quoted(n)).otherwise(F.lit('"many"'))),
+        field("input", F.concat(F.lit('{"class": "File", "path": '), quoted(path), F.lit("}"))),
+        field("sandbox", F.when(n % 7 == 0, quoted(n)).otherwise(F.concat(F.lit("["), quoted(n), F.lit("]")))),
+        F.when(F.coalesce("toxic", F.lit(0)) == 1, field("owner", F.lit("1"))))
+    json = F.when(n % 11 == 0, F.concat(F.lit("["), n.cast("string"), F.lit("]"))).otherwise(
+        F.concat(F.lit("{"), fields, F.lit("}")))
+    rules = spark.createDataFrame(PLUGIN_FIELDS, "plugin string, field string, type string, required boolean")
+    out = validate_plugin_fields(j.select("doc_id", F.col("lang").alias("hook_plugin"), json.alias("descriptor")), rules)
+    return out.select("doc_id", F.array_join("errors", "; ").alias("errors"), "valid")
+
+
 def _conversation_outputs(spark, sf, root: str) -> None:
     """Write the turns of every JOB_CONVERSATIONS conversations as the files of one job folder: user
     turns as ``.out``, all others as ``.txt``."""
@@ -407,6 +440,21 @@ e AS (SELECT doc_id, concat_ws('; ',
 SELECT doc_id, errors, errors = '' AS valid FROM e
 """
 
+_PLUGIN_FIELDS_SQL = """
+WITH t AS (SELECT doc_id, coalesce(nullif(lang, ''), 'QueryBasedPlugin') AS plugin, quality, coalesce(toxic, 0) AS toxic
+           FROM documents LEFT JOIN labels USING (doc_id)),
+e AS (SELECT doc_id, CASE
+    WHEN plugin NOT IN ('en', 'de', 'fr') THEN 'Unknown execution hooks plugin: ' || plugin
+    WHEN doc_id % 11 = 0 THEN 'descriptor is not a JSON object'
+    ELSE concat_ws('; ',
+        CASE WHEN doc_id % 5 = 0 THEN 'missing field: campaign' END,
+        CASE WHEN doc_id % 3 = 2 THEN 'wrong type for events: not int' END,
+        CASE WHEN quality = 0 THEN 'wrong type for input: not File' END,
+        CASE WHEN doc_id % 7 = 0 THEN 'wrong type for sandbox: not list[str]' END,
+        CASE WHEN toxic = 1 THEN 'unexpected field: owner' END) END AS errors FROM t)
+SELECT doc_id, errors, errors = '' AS valid FROM e
+"""
+
 _FALLBACK_SQL = """
 SELECT o_orderstatus, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total_price, 'SE-2' AS stored_on
 FROM orders GROUP BY o_orderstatus
@@ -418,6 +466,7 @@ QUERIES = {
     "list_plugins_suppliers": (list_plugins_suppliers, _LIST_PLUGINS_SQL),
     "staged_inputs_lineitem": (staged_inputs_lineitem, _STAGED_SQL),
     "validate_descriptors_documents": (validate_descriptors_documents, _DESCRIPTORS_SQL),
+    "validate_plugin_fields_documents": (validate_plugin_fields_documents, _PLUGIN_FIELDS_SQL),
     "read_parameters_conversations": (read_parameters_conversations, _PARAMS_SQL),
     "list_files_conversations": (list_files_conversations, _LIST_SQL),
     "merge_text_outputs_conversations": (merge_text_outputs_conversations, _MERGE_SQL),
