@@ -79,13 +79,12 @@ TYPES = {
 }
 
 
-def _fits(v: Column, type_name: Column) -> Column:
-    """Whether a value has the type a rule names; a trailing ``?`` also allows a JSON null."""
-    base = F.regexp_replace(type_name, r"\?$", "")
+def _fits(v: Column, r: Column) -> Column:
+    """Whether a value has the type of a rule, or is a JSON null that the rule allows."""
     test = F.lit(False)
     for name, is_type in TYPES.items():
-        test = F.when(base == name, is_type(v)).otherwise(test)
-    return F.coalesce(test, F.lit(False)) | (type_name.endswith("?") & (_kind(v) == "VOID"))
+        test = F.when(r["base"] == name, is_type(v)).otherwise(test)
+    return F.coalesce(test, F.lit(False)) | (r["nullable"] & (_kind(v) == "VOID"))
 
 
 def validate_plugin_fields(descriptors: DataFrame, rules: DataFrame, descriptor: str = "descriptor",
@@ -107,12 +106,13 @@ def validate_plugin_fields(descriptors: DataFrame, rules: DataFrame, descriptor:
     it measures small, and joined otherwise.
     """
     no_clash(descriptors, ["errors", "valid", "_rules", "_fields", "_plugin"])
-    odd = rules.where(F.col("field").isNotNull() & (F.col("type").isNull() | ~F.regexp_replace("type", r"\?$", "").isin(
-        list(TYPES)))).select("type").first()
+    base = F.regexp_replace("type", r"\?$", "")
+    odd = rules.where(F.col("field").isNotNull() & ~F.coalesce(base.isin(list(TYPES)), F.lit(False))).select("type").first()
     if odd:
         raise ValueError(f"unknown field type: {odd[0]!r}")
     rule = F.struct(F.col("field").alias("field"), F.col("type").alias("type"),
-                    F.coalesce("required", F.lit(False)).alias("required"))
+                    F.coalesce("required", F.lit(False)).alias("required"), base.alias("base"),
+                    F.col("type").endswith("?").alias("nullable"))
     per_plugin = rules.where(F.col("plugin").isNotNull()).groupBy(F.col("plugin").alias("_key")).agg(
         F.array_sort(F.collect_set(F.when(F.col("field").isNotNull(), rule))).alias("_rules"))
     own = F.when(F.coalesce(plugin, F.lit("")) == "", F.lit(DEFAULT_PLUGIN)).otherwise(F.col(plugin))
@@ -128,7 +128,7 @@ def validate_plugin_fields(descriptors: DataFrame, rules: DataFrame, descriptor:
         value = F.col("_fields")[r["field"]]
         there = F.array_contains(names, r["field"])
         return (F.when(~there & r["required"], F.concat(F.lit("missing field: "), r["field"]))
-                 .when(there & ~_fits(value, r["type"]),
+                 .when(there & ~_fits(value, r),
                        F.concat(F.lit("wrong type for "), r["field"], F.lit(": not "), r["type"])))
 
     found = F.filter(F.transform("_rules", message), lambda m: m.isNotNull())

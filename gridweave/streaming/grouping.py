@@ -8,6 +8,7 @@ The pending list of a key never holds more than ``size - 1`` entries between bat
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 import pandas as pd
@@ -17,8 +18,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from gridweave.operators._joins import null_safe_join
-from gridweave.session import checkpoint_dir
+from gridweave.session import checkpoint_dir, delete_path, path_exists
 from gridweave.sources.catalog import CATALOG_SCHEMA
+from gridweave.streaming.jobs import POLL_INTERVAL
 from gridweave.streaming.state import KeyedState
 
 
@@ -57,7 +59,7 @@ def _fixed_groups_fn(keys: Sequence[str], size: int, flush_on_timeout: int):
     def fn(key, pdfs, state):
         if state.hasTimedOut:
             values, next_gid = state.get
-            state.remove()
+            state.update(([], next_gid + (len(values) > 0)))
             if len(values):
                 yield emit(key, next_gid, [list(values)])
             return
@@ -82,7 +84,7 @@ def stream_fixed_groups(stream: DataFrame, keys: Sequence[str], order: str, size
 
     Inside a micro-batch entries are taken in ``order``; entries waiting from earlier batches come
     first.  Returns ``keys..., gid, members (array<string>), n``.  With ``flush_after_ms`` a key
-    that receives nothing for that long emits its incomplete tail as a last, short group.
+    that receives nothing for that long emits its incomplete tail as a short group; its ids go on after it.
     """
     keys = list(keys)
     value = value or order
@@ -150,8 +152,19 @@ def stream_zip_groups(stream: DataFrame, keys: Sequence[str], input_col: str, in
         _zip_fn(keys, inputs, size), out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
 
 
+def _batch_time(spark: SparkSession, path: str, batch_id: int, now_ms: int | None) -> int:
+    """The time of a batch in milliseconds, written down so that a replay of the batch takes it again."""
+    folder = f"{path.rstrip('/')}/clock/batch_id={batch_id}"
+    if not path_exists(spark, f"{folder}/_SUCCESS"):
+        now = int(time.time() * 1000) if now_ms is None else now_ms
+        spark.range(1).select(F.lit(now).cast("long").alias("now")).write.mode("overwrite").parquet(folder)
+        delete_path(spark, f"{path.rstrip('/')}/clock/batch_id={batch_id - 2}")
+    return spark.read.schema("now long").parquet(folder).first()[0]
+
+
 def fixed_groups_batch_step(batch: DataFrame, batch_id: int, keys: Sequence[str], order: str, size: int,
-                            value: str, out_path: str, state_path: str, method: str = "auto") -> None:
+                            value: str, out_path: str, state_path: str, method: str = "auto",
+                            flush_after_ms: int | None = None, now_ms: int | None = None) -> None:
     """One micro-batch of :func:`stream_fixed_groups_batched` (also callable on its own).
 
     Rows of this batch plus the tails of its keys are numbered per key by (arrival batch,
@@ -160,6 +173,11 @@ def fixed_groups_batch_step(batch: DataFrame, batch_id: int, keys: Sequence[str]
     next group id of the keys of this batch to the :class:`KeyedState` at ``state_path``.  Every
     write overwrites its own batch folder, so a replayed batch gives the same files again; a batch
     whose predecessor's state is missing raises.
+
+    With ``flush_after_ms`` the state also holds when a key last received an entry.  A key with a tail that
+    has received nothing for that long, and nothing in this batch, gives its tail as a short group
+    and takes the group id after it; later entries of the key start the next group.  The
+    time is that of the batch's first run (or ``now_ms``), kept beside the state for replays.
     """
     from gridweave.operators.grouping import rank_within
 
@@ -169,42 +187,70 @@ def fixed_groups_batch_step(batch: DataFrame, batch_id: int, keys: Sequence[str]
     new = batch.select(*keys, F.lit(batch_id).cast("long").alias("_arrival"), F.col(order).alias("_o"),
                        F.col(value).cast("string").alias("_v")).checkpoint(eager=True)
     own = [new.schema[k] for k in keys]
-    state = KeyedState(spark, state_path, own, [new.schema[c] for c in ("_arrival", "_o", "_v")])
+    last = T.StructField("last", T.LongType())
+    state = KeyedState(spark, state_path, own, [new.schema[c] for c in ("_arrival", "_o", "_v")],
+                       [last] if flush_after_ms else [])
     before = state.load(batch_id)
     touched = new.select(*keys).distinct()
+    if flush_after_ms:
+        now = _batch_time(spark, state_path, batch_id, now_ms)
+        idle = before[0].filter(F.col("last") <= now - flush_after_ms).select(*keys)
+        idle = null_safe_join(null_safe_join(idle, before[1], keys, "left_semi"), touched, keys, "left_anti")
+        touched = (touched.withColumn("_due", F.lit(False)).unionByName(idle.withColumn("_due", F.lit(True)))
+                   .checkpoint(eager=True))
     rows = new.unionByName(null_safe_join(before[1], touched, keys, "left_semi").select(*new.columns))
     ranked = rank_within(rows.withColumn("_ord", F.struct("_arrival", "_o")), keys, "_ord", method)
     ranked = ranked.withColumn("_g", F.floor((F.col("rn") - 1) / F.lit(size)).cast("long"))
     groups = ranked.groupBy(*keys, "_g").agg(
         F.array_sort(F.collect_list(F.struct("rn", "_arrival", "_o", "_v"))).alias("_m"),
         F.count(F.lit(1)).alias("n"))
+    if flush_after_ms:
+        groups = null_safe_join(groups, touched, keys, "left")
     groups = groups.checkpoint(eager=True)
-    full = groups.filter(F.col("n") == size)
-    start = null_safe_join(full, before[0].withColumnRenamed("n", "next_gid"), keys, "left")
+    whole = (F.col("n") == size) | F.col("_due") if flush_after_ms else F.col("n") == size
+    full = groups.filter(whole)
+    start = null_safe_join(full, before[0].select(*keys, F.col("n").alias("next_gid")), keys, "left")
     out = start.select(*keys, (F.coalesce(F.col("next_gid"), F.lit(0)) + F.col("_g")).alias("gid"),
                        F.transform("_m", lambda m: m["_v"]).alias("members"), "n")
     out.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
     made = full.groupBy(*keys).agg(F.count(F.lit(1)).alias("_made"))
     counters = null_safe_join(null_safe_join(touched, made, keys, "left"), before[0], keys, "left")
-    counters = counters.select(*keys, (F.coalesce("n", F.lit(0)) + F.coalesce("_made", F.lit(0))).alias("n"))
-    tails = groups.filter(F.col("n") < size).select(*keys, F.inline("_m")).drop("rn")
+    counters = counters.select(
+        *keys, (F.coalesce("n", F.lit(0)) + F.coalesce("_made", F.lit(0))).alias("n"),
+        *([F.when(F.col("_due"), F.col("last")).otherwise(F.lit(now)).alias("last")] if flush_after_ms else []))
+    tails = groups.filter(~whole).select(*keys, F.inline("_m")).drop("rn")
     state.store(batch_id, counters.checkpoint(eager=True), tails, before)
 
 
 def stream_fixed_groups_batched(stream: DataFrame, keys: Sequence[str], order: str, size: int,
                                 out_path: str, state_path: str, checkpoint: str, value: str | None = None,
-                                method: str = "auto", trigger: dict | None = None):
+                                method: str = "auto", trigger: dict | None = None,
+                                flush_after_ms: int | None = None):
     """Start a query that cuts arriving entries into full groups with Spark jobs per micro-batch.
 
     The scale alternative to :func:`stream_fixed_groups`: no key is ever handled by one task
     (the batch ranking splits hot keys), state is a pair of tables per batch on shared
     storage (the tail below ``size`` rows per key and the next group id, of the keys that changed),
     and output is exactly once by batch id.  Same groups as :func:`stream_fixed_groups` for the same batches.
+
+    ``flush_after_ms`` also gives the tail of a key that has received nothing for that long.  A tail falls due
+    without any entry arriving, so the entries are then read beside Spark's ``rate`` source, whose one row
+    a second only starts the next micro-batch; such a query runs until it is stopped, by default
+    every :data:`~gridweave.streaming.jobs.POLL_INTERVAL`.
     """
     value = value or order
+    wanted = list(dict.fromkeys([*keys, order, value]))
+    if flush_after_ms:
+        beat = stream.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
+        none = [F.lit(None).cast(stream.schema[c].dataType).alias(c) for c in wanted]
+        stream = (stream.select(*wanted, F.lit(False).alias("_beat"))
+                  .unionByName(beat.select(*none, F.lit(True).alias("_beat"))))
+        trigger = trigger or {"processingTime": POLL_INTERVAL}
 
     def step(batch, batch_id):
-        fixed_groups_batch_step(batch, batch_id, keys, order, size, value, out_path, state_path, method)
+        if flush_after_ms:
+            batch = batch.filter(~F.col("_beat"))
+        fixed_groups_batch_step(batch, batch_id, keys, order, size, value, out_path, state_path, method, flush_after_ms)
 
     w = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()

@@ -16,7 +16,7 @@ COMPACT_EVERY = 16
 
 
 class KeyedState:
-    """One counter and any number of rows per key, versioned by batch id.
+    """One counter (with ``more`` fields beside it) and any number of rows per key, versioned by batch id.
 
     Batch ``i`` writes the keys it touched, with ``_ver = i``; a key's state is what its newest
     version holds.  Batches 0, 16, 32 ... write every key.  Reading the state before a batch needs
@@ -24,10 +24,11 @@ class KeyedState:
     replayed batch overwrites its own folders.  Null keys are keys.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[T.StructField], fields: Sequence[T.StructField]):
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[T.StructField], fields: Sequence[T.StructField],
+                 more: Sequence[T.StructField] = ()):
         self.spark, self.path, self.keys = spark, path.rstrip("/"), [f.name for f in keys]
-        version = T.StructField("_ver", T.LongType())
-        self.schemas = {"counters": T.StructType([*keys, T.StructField("n", T.LongType()), version]),
+        version, self.counted = T.StructField("_ver", T.LongType()), ["n", *(f.name for f in more)]
+        self.schemas = {"counters": T.StructType([*keys, T.StructField("n", T.LongType()), *more, version]),
                         "rows": T.StructType([*keys, *fields, version])}
 
     def _read(self, table: str, batch_id: int) -> DataFrame:
@@ -48,8 +49,8 @@ class KeyedState:
     def load(self, batch_id: int) -> tuple[DataFrame, DataFrame]:
         """(counters, rows) of every key before batch ``batch_id``."""
         counters = self._read("counters", batch_id).groupBy(*self.keys).agg(
-            F.max_by("n", "_ver").alias("n"), F.max("_ver").alias("_ver"))
-        rows = null_safe_join(self._read("rows", batch_id), counters.drop("n"), [*self.keys, "_ver"], "left_semi")
+            *[F.max_by(c, "_ver").alias(c) for c in self.counted], F.max("_ver").alias("_ver"))
+        rows = null_safe_join(self._read("rows", batch_id), counters.drop(*self.counted), [*self.keys, "_ver"], "left_semi")
         return counters.drop("_ver"), rows.drop("_ver")
 
     def store(self, batch_id: int, counters: DataFrame, rows: DataFrame, before: tuple[DataFrame, DataFrame]) -> None:
