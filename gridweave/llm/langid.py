@@ -29,8 +29,9 @@ DIM = 4096
 #: Labelled rows per language that the models are fitted on.
 SAMPLE_PER_LANG = 400
 #: A text is of no learned language if its letter sequences are less likely, by this many nats each on average, than
-#: those of all but a thousandth of the sample (README: held-out figures); a smaller sample than this tells nothing.
-UNLIKELY, FLOOR_ROWS = 0.8, 50
+#: those of all but a thousandth of the sample (README: held-out figures).  The margin grows by SMOOTH_ROWS / rows of
+#: itself, as the likelihoods of few rows tell little.
+UNLIKELY, SMOOTH_ROWS = 0.8, 50
 
 
 def family_of(lang: str) -> str:
@@ -144,8 +145,9 @@ def fit(x: np.ndarray, lang: list[str]) -> Model:
     if len(lang):
         share = np.mean([(x[lang == a].astype(float) ** 2).mean(0) for a in sorted(set(lang))], axis=0) + 1e-6
         model.log_share = np.log(share / share.sum())
-    if len(lang) >= FLOOR_ROWS:
-        model.floor = float(np.quantile([model.likelihood(row) for row in x], 0.001)) - UNLIKELY
+    if len(lang):
+        margin = UNLIKELY * (1 + SMOOTH_ROWS / len(lang))
+        model.floor = float(np.quantile([model.likelihood(row) for row in x], 0.001)) - margin
     for langs in model.families.values():
         for i, a in enumerate(langs):
             for b in langs[i + 1:]:

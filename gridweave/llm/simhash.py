@@ -132,31 +132,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def _free_name(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``docs`` has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row of ``docs`` per group, that of the smallest id, all columns as they were.
 
-    Of repeated rows of that id one stays.  Rows without an id stay only where no row of their
-    group has one, and then one stays.
+    Of repeated rows of that id the one whose JSON form is smallest stays.  Rows without an id stay only where
+    no row of their group has one, and then one stays.  Columns of ``docs`` may have any other names.
     """
+    id_name, row_name = _free_name(docs, "__id"), _free_name(docs, "__row")
     groups = materialize(near_duplicates(docs, id_col=id_col, **options), "simhash-groups")
     stay = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    stay = stay.withColumnRenamed("doc_id", "__id")
-    here = F.col("__id") == docs[id_col]
+    here = F.col(id_name) == docs[id_col]
+
+    def rows_of(ids):
+        return docs.join(ids.select(F.col("doc_id").alias(id_name)), here, "left_semi")
+
     if stay.where("n > 1").isEmpty():
-        with_id = docs.join(stay, here, "left_semi")
+        with_id = rows_of(stay)
     else:
-        with_id = docs.join(stay.where("n = 1"), here, "left_semi").unionByName(
-            docs.join(stay.where("n > 1"), here, "left_semi").dropDuplicates([id_col]))
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        one = rows_of(stay.where("n > 1")).groupBy(id_col).agg(F.min_by(row, F.to_json(row)).alias(row_name))
+        with_id = rows_of(stay.where("n = 1")).unionByName(one.select(f"{row_name}.*"))
     alone = groups.where("component_id is null").agg(F.count("*")).first()[0]
     if not alone:
         return with_id
-    no_id = docs.where(F.col(id_col).isNull())
-    own = no_id.withColumn("__row", F.monotonically_increasing_id())
+    own = docs.where(F.col(id_col).isNull()).withColumn(row_name, F.monotonically_increasing_id())
     own = materialize(own, "rows-without-id")
-    named = near_duplicates(own, id_col="__row", **options)
+    named = near_duplicates(own, id_col=row_name, **options)
     free = groups.where("component_id is null").select("fp").distinct()
-    first = named.join(free, "fp", "left_semi").where("doc_id = component_id").select(F.col("doc_id").alias("__row"))
-    return with_id.unionByName(own.join(first, "__row", "left_semi").drop("__row"))
+    first = named.join(free, "fp", "left_semi").where("doc_id = component_id").select(F.col("doc_id").alias(row_name))
+    return with_id.unionByName(own.join(first, row_name, "left_semi").drop(row_name))
 
 
 def query(spark, sf_dir):
