@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridweave.functions.lfn import LFN_PREFIX_UPPER, input_query
+from gridweave.operators.bucketed import BucketedCatalog, bucket_count
 from gridweave.operators.catalog import (
     add_entries,
     has_hot_match,
@@ -29,6 +30,7 @@ from gridweave.plans.inputs import (
 from gridweave.plans.tables import table
 from gridweave.session import kept_result, scratch_dir
 from gridweave.sources.catalog import catalog_from_parts, read_catalog, read_latest_catalog, write_catalog_snapshot
+from gridweave.streaming.changes import read_changes, stream_catalog_changes
 
 EVENT_GROUP = 7
 ZIP_GROUP = 5
@@ -173,6 +175,69 @@ def upsert_orders(spark, sf):
     return upsert_metadata(_orders_catalog(spark, sf), _line_updates(spark, sf), key="lfn", seq="seq")
 
 
+def find_files_bucketed_lineitem(spark, sf):
+    """The lookups of :func:`find_files_lineitem` against a catalog in buckets, which is not shuffled for them."""
+    li = table(spark, sf, "lineitem")
+    path = lineitem_lfn()
+    wanted = li.select(F.when(F.col("l_returnflag") == "A", F.concat(F.lit("lfn:"), path))
+                        .when(F.col("l_returnflag") == "N", F.concat(F.lit("LFN:"), path))
+                        .otherwise(path).alias("lfn"))
+    finished = catalog_from_parts(li.filter(F.col("l_linestatus") == "F"), lineitem_dir(), lineitem_name())
+    with scratch_dir(spark, "buckets") as root:
+        cat = BucketedCatalog.create(spark, root, finished, bucket_count(li.count()))
+        found = kept_result(cat.find(wanted).select("lfn", "status", "message"))
+        cat.close()
+    return found
+
+
+def _order_versions(spark, sf, root):
+    """The orders before 1998 in buckets; first lines, then all others replace entries; orders with a
+    returned line are removed."""
+    cat = BucketedCatalog.create(spark, root, _orders_catalog(spark, sf), bucket_count(table(spark, sf, "orders").count()))
+    lines = _line_updates(spark, sf)
+    cat.upsert(lines.where("l_linenumber = 1"))
+    cat.upsert(lines.where("l_linenumber > 1"))
+    cat.remove(table(spark, sf, "lineitem").where("l_returnflag = 'R'")
+               .select(F.concat(F.lit("/orders/"), F.col("l_orderkey").cast("string")).alias("lfn")))
+    return cat
+
+
+def upsert_bucketed_orders(spark, sf):
+    """The orders after two rounds of replacement and a removal, none of which rewrote the catalog."""
+    with scratch_dir(spark, "buckets") as root:
+        cat = _order_versions(spark, sf, root)
+        out = kept_result(cat.read())
+        cat.close()
+    return out
+
+
+def catalog_changes_orders(spark, sf):
+    """What the replacements and the removal changed, from the layers they wrote."""
+    with scratch_dir(spark, "buckets") as root:
+        cat = _order_versions(spark, sf, root)
+        out = kept_result(cat.changes(0, cat.version()["version"]).select("lfn", "change"))
+        cat.close()
+    return out
+
+
+def snapshot_changes_orders(spark, sf):
+    """Changes of the orders over three committed snapshots, as a stream stopped and started between them:
+    the orders before 1998, these with their lines' entries, and those without a returned line."""
+    lines = _line_updates(spark, sf)
+    first = _orders_catalog(spark, sf)
+    second = upsert_metadata(first, lines)
+    returned = (table(spark, sf, "lineitem").where("l_returnflag = 'R'")
+                .select(F.concat(F.lit("/orders/"), F.col("l_orderkey").cast("string")).alias("lfn")))
+    third = second.join(returned, "lfn", "left_anti")
+    with scratch_dir(spark, "snapshot-changes") as root:
+        for i, state in enumerate((first, second, third)):
+            write_catalog_snapshot(state, f"{root}/catalog", snapshot=str(i))
+            if i != 1:
+                query = stream_catalog_changes(spark, f"{root}/catalog", f"{root}/changes", f"{root}/checkpoint")
+                query.awaitTermination()
+        return kept_result(read_changes(spark, f"{root}/changes").select(F.col("snapshot").cast("long").alias("snapshot"), "lfn", "change"))
+
+
 def _event_groups(spark, sf, size, max_groups=None):
     cat = events_catalog(spark, sf)
     return fixed_groups(cat, ["event_type"], order="event_id", size=size, value="event_id", max_groups=max_groups)
@@ -289,6 +354,29 @@ SELECT * FROM cat WHERE lfn NOT IN (SELECT lfn FROM upd)
 UNION ALL SELECT * FROM upd
 """
 
+_RETURNED = "(SELECT '/orders/' || l_orderkey FROM lineitem WHERE l_returnflag = 'R')"
+_BUCKETED_SQL = f"SELECT * FROM ({_UPSERT_SQL}) WHERE lfn NOT IN {_RETURNED}"
+
+_STATES = f"""
+WITH a AS (SELECT '/orders/' || o_orderkey AS lfn, o_orderstatus AS status, CAST(o_totalprice AS VARCHAR) AS amount
+           FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'),
+b AS ({_UPSERT_SQL}),
+c AS (SELECT * FROM b WHERE lfn NOT IN {_RETURNED})
+"""
+
+
+def _compare_sql(old, new, first=""):
+    return f"""
+SELECT {first} coalesce(o.lfn, n.lfn) AS lfn,
+       CASE WHEN o.lfn IS NULL THEN 'added' WHEN n.lfn IS NULL THEN 'removed' ELSE 'replaced' END AS change
+FROM {old} o FULL JOIN {new} n ON o.lfn = n.lfn
+WHERE o.lfn IS NULL OR n.lfn IS NULL OR (o.status, o.amount) IS DISTINCT FROM (n.status, n.amount)"""
+
+
+_CHANGES_SQL = _STATES + _compare_sql("a", "c")
+_SNAPSHOT_CHANGES_SQL = (_STATES + "SELECT 0::BIGINT AS snapshot, lfn, 'added' AS change FROM a UNION ALL"
+                         + _compare_sql("a", "b", "1::BIGINT AS snapshot,") + " UNION ALL" + _compare_sql("b", "c", "2::BIGINT AS snapshot,"))
+
 _GROUPS_SQL = """
 WITH r AS (SELECT event_type, event_id,
                   row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events),
@@ -335,6 +423,10 @@ UNION ALL SELECT user_id, 'root', '/*/error/' || user_id, lfn FROM u JOIN e ON o
 """
 
 QUERIES = {
+    "find_files_bucketed_lineitem": (find_files_bucketed_lineitem, _FIND_SQL),
+    "upsert_bucketed_orders": (upsert_bucketed_orders, _BUCKETED_SQL),
+    "catalog_changes_orders": (catalog_changes_orders, _CHANGES_SQL),
+    "snapshot_changes_orders": (snapshot_changes_orders, _SNAPSHOT_CHANGES_SQL),
     "match_pattern_table_events": (match_pattern_table_events, _PATTERNS_SQL),
     "transformation_jobs": (transformation_jobs, _FLAGSHIP_SQL),
     "catalog_match_lineitem": (catalog_match_lineitem, _MATCH_SQL),
