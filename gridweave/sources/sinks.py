@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,15 +62,14 @@ def merge_text_outputs(spark: SparkSession, jobs_root: str) -> DataFrame:
     ``############ <file>``, its lines and a line feed: an empty line, unless the file's last line
     has no line feed of its own.  An empty file keeps its header and empty line.  Returns ``(job,
     rank, file, block, line, value)``, ordered by these columns; write it with
-    :func:`write_merged`.  The texts are read once; the names, those of empty files too, come from a listing of
-    the folder as a frame (``binaryFile`` without its content).
+    :func:`write_merged`.  The texts are read once; the names come from the reader's own file
+    index on the driver, the only one that knows empty files (``binaryFile`` leaves them out).
     """
     root = jobs_root.rstrip("/")
     text = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{out,txt}").option("lineSep", "\n")
             .text(root))
     base = re.sub(r"^file:(//)?", "", root)
-    names = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{out,txt}")
-             .load(root).select(F.regexp_replace("path", r"^file:(//)?", "").alias("file")))
+    names = spark.createDataFrame([(unquote(re.sub(r"^file:(//)?", "", f)),) for f in text.inputFiles()], "file string")
     inside = F.split(F.substring("file", F.lit(len(base) + 2), F.lit(2**31 - 1)), "/")
     name = F.element_at(inside, -1)
     files = (names.filter((F.size(inside) == 2) & (name != GROUP_FILE) & ~name.startswith("."))
