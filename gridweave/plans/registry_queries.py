@@ -30,6 +30,7 @@ from gridweave.plans.tables import table
 from gridweave.session import kept_result, scratch_dir
 from gridweave.sources.catalog import catalog_from_parts, list_files
 from gridweave.sources.params import read_parameters
+from gridweave.sources.files import write_group_files
 from gridweave.sources.sinks import merge_text_outputs, write_with_fallback
 
 # Fixed values of the stand-ins: the plugin keys the validation knows (one per language).
@@ -281,6 +282,22 @@ def merge_text_outputs_conversations(spark, sf):
                                          F.col("rn").alias("line_no"), value.alias("value")))
 
 
+def group_files_conversations(spark, sf):
+    """The merged output of every job folder as one file each, read back whole: lines and digest of what
+    follows the first header (which names a scratch folder)."""
+    with scratch_dir(spark, "job-outputs") as root:
+        _conversation_outputs(spark, sf, root)
+        for kind in ("out", "txt"):
+            write_group_files(merge_text_outputs(spark, f"{root}/{kind}"), f"{root}/merged/{kind}")
+        files = spark.read.option("recursiveFileLookup", "true").text(f"{root}/merged", wholetext=True)
+        place = F.regexp_extract_all(F.col("_metadata.file_path"), F.lit(r"/merged/(\w+)/job(?:=|%3D)(\d+)/group\.out$"), F.lit(0))[0]
+        body = F.substring("value", F.locate("\n", F.col("value")) + F.lit(1), F.length("value"))
+        rows = files.select(F.split(place, "/")[2].alias("kind"), F.regexp_extract(place, r"(\d+)/group", 1).cast("long").alias("job"),
+                            body.alias("body"))
+        return kept_result(rows.select("kind", "job", (F.size(F.split("body", "\n")) - 1).cast("long").alias("n_lines"),
+                                       F.md5("body").alias("digest")))
+
+
 def run_hooks_documents(spark, sf):
     """Pre-processing ROT13 of every document, post-processing digest."""
     d = table(spark, sf, "documents").select("doc_id", "text")
@@ -411,6 +428,13 @@ UNION ALL SELECT DISTINCT kind, job, 1, '############' FROM n
 UNION ALL SELECT kind, job, max(line_no) + 1, '' FROM n GROUP BY kind, job
 """
 
+_GROUP_FILES_SQL = """
+WITH t AS (SELECT CASE WHEN role = 'user' THEN 'out' ELSE 'txt' END AS kind, conv_id // 50 AS job,
+                  string_agg(coalesce(text, '') || chr(10), '' ORDER BY conv_id, turn) || chr(10) AS body FROM conversations GROUP BY ALL)
+SELECT kind, CAST(job AS BIGINT) AS job, CAST(length(body) - length(replace(body, chr(10), '')) AS BIGINT) AS n_lines,
+       md5(body) AS digest FROM t
+"""
+
 _PARAMS_SQL = """
 SELECT conv_id // 20 AS doc, 'turn-' || conv_id || '-' || turn AS key, text AS value FROM conversations
 """
@@ -469,6 +493,7 @@ QUERIES = {
     "validate_plugin_fields_documents": (validate_plugin_fields_documents, _PLUGIN_FIELDS_SQL),
     "read_parameters_conversations": (read_parameters_conversations, _PARAMS_SQL),
     "list_files_conversations": (list_files_conversations, _LIST_SQL),
+    "group_files_conversations": (group_files_conversations, _GROUP_FILES_SQL),
     "merge_text_outputs_conversations": (merge_text_outputs_conversations, _MERGE_SQL),
     "register_plugins_suppliers": (register_plugins_suppliers, _REGISTER_SQL),
     "lookup_registry_customers": (lookup_registry_customers, _LOOKUP_SQL),
