@@ -120,9 +120,13 @@ class BucketedCatalog:
     def merge(self) -> int:
         """All layers as one new base without the marks of removed keys; the entries are the same.  Returns the version."""
         v = self.version()
-        rows = self._merged(v).where(~F.col(_GONE))
-        # a task of a union of layers holds one bucket already
-        layer = self._write(rows if len(v["layers"]) > 1 else rows.repartition(v["buckets"], v["key"]), v["buckets"], v["key"])
+        conf, auto = self.spark.conf, "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+        was = conf.get(auto)
+        conf.set(auto, "false")  # every task reads its bucket of all layers, so it also writes one
+        try:
+            layer = self._write(self._merged(v).where(~F.col(_GONE)), v["buckets"], v["key"])
+        finally:
+            conf.set(auto, was)
         return self._commit(v["version"] + 1, [layer], v["buckets"], v["key"], v["columns"])
 
     def expire(self, before: int) -> None:
