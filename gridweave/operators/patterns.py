@@ -1,10 +1,12 @@
 """Directory queries with wildcards, taken from a table (P4 for many patterns).
 
 A wildcard stays inside one part of a path, so a pattern can only match directories of its own depth
-that agree with it in every part without wildcards.  That is an equi join: patterns and directories
-meet on (depth, which parts are literal, those parts), and only what meets is tested with the
-pattern's regular expression.  The directories are the distinct ones of the catalog; its entries are
-joined to the matches on ``dir``.
+that agree with it in every part without wildcards, and in the text before the first and after the
+last wildcard of the others.  That is an equi join: patterns and directories meet on (depth, which
+parts are literal, lengths of those texts, the texts), and only what meets is tested with the
+pattern's regular expression.  The directories are the distinct ones of the catalog, taken once for
+every such shape of a pattern; its entries are joined to the matches on ``dir``.  Text between two
+wildcards (``*x*``) is in no key: such patterns meet every directory that the rest of them allows.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from gridweave.operators.catalog import _not_hidden, no_clash, query_key
 #: Fixed: one piece of a pattern part, a closed class or a single character (as the shell reads it).
 _PIECE = r"(\[!?+[\s\S][^\]]*\]|[\s\S])"
 _WILD = r"[*?\[]"
+#: Fixed: line ends, before which the ``$`` of a regular expression also matches; no key has them last.
+_LINE_ENDS = "\n\r\u0085\u2028\u2029"
 
 
 def _class_regex(piece: Column) -> Column:
@@ -48,9 +52,50 @@ def pattern_regex(pattern: str | Column) -> Column:
     return F.concat(F.lit("^"), F.array_join(F.transform(parts, _part_regex), "/"), F.lit("$"))
 
 
-def _literals(parts: Column, places: Column) -> Column:
-    """The parts at ``places`` (from 1), joined."""
-    return F.array_join(F.transform(places, lambda i: F.element_at(parts, i)), "/")
+def _head(part: Column) -> Column:
+    """The text before the first wildcard of a pattern part."""
+    return F.regexp_extract(part, r"^[^*?\[]*", 0)
+
+
+def _without_line_end(part: Column) -> Column:
+    return F.rtrim(part, F.lit(_LINE_ENDS))
+
+
+def _tail(part: Column) -> Column:
+    """The text after the last wildcard of a pattern part."""
+    return _without_line_end(F.regexp_extract(part, r"[^*?\[\]]*\z", 0))
+
+
+def _fixed_text(head: Column, tail: Column) -> Column:
+    return F.concat(head, F.lit("/"), tail)
+
+
+def candidates(dirs: DataFrame, patterns: DataFrame, pattern_col: str = "pattern", dir_col: str = "dir") -> DataFrame:
+    """Rows of ``patterns`` with every directory (``_dir``) that has the pattern's fixed texts in their places,
+    and the pattern's regular expression (``_regex``, null without wildcards) that is still to be tested."""
+    key = query_key(pattern_col)
+    asked = patterns.withColumn("_parts", F.split(key, "/")).where(F.col("_parts").isNotNull())
+    wild = F.exists("_parts", lambda p: p.rlike(_WILD))
+
+    def per_part(wanted, literal):
+        return F.transform("_parts", lambda p: F.when(p.rlike(_WILD), wanted(p)).otherwise(literal(p)))
+
+    asked = asked.select(*patterns.columns, F.size("_parts").alias("_depth"),
+                         per_part(lambda p: F.length(_head(p)), lambda p: F.lit(-1)).alias("_heads"),
+                         per_part(lambda p: F.length(_tail(p)), lambda p: F.lit(-1)).alias("_tails"),
+                         F.array_join(per_part(lambda p: _fixed_text(_head(p), _tail(p)), lambda p: p), "/").alias("_fixed"),
+                         F.when(wild, pattern_regex(key)).alias("_regex"))
+    shapes = asked.select("_depth", "_heads", "_tails").distinct()
+    own = dirs.select(F.col(dir_col).alias("_dir"), F.split(dir_col, "/").alias("_own"))
+
+    def fixed(part, i):
+        head, tail = F.get("_heads", i), F.get("_tails", i)
+        cut = _fixed_text(F.substring(part, F.lit(1), head), F.right(_without_line_end(part), tail))
+        return F.when(head < 0, part).otherwise(cut)
+
+    own = (own.withColumn("_depth", F.size("_own")).join(broadcast_if_small(shapes), "_depth")
+           .select("_dir", "_depth", "_heads", "_tails", F.array_join(F.transform("_own", fixed), "/").alias("_fixed")))
+    return asked.join(own, ["_depth", "_heads", "_tails", "_fixed"])
 
 
 def match_directories(dirs: DataFrame, patterns: DataFrame, pattern_col: str = "pattern", dir_col: str = "dir") -> DataFrame:
@@ -59,18 +104,7 @@ def match_directories(dirs: DataFrame, patterns: DataFrame, pattern_col: str = "
     A null pattern matches nothing; a pattern without wildcards is the directory itself.
     """
     no_clash(patterns, [dir_col])
-    key = query_key(pattern_col)
-    asked = patterns.withColumn("_parts", F.split(key, "/")).where(F.col("_parts").isNotNull())
-    wild = F.transform("_parts", lambda p: p.rlike(_WILD))
-    places = F.filter(F.sequence(F.lit(1), F.size("_parts")), lambda i: ~F.element_at(wild, i))
-    asked = asked.select(*patterns.columns, F.size("_parts").alias("_depth"), places.alias("_places"),
-                         _literals(F.col("_parts"), places).alias("_literal"),
-                         F.when(F.exists(wild, lambda w: w), pattern_regex(key)).alias("_regex"))
-    shapes = asked.select("_depth", "_places").distinct()
-    own = dirs.select(F.col(dir_col).alias("_dir"), F.split(dir_col, "/").alias("_own"))
-    own = (own.withColumn("_depth", F.size("_own")).join(broadcast_if_small(shapes), "_depth")
-           .select("_dir", "_depth", "_places", _literals(F.col("_own"), F.col("_places")).alias("_literal")))
-    met = asked.join(own, ["_depth", "_places", "_literal"])
+    met = candidates(dirs, patterns, pattern_col, dir_col)
     return (met.where(F.col("_regex").isNull() | F.expr("_dir rlike _regex"))
             .select(*patterns.columns, F.col("_dir").alias(dir_col)))
 

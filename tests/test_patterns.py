@@ -10,7 +10,7 @@ from conftest import rows
 from gridweave.operators.catalog import add_entries, find_files, glob_to_regex, match_query
 from gridweave.operators.grouping import fixed_groups, rank_within
 from gridweave.operators.outputs import route_outputs
-from gridweave.operators.patterns import match_pattern_table, pattern_regex
+from gridweave.operators.patterns import candidates, match_pattern_table, pattern_regex
 from gridweave.sources.catalog import catalog_from_lfns
 
 PATTERNS = ["/a/*", "/a/b", "/*/b", "/a/[bc]", "/a/[!b]", "/a/[!]x]", "/a/[]x]", "/a/[!]", "/a/[", "/a/b?", "/?/??", "/a/.h*", "/a/*h", "/a/[.]h",
@@ -104,3 +104,28 @@ def test_empty_source_path_is_rejected(spark):
     empty = got["o", 0]
     assert (empty.to_catalog, empty.to_sandbox, empty.target) == (False, False, None) and empty.error.endswith(" of o")
     assert got["o", 1].target == "/s/y" and got["p", 0].error == "bad"
+
+
+def test_texts_around_wildcards_are_join_keys(spark):
+    dirs = spark.range(400).select(F.concat(F.lit("/e/view/u"), F.col("id").cast("string"), F.lit(".d")).alias("dir"))
+    ids = spark.range(400).select(F.col("id").cast("string").alias("id"))
+    asked = ids.select(F.inline(F.array(*[F.struct(F.concat(F.lit(a), "id", F.lit(b)).alias("pattern")) for a, b in
+                                          (("/e/view/u", "?.d"), ("/e/vi*/u", "*"), ("/e/view/*", ".d"), ("/e/[v]iew/?", ".d"))])))
+    met = candidates(dirs, asked).cache()
+    assert met.count() < 400 * 4 * 4  # of 400 patterns of each kind against 400 directories
+    ids = [str(i) for i in range(400)]
+    want = 400 + sum((len(y) == len(x) + 1 and y.startswith(x)) + y.startswith(x) + f"u{y}".endswith(x) for x in ids for y in ids)
+    assert met.where(F.expr("_dir rlike _regex")).count() == want
+    met.unpersist()
+
+
+def test_texts_around_wildcards_at_line_ends_and_edges(spark):
+    names = ["ab", "ab\n", "a\r\n", "ab\u2028", "aba", "a", "b", "[ab", "x]b", "a]", "é", "éb", "𝒳b", "a𝒳", "ab\n\n", ".ab"]
+    tails = ["a*", "*b", "a*b", "ab*ba", "?b", "a?", "[[]ab", "[ab", "[x]]b", "[a]]", "a]*", "*]b", "é*", "*é", "𝒳?", "?𝒳", "*b\n", "a*\n",
+             "a?\n", "*a*", "[!a]b", "[!]]b", "*[b]", "[a]*", ".*b", "**", "a**b", "?[!x]*b"]
+    dirs = spark.createDataFrame([(f"/d/{n}{end}",) for n in names for end in ("", "/in")], "dir string")
+    asked = spark.createDataFrame([(f"/d/{p}{end}",) for p in tails for end in ("", "/in", "/i*")], "pattern string")
+    tested = asked.join(dirs.select(F.col("dir").alias("_dir")), F.expr("true")).withColumn("r", pattern_regex("pattern"))
+    want = rows(tested.where(F.col("pattern").rlike(r"[*?\[]") & F.expr("_dir rlike r")), "pattern", "_dir")
+    got = rows(candidates(dirs, asked).where(F.expr("_dir rlike _regex")), "pattern", "_dir")
+    assert got == want and len(want) > 150
