@@ -167,3 +167,25 @@ def test_prefilter_gives_same_results(spark):
     new = spark.createDataFrame([("/a", 1), ("/d", 2), ("/d", 3)], "lfn string, seq int")
     assert rows(add_entries(c.select("lfn"), new, prefilter=True), "lfn", "seq", "status") == \
         rows(add_entries(c.select("lfn"), new), "lfn", "seq", "status")
+
+
+def test_catalog_import_leaves_little_on_disk(spark, tmpdir_path, monkeypatch):
+    from gridweave.plans import catalog_queries
+
+    n, written = 4000, {}
+    spark.range(n).selectExpr(
+        "id AS l_orderkey", "CAST(id % 7 AS INT) AS l_linenumber", "id * 31 % 200 AS l_partkey", "id * 17 % 100 AS l_suppkey",
+        "'A' AS l_returnflag", "'F' AS l_linestatus", "date_add(DATE'1994-01-01', CAST(id % 700 AS INT)) AS l_shipdate",
+    ).coalesce(1).write.parquet(f"{tmpdir_path}/lineitem.parquet")
+    read = catalog_queries.read_catalog
+
+    def measured(spark, path, fmt="parquet"):
+        local = path.removeprefix("file:")
+        written[fmt] = sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(local) for f in fs)
+        return read(spark, path, fmt)
+
+    monkeypatch.setattr(catalog_queries, "read_catalog", measured)
+    got = rows(catalog_queries.catalog_import_lineitem(spark, tmpdir_path), "form", "dir", "n_files", "n_names", "epochs")
+    years = {y: sum((i % 700 >= 365) == (y == 1995) for i in range(n)) for y in (1994, 1995)}
+    assert got == sorted((form, f"/grid/data/A/F/{y}", k, k, k / 2) for form in ("lines", "documents") for y, k in years.items())
+    assert written["json"] < 40 * n and written["document"] < 30 * n  # bytes per entry
