@@ -22,7 +22,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 SPACE, LETTER, NUMBER, OTHER, END, UNSURE = 0, 1, 2, 3, 4, 255
 #: Characters taken through the array operations at once, and pretokens kept with their ids.
-CHUNK_CHARS, CACHE_WORDS = 2_000_000, 500_000
+CHUNK_CHARS, CACHE_WORDS = 500_000, 500_000
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 

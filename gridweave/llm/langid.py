@@ -212,16 +212,17 @@ def keep_known(docs: DataFrame, min_score: float = 0.3, model: Model | None = No
     """
     model = model or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema, at = docs.schema, docs.columns.index("text")
 
-    def run(batches: Iterator) -> Iterator:
+    def knows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            keep = [shared.value.knows(t.as_py(), min_score) for t in batch.column(at)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for texts in batches:
+            yield pa.array([shared.value.knows(t.as_py(), min_score) for t in texts], pa.bool_())
 
-    return docs.mapInArrow(run, schema)
+    # only the texts go to Python and only a boolean comes back; columns of any name, so by their place
+    known = F.arrow_udf(knows, "boolean", F.ArrowUDFType.SCALAR_ITER)
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*places).where(known(places[docs.columns.index("text")])).toDF(*docs.columns)
 
 
 def query(spark, sf_dir):

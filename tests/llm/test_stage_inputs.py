@@ -36,3 +36,17 @@ def test_likelihood_margin_shrinks_with_the_sample():
         assert all(model.knows(t, 0.3) for t in texts[:n])
     assert np.allclose(floors, [0.8 * (1 + 50 / n) for n in (1, 10, 49, 51, 400)])
     assert not langid.fit(x, ["en"] * 400).knows("Ωμέγα και άλφα " * 20, 0.3)
+
+
+def test_keep_known_sends_texts_only_and_keeps_rows_as_they_are(spark):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["the", "house", "and", "water", "green", "under"], 60)) for _ in range(60)]
+    model = langid.fit(np.array([langid.features(t) for t in texts]), ["en"] * 60)
+    rows = [(i, t, "x" * 9, {"k": i}) for i, t in enumerate([texts[0], None, "", "123 456", "Ωμέγα και άλφα " * 20, texts[1], texts[1]])]
+    docs = spark.createDataFrame(rows, "id long, text string, `TEXT.b` string, `c0` map<string, long>").toDF("id", "text", "a.b", "Id")
+    got = langid.keep_known(docs, model=model)
+    assert got.schema == docs.schema
+    assert sorted(tuple(r) for r in got.collect()) == [(i, t, "x" * 9, {"k": i}) for i, t, *_ in (rows[0], rows[5], rows[6])]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" in plan  # rows do not pass through Python
+    assert langid.keep_known(docs.limit(0), model=model).count() == 0
